@@ -57,7 +57,7 @@ def resource_burn(plan: DataFrame, caps=K.RESOURCE_CAPS) -> DataFrame:
         F.sum("deploy_police").alias("p"), F.sum("deploy_breakdown").alias("b"),
         F.sum("deploy_barricades").alias("r"))
     plans = plan.select("corridor", "date").distinct()
-    spine = plans.select("corridor", "date", F.explode(F.sequence(F.lit(0), F.lit(23))).cast("long")
+    spine = plans.select("corridor", "date", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")))
                          .alias("hour"))
     t = spine.join(per_hour, ["corridor", "date", "hour"], "left").fillna(0, ["p", "b", "r"])
     w = Window.partitionBy("corridor", "date").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
