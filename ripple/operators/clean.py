@@ -73,9 +73,13 @@ def zone_by_station(df: DataFrame, target: str = "zone", by: str = "police_stati
 
 
 def impute_mode(df: DataFrame, target: str = "zone", by: str = "police_station",
-                default: str | None = K.DEFAULT_ZONE) -> DataFrame:
-    """Fill a null ``target`` with the modal value of its ``by`` group."""
-    modal = zone_by_station(df, target, by)
+                default: str | None = K.DEFAULT_ZONE, modal: DataFrame | None = None) -> DataFrame:
+    """Fill a null ``target`` with the modal value of its ``by`` group.
+
+    ``modal`` may be precomputed from a cheaper frame with the same rows.
+    """
+    if modal is None:
+        modal = zone_by_station(df, target, by)
     out = lookup_join(df, modal, on=by, how="left")
     filled = F.coalesce(F.col(target), F.col(f"_modal_{target}"))
     if default is not None:

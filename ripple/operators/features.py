@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripple import constants as K
@@ -79,12 +79,13 @@ def corridor_risk(df: DataFrame, as_of=None, ts: str = "start_local") -> DataFra
 
     ``as_of`` restricts the counts to incidents before that local time
     (point-in-time safe); default is the full table, as in the original.
+    The min/max run over the per-corridor aggregate (one row per corridor).
     """
     src = df if as_of is None else df.where(F.col(ts) < F.lit(as_of).cast("timestamp_ntz"))
     high = (src.where(F.col("priority") == "High")
                .groupBy("corridor").agg(F.count(F.lit(1)).alias("high_count")))
-    lo = high.select(F.min("high_count")).scalar()
-    hi = high.select(F.max("high_count")).scalar()
+    everything = Window.partitionBy()
+    lo, hi = F.min("high_count").over(everything), F.max("high_count").over(everything)
     risk = F.coalesce(F.try_divide((F.col("high_count") - lo).cast("double"), (hi - lo).cast("double")),
                       F.lit(0.0))
     return high.select("corridor", "high_count", risk.alias("corridor_risk_score"))
@@ -102,20 +103,23 @@ def clean_incidents(raw: DataFrame, tz: str = K.LOCAL_TZ, cap_q: float = 0.99,
 
     Order follows the original training script: sentinels, timestamps,
     resolution (P99 over all rows), defaults, zone imputation, vehicle,
-    causes, noise drop, time features, severity, corridor risk.
+    causes, noise drop, time features, severity, corridor risk.  The three
+    aggregates (P99, modal zone per station, High count per corridor) read
+    the cheap ``base`` projection, so each is a column-pruned scan with a
+    map-side partial aggregate, not a re-run of the whole pipeline.
     """
-    df = C.null_sentinels(raw)
-    df = C.parse_ts(df)
-    df = C.to_local(df, "start_datetime", "start_local", tz)
-    df = add_resolution(df, cap_q=cap_q, floor=floor, exact=exact)
+    base = C.to_local(C.parse_ts(C.null_sentinels(raw)), "start_datetime", "start_local", tz)
+    df = add_resolution(base, cap_q=cap_q, floor=floor, exact=exact, cap_from=base)
     df = C.fill_defaults(df)
-    df = C.impute_mode(df, "zone", "police_station", K.DEFAULT_ZONE)
+    df = C.impute_mode(df, "zone", "police_station", K.DEFAULT_ZONE,
+                       modal=C.zone_by_station(base, "zone", "police_station"))
     df = add_vehicle_features(df)
     df = C.normalise_causes(df)
     df = C.drop_noise(df)
     df = add_time_features(df, "start_local")
     df = add_severity(df)
-    return add_corridor_risk(df, corridor_risk(df, as_of=risk_as_of))
+    risk_src = C.drop_noise(C.normalise_causes(C.fill_defaults(base)))
+    return add_corridor_risk(df, corridor_risk(risk_src, as_of=risk_as_of))
 
 
 def map_feed(df: DataFrame, limit: int | None = 500) -> DataFrame:

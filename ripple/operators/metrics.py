@@ -29,19 +29,21 @@ def threshold_sweep(scored: DataFrame, score: str = "risk_pct", label: str = "is
         passed = term if passed is None else passed + term
     counts = (scored.select(passed.alias("k"), F.coalesce(F.col(label).cast("boolean"), F.lit(False)).alias("y"))
                     .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")))
-    positives = scored.select(F.count_if(F.col(label).cast("boolean"))).scalar()
     spark = scored.sparkSession
     thr = F.element_at(F.array(*[F.lit(t) for t in ts]), F.col("k").cast("int"))
-    spine = spark.range(1, len(ts) + 1).select(F.col("id").alias("k"))
+    # k = 0 .. len(ts); k = 0 (below every threshold) only feeds the positives total
+    spine = spark.range(0, len(ts) + 1).select(F.col("id").alias("k"))
     w = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = (spine.join(F.broadcast(counts), "k", "left").fillna(0, ["n", "pos"])
                 .withColumns({"tp": F.sum("pos").over(w).cast("long"),
-                              "predicted": F.sum("n").over(w).cast("long")}))
+                              "predicted": F.sum("n").over(w).cast("long"),
+                              "positives": F.sum("pos").over(Window.partitionBy()).cast("long")})
+                .where(F.col("k") >= 1))
     return out.select(
         (thr.cast("double") / F.lit(scale)).alias("threshold"), "tp", "predicted",
         F.when(F.col("predicted") > 0, F.col("tp").cast("double") / F.col("predicted"))
          .otherwise(F.lit(0.0)).alias("precision"),
-        F.when(positives > 0, F.col("tp").cast("double") / positives.cast("double"))
+        F.when(F.col("positives") > 0, F.col("tp").cast("double") / F.col("positives").cast("double"))
          .otherwise(F.lit(0.0)).alias("recall"))
 
 

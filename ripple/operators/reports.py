@@ -25,7 +25,7 @@ def value_counts(df: DataFrame, col: str, n: int | None = None, pct: bool = Fals
     src = df.where(F.col(col).isNotNull()) if dropna else df
     out = src.groupBy(col).agg(_n().alias("n"))
     if pct:
-        total = out.select(F.sum("n")).scalar()
+        total = F.sum("n").over(Window.partitionBy())      # over the per-value aggregate
         out = out.withColumn("pct", F.col("n").cast("double") * F.lit(100.0) / total.cast("double"))
     out = out.orderBy(F.col("n").desc(), F.col(col).asc_nulls_first())
     return out.limit(n) if n else out

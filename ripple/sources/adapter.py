@@ -25,12 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _cycle(k, values) -> F.Column:
-    expr = None
-    for i, v in enumerate(values):
-        lit = F.lit(v).cast("string")
-        expr = F.when(k == i, lit) if expr is None else expr.when(k == i, lit)
-    return expr
+def _cycle(k, values, default=None) -> F.Column:
+    """``values[k % n]`` (``default`` for a negative or null remainder).
+
+    One array lookup instead of an n-way CASE, so ``k`` (a JSON field) is
+    referenced once per column, also after Catalyst pushes filters down.
+    """
+    idx = k % len(values)
+    arr = F.array(*[F.lit(v).cast("string") for v in values])
+    return F.when(idx >= 0, F.try_element_at(arr, (idx + 1).cast("int"))).otherwise(
+        F.lit(default).cast("string"))
 
 
 def incidents_from_events(events: DataFrame, n_corridors: int = 15) -> DataFrame:
@@ -64,8 +68,8 @@ def incidents_from_events(events: DataFrame, n_corridors: int = 15) -> DataFrame
         F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("PS "), (F.col("user_id") % 20).cast("string")))
          .alias("police_station"),
-        _cycle(F.col("k") % 14, CAUSE_CYCLE).alias("event_cause"),
-        _cycle(F.col("k") % 9, VEHICLE_CYCLE).alias("veh_type"),
+        _cycle(F.col("k"), CAUSE_CYCLE).alias("event_cause"),
+        _cycle(F.col("k"), VEHICLE_CYCLE, VEHICLE_CYCLE[-1]).alias("veh_type"),
         F.when(F.col("k") % 3 == 0, F.lit("closed")).otherwise(F.lit("active")).alias("status"),
         F.when(F.col("k") % 13 == 0, F.lit(None).cast("double"))
          .otherwise(F.expr("cast(12.85 + (user_id % 50) * 0.005 as double)"))
