@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ripple import constants as K
 from ripple.functions import columns as X
+from ripple.operators.prefix import blocked_rank, blocked_sum_before, hour_block
 
 # Linear stand-in score: (feature, weight in percent points).  Lets the whole
 # alert -> plan chain be checked exactly against SQL without a trained model.
@@ -94,8 +95,8 @@ def build_alerts(scored: DataFrame, threshold: float = 0.10,
     """
     cap = dict(caps)
     alerts = scored.where(F.col(risk) >= threshold)
-    w = Window.partitionBy("corridor", "date").orderBy("start_local", "id")
-    alerts = alerts.withColumn("seq", F.row_number().over(w).cast("long"))
+    # seq = row_number() over (corridor, date order by time, id), split by hour
+    alerts = blocked_rank(alerts, ["corridor", "date"], hour_block("start_local"), ["start_local", "id"])
     alerts = request(alerts, risk)
     res_min = X.map_lookup("event_cause_grouped", K.AVG_RESOLUTIONS, K.DEFAULT_RESOLUTION_MIN)
     sample_n = X.map_lookup("event_cause_grouped", K.RESOLUTION_SAMPLE_N, K.DEFAULT_SAMPLE_N)
@@ -146,21 +147,27 @@ def nest_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def allocate(alerts: DataFrame, caps=K.RESOURCE_CAPS, plan_keys=("corridor", "date")) -> DataFrame:
-    """Greedy allocation by risk under per-plan caps, closed form."""
+    """Greedy allocation by risk under per-plan caps, closed form.
+
+    The requests before each alert (risk descending, then ``seq``) come from
+    a two-level running sum: per (risk level, hour) block totals, then a
+    window inside the block, so a busy plan is not one task.
+    """
     cap = dict(caps)
-    w = (Window.partitionBy(*plan_keys)
-               .orderBy(F.col("risk_score").desc(), F.col("seq").asc())
-               .rowsBetween(Window.unboundedPreceding, -1))
+    reqs = ["police_needed", "breakdown_needed", "barricades_needed"]
+    blocks = [(F.col("risk_score"), False)]
+    if "hour_of_day" in alerts.columns:       # seq follows time, so the hour refines the block
+        blocks.append((F.col("hour_of_day"), True))
+    out = blocked_sum_before(alerts, list(plan_keys), blocks, [F.col("seq").asc()], reqs)
 
     def alloc(req, total):
-        before = F.coalesce(F.sum(req).over(w), F.lit(0))
-        return F.least(F.col(req), F.greatest(F.lit(0), F.lit(total) - before)).cast("long")
+        return F.least(F.col(req), F.greatest(F.lit(0), F.lit(total) - F.col(f"_before_{req}"))).cast("long")
 
-    out = alerts.withColumns({
+    out = out.withColumns({
         "deploy_police": alloc("police_needed", cap["traffic_police"]),
         "deploy_breakdown": alloc("breakdown_needed", cap["breakdown_units"]),
         "deploy_barricades": alloc("barricades_needed", cap["barricades"]),
-    })
+    }).drop(*[f"_before_{r}" for r in reqs])
     short = ((F.col("deploy_police") < F.col("police_needed"))
              | (F.col("deploy_breakdown") < F.col("breakdown_needed"))
              | (F.col("deploy_barricades") < F.col("barricades_needed")))

@@ -200,12 +200,14 @@ def slot_intensity(df: DataFrame, hours=(2, 6)) -> DataFrame:
     hours it contributes to, so all slots come out of one aggregation.
     """
     src = df.where(X.is_named_corridor("corridor") & F.col("hour_of_day").isNotNull())
+    # pre-aggregate to one row per (corridor, weekday, date, hour) before exploding
+    base = src.groupBy("corridor", "day_of_week", "date", "hour_of_day").agg(_n().alias("c"))
     outs = None
     for k in hours:
-        e = src.select("corridor", "day_of_week", "date",
-                       F.explode(F.sequence(F.col("hour_of_day"),
-                                            F.least(F.col("hour_of_day") + k, F.lit(23)))).alias("hour"))
-        daily = e.groupBy("corridor", "day_of_week", "hour", "date").agg(_n().alias("k"))
+        e = base.select("corridor", "day_of_week", "date", "c",
+                        F.explode(F.sequence(F.col("hour_of_day"),
+                                             F.least(F.col("hour_of_day") + k, F.lit(23)))).alias("hour"))
+        daily = e.groupBy("corridor", "day_of_week", "hour", "date").agg(F.sum("c").alias("k"))
         per = daily.groupBy("corridor", "day_of_week", "hour").agg(
             F.ceil(F.avg("k")).cast("long").alias(f"events_{k}h"))
         outs = per if outs is None else outs.join(per, ["corridor", "day_of_week", "hour"], "full")
@@ -278,7 +280,7 @@ def replay_slice(df: DataFrame, date=None, corridor=None, hour: int = 24) -> Dat
         src = src.where(F.col("date") == F.lit(date).cast("date"))
     if corridor is not None:
         src = src.where(F.col("corridor") == corridor)
-    w = Window.partitionBy("corridor", "date").orderBy("start_local", "id")
-    return src.select("corridor", "date", "id", "start_local", "clock", "event_cause_grouped",
-                      "priority", "requires_road_closure",
-                      F.row_number().over(w).cast("long").alias("seq"))
+    from ripple.operators.prefix import blocked_rank, hour_block
+    src = src.select("corridor", "date", "id", "start_local", "clock", "event_cause_grouped",
+                     "priority", "requires_road_closure")
+    return blocked_rank(src, ["corridor", "date"], hour_block("start_local"), ["start_local", "id"])
