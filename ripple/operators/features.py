@@ -9,6 +9,7 @@ from ripple import constants as K
 from ripple.functions import columns as X
 from ripple.operators import clean as C
 from ripple.operators.joins import lookup_join
+from ripple.operators.quantiles import exact_quantiles
 
 
 def add_time_features(df: DataFrame, ts: str = "start_local", peaks=K.PEAK_HOURS) -> DataFrame:
@@ -46,17 +47,19 @@ def add_resolution(df: DataFrame, cap_q: float = 0.99, floor: float | None = 0.0
     """Resolution minutes, P``cap_q`` cap (and floor), open flag.
 
     The cap is a scalar subquery over ``cap_from`` (default: ``df``).
-    ``exact`` uses ``percentile`` (linear interpolation, like the original);
-    at very high cardinality ``exact=False`` switches to ``percentile_approx``.
+    ``exact`` gives the interpolated percentile of the original
+    (``quantiles.exact_quantiles``: sketch bracket + ranking of the few rows
+    inside it, no global value map); ``exact=False`` uses the sketch alone.
     """
     res = X.minutes_between("start_datetime", "closed_datetime")
     df = df.withColumn("resolution_minutes", res)
     src = (cap_from if cap_from is not None else df)
     if "resolution_minutes" not in src.columns:
         src = src.withColumn("resolution_minutes", res)
-    q = (F.percentile("resolution_minutes", cap_q) if exact
-         else F.percentile_approx("resolution_minutes", cap_q, accuracy).cast("double"))
-    cap = src.where(F.col("resolution_minutes").isNotNull()).select(q).scalar()
+    if exact:
+        cap = exact_quantiles(src, "resolution_minutes", [cap_q]).select("q0").scalar()
+    else:
+        cap = src.select(F.percentile_approx("resolution_minutes", cap_q, accuracy).cast("double")).scalar()
     capped = F.least(F.col("resolution_minutes"), cap)
     if floor is not None:
         capped = F.greatest(capped, F.lit(float(floor)))

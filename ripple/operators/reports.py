@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ripple import constants as K
 from ripple.functions import columns as X
+from ripple.operators.quantiles import exact_quantiles
 
 
 def _n():
@@ -38,11 +39,12 @@ def resolution_by_cause(raw: DataFrame, lo: float = 0.0, hi: float = K.REPORT_RE
     e = F.date_trunc("second", F.col("closed_datetime")).cast("timestamp_ntz")
     d = raw.select("event_cause", (F.timestamp_diff("SECOND", s, e) / F.lit(60.0)).alias("d")) \
            .where((F.col("d") > lo) & (F.col("d") < hi))
-    out = d.groupBy("event_cause").agg(
-        F.avg("d").alias("avg_minutes"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("upper_median_minutes"),
-        _n().alias("n"))
-    return out.orderBy(F.col("avg_minutes").desc(), F.col("event_cause").asc_nulls_first())
+    means = d.groupBy("event_cause").agg(F.avg("d").alias("avg_minutes"))
+    med = exact_quantiles(d, "d", [0.5], ["event_cause"], method="upper", prefix="upper_median_minutes")
+    out = means.join(med.withColumnRenamed("upper_median_minutes0", "upper_median_minutes"),
+                     means["event_cause"].eqNullSafe(med["event_cause"])).drop(med["event_cause"])
+    return out.select("event_cause", "avg_minutes", "upper_median_minutes", "n") \
+              .orderBy(F.col("avg_minutes").desc(), F.col("event_cause").asc_nulls_first())
 
 
 def by_hour(df: DataFrame, dense: bool = True, col: str = "hour_of_day") -> DataFrame:
@@ -104,11 +106,11 @@ def summary(df: DataFrame) -> DataFrame:
     """One-row summary: resolution mean/median/P99, valid and open counts,
     flag sums and rates."""
     r = F.col("resolution_minutes")
+    q = exact_quantiles(df, "resolution_minutes", [0.5, 0.99]).select(
+        F.lit(0).alias("_g"), F.col("q0").alias("median_resolution"), F.col("q1").alias("p99_resolution"))
     return df.agg(
         _n().alias("n_rows"),
         F.avg(r).alias("mean_resolution"),
-        F.percentile(r, 0.5).alias("median_resolution"),
-        F.percentile(r, 0.99).alias("p99_resolution"),
         F.count(r).alias("n_valid"),
         F.sum("is_open").alias("n_open"),
         F.sum("is_peak_hour").alias("n_peak"),
@@ -117,7 +119,7 @@ def summary(df: DataFrame) -> DataFrame:
         F.avg("is_weekend").alias("weekend_rate"),
         F.sum("is_heavy_vehicle").alias("n_heavy"),
         F.avg("is_heavy_vehicle").alias("heavy_rate"),
-    )
+    ).withColumn("_g", F.lit(0)).join(F.broadcast(q), "_g", "left").drop("_g")
 
 
 def top_corridors(df: DataFrame, n: int | None = 10) -> DataFrame:
@@ -149,10 +151,9 @@ def resolution_quantiles(df: DataFrame, col: str = "resolution_minutes_capped",
                          exclude=(K.DEFAULT_CAUSE,)) -> DataFrame:
     """Five-number summary per grouped cause, median descending."""
     src = df.where(F.col(col).isNotNull() & ~F.col("event_cause_grouped").isin(*exclude))
-    qs = F.percentile(col, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = src.groupBy("event_cause_grouped").agg(qs.alias("_q"), _n().alias("n"))
+    out = exact_quantiles(src, col, (0.0, 0.25, 0.5, 0.75, 1.0), ["event_cause_grouped"])
     return out.select("event_cause_grouped", "n",
-                      *[F.col("_q")[i].alias(a) for i, a in
+                      *[F.col(f"q{i}").alias(a) for i, a in
                         enumerate(("q_min", "q1", "median", "q3", "q_max"))]) \
               .orderBy(F.col("median").desc(), "event_cause_grouped")
 
