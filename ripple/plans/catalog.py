@@ -227,4 +227,4 @@ def oracle() -> dict[str, str]:
 
 
 # further query groups register themselves on import
-from ripple.plans import catalog_reports, catalog_decisions, catalog_ml, catalog_stream  # noqa: E402,F401
+from ripple.plans import catalog_reports, catalog_decisions, catalog_ml, catalog_stream, catalog_io  # noqa: E402,F401

@@ -12,31 +12,43 @@ from pyspark.sql import types as T
 
 from ripple.operators import clean
 
-# Raw incident text columns the application reads (all as text, as exported).
-RAW_TEXT_COLUMNS = ("id", "start_datetime", "closed_datetime", "resolved_datetime", "corridor",
-                    "zone", "junction", "police_station", "priority", "requires_road_closure",
-                    "event_cause", "veh_type", "status", "authenticated")
-RAW_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType(), True) for c in RAW_TEXT_COLUMNS]
-    + [T.StructField("latitude", T.DoubleType(), True), T.StructField("longitude", T.DoubleType(), True)])
+# Numeric columns of the raw export; every other column is read as text.
+NUMERIC_COLUMNS = ("latitude", "longitude")
+# Keep cell text exactly as written (Spark's CSV writer trims by default).
+CSV_OPTS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 # Columns dropped from the engineered export (raw/intermediate ones).
 EXPORT_DROP = ("start_datetime", "closed_datetime", "resolved_datetime", "day_name", "month_name", "date")
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header CSV, every column read as text (no inference)."""
-    if schema is None:
-        header = spark.read.option("header", True).csv(path).columns
-        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+def _header_schema(spark: SparkSession, path: str, numeric=()) -> T.StructType:
+    """Schema from the header line only (no inference pass over the data)."""
+    header = spark.read.options(**CSV_OPTS).csv(path).columns
+    return T.StructType([T.StructField(c, T.DoubleType() if c in numeric else T.StringType(), True)
+                         for c in header])
 
 
-def read_incidents(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Incident table with an explicit schema; timestamps parsed to UTC
-    wall clock (``+00`` offsets honoured, unparsable -> NULL)."""
+def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             null_token: str | None = None) -> DataFrame:
+    """Header CSV, every column read as text (no inference).
+
+    An empty cell is NULL; with ``null_token`` only that token is NULL and a
+    quoted empty cell stays an empty string.
+    """
+    schema = schema or _header_schema(spark, path)
+    r = spark.read.schema(schema).options(**CSV_OPTS).option("mode", "PERMISSIVE")
+    if null_token is not None:
+        r = r.option("nullValue", null_token)
+    return r.csv(path)
+
+
+def read_incidents(spark: SparkSession, path: str, fmt: str = "csv",
+                   null_token: str | None = None) -> DataFrame:
+    """Incident table, text columns by header name, coordinates as
+    doubles; timestamps parsed to UTC wall clock (``+00`` offsets honoured,
+    unparsable or ``NULL`` -> NULL)."""
     if fmt == "csv":
-        df = spark.read.schema(RAW_SCHEMA).option("header", True).csv(path)
+        df = read_raw(spark, path, _header_schema(spark, path, NUMERIC_COLUMNS), null_token)
     else:
         df = spark.read.format(fmt).load(path)
     df = df.withColumn("id", F.col("id").cast("long")) if dict(df.dtypes).get("id") == "string" else df
@@ -59,16 +71,24 @@ def write_engineered(df: DataFrame, path: str, fmt: str = "parquet", partition_b
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTS).csv(path)
     else:
         w.format(fmt).save(path)
 
 
+def write_raw(df: DataFrame, path: str, null_token: str | None = None) -> None:
+    """Raw incidents as header CSV text (cells kept verbatim)."""
+    w = df.write.mode("overwrite").options(**CSV_OPTS)
+    if null_token is not None:
+        w = w.option("nullValue", null_token)
+    w.csv(path)
+
+
 def write_plan(plan: DataFrame, path: str, fmt: str = "csv") -> None:
     """Plan as header CSV or JSON Lines (one record per line)."""
     w = plan.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTS).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
@@ -80,4 +100,4 @@ def read_plan(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
               "deploy_police bigint, deploy_breakdown bigint, deploy_barricades bigint, "
               "estimated_clearance string, resource_flag string")
     r = spark.read.schema(schema)
-    return r.option("header", True).csv(path) if fmt == "csv" else r.json(path)
+    return r.options(**CSV_OPTS).csv(path) if fmt == "csv" else r.json(path)
