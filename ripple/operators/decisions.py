@@ -94,7 +94,7 @@ def build_alerts(scored: DataFrame, threshold: float = 0.10,
     2 h count.  ``seq`` numbers the alerts of a corridor-day in time order.
     """
     cap = dict(caps)
-    alerts = scored.where(F.col(risk) >= threshold)
+    alerts = scored.where((F.col(risk) >= threshold) & F.col("start_local").isNotNull())
     # seq = row_number() over (corridor, date order by time, id), split by hour
     alerts = blocked_rank(alerts, ["corridor", "date"], hour_block("start_local"), ["start_local", "id"])
     alerts = request(alerts, risk)

@@ -11,7 +11,10 @@ all rows.  Both are computed here in two levels instead:
 2. a window partitioned by ``(group, block)`` ranks / sums inside a block.
 
 The result equals the single-window form exactly; the biggest task holds
-one block instead of one group.
+one block instead of one group.  The offsets are joined on ``(group,
+block)`` — the same keys the in-block window partitions by — so the big side
+is shuffled once and that shuffle also serves the window.  Group and block
+keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripple.operators.joins import lookup_join
 
 
 def _block_cols(df: DataFrame, blocks):
@@ -40,7 +42,7 @@ def blocked_rank(df: DataFrame, keys, blocks, order, out: str = "seq") -> DataFr
     w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
     offs = per.withColumn("_off", F.coalesce(F.sum("_blk_n").over(w), F.lit(0))).drop("_blk_n")
     inner = Window.partitionBy(*keys, *names).orderBy(*order)
-    out_df = lookup_join(d, offs, on=[*keys, *names], how="left")
+    out_df = d.join(offs, on=[*keys, *names], how="inner")
     return out_df.withColumn(out, (F.col("_off") + F.row_number().over(inner)).cast("long")) \
                  .drop("_off", *names)
 
@@ -55,7 +57,7 @@ def blocked_sum_before(df: DataFrame, keys, blocks, order, values) -> DataFrame:
     offs = per.withColumns({f"_off_{v}": F.coalesce(F.sum(f"_blk_{v}").over(w), F.lit(0)) for v in values}) \
               .drop(*[f"_blk_{v}" for v in values])
     inner = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = lookup_join(d, offs, on=[*keys, *names], how="left")
+    out = d.join(offs, on=[*keys, *names], how="inner")
     out = out.withColumns({f"_before_{v}": F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0))
                            for v in values})
     return out.drop(*names, *[f"_off_{v}" for v in values])

@@ -92,6 +92,9 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(), method: str = "li
         (higher.cast("double") - F.col("_pos")) * F.col("_vlo")
         + (F.col("_pos") - lower.cast("double")) * F.col("_vhi"))
     per = per.withColumn("_q", val)
-    out = per.groupBy(*keys, "n").pivot("_i", list(range(k))).agg(F.first("_q"))
-    out = out.select(*keys, "n", *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(k)])
+    if k == 1:
+        out = per.select(*keys, "n", F.col("_q").alias(f"{prefix}0"))
+    else:
+        out = per.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"{prefix}{i}")
+                                            for i in range(k)])
     return out.drop("_g") if glob else out

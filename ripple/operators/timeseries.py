@@ -51,18 +51,24 @@ def resource_burn(plan: DataFrame, caps=K.RESOURCE_CAPS) -> DataFrame:
     """Resources committed up to each local hour of each plan, capped.
 
     ``plan`` has ``corridor``, ``date``, ``hour_of_day`` and the three
-    ``deploy_*`` columns.  One row per plan and hour 0..23.
+    ``deploy_*`` columns.  One aggregate per plan builds 24-hour arrays;
+    running sums are array functions, so there is no second shuffle.
     """
-    per_hour = plan.groupBy("corridor", "date", F.col("hour_of_day").alias("hour")).agg(
-        F.sum("deploy_police").alias("p"), F.sum("deploy_breakdown").alias("b"),
-        F.sum("deploy_barricades").alias("r"))
-    plans = plan.select("corridor", "date").distinct()
-    spine = plans.select("corridor", "date", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")))
-                         .alias("hour"))
-    t = spine.join(per_hour, ["corridor", "date", "hour"], "left").fillna(0, ["p", "b", "r"])
-    w = Window.partitionBy("corridor", "date").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     cap = dict(caps)
-    return t.select("corridor", "date", "hour",
-                    F.least(F.sum("p").over(w), F.lit(cap["traffic_police"])).cast("long").alias("police_used"),
-                    F.least(F.sum("b").over(w), F.lit(cap["breakdown_units"])).cast("long").alias("breakdown_used"),
-                    F.least(F.sum("r").over(w), F.lit(cap["barricades"])).cast("long").alias("barricades_used"))
+    cols = (("deploy_police", "police_used", cap["traffic_police"]),
+            ("deploy_breakdown", "breakdown_used", cap["breakdown_units"]),
+            ("deploy_barricades", "barricades_used", cap["barricades"]))
+    per = plan.groupBy("corridor", "date").agg(*[
+        F.array(*[F.sum(F.when(F.col("hour_of_day") == h, F.col(src)).otherwise(0)) for h in range(24)])
+        .alias(f"_{out}") for src, out, _ in cols])
+    hours = F.sequence(F.lit(0), F.lit(23))
+
+    def running(arr, limit):
+        return F.transform(hours, lambda h: F.least(
+            F.aggregate(F.slice(F.col(arr), 1, h + 1), F.lit(0).cast("long"), lambda a, x: a + x),
+            F.lit(limit).cast("long")))
+
+    z = per.select("corridor", "date", F.explode(F.arrays_zip(
+        hours.alias("hour"), *[running(f"_{out}", lim).alias(out) for _, out, lim in cols])).alias("z"))
+    return z.select("corridor", "date", F.col("z.hour").cast("long").alias("hour"),
+                    *[F.col(f"z.{out}").cast("long").alias(out) for _, out, _ in cols])

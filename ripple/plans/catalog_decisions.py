@@ -38,7 +38,7 @@ _CODE = ("rpad(upper(substr(array_to_string(list_transform(list_filter("
 
 ALERT_CTES = f"""al as (
   select *, row_number() over (partition by corridor, date order by start_local, id) as seq
-  from scored where cascade_probability >= 0.1),
+  from scored where cascade_probability >= 0.1 and start_local is not null),
 rq as (
   select *,
     {_pick("'HIGH'", "'MEDIUM'", "'LOW'")} as confidence_band,
