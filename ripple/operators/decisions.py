@@ -232,6 +232,13 @@ def alert_log(alerts: DataFrame, n: int = 5) -> DataFrame:
                   .limit(n))
 
 
+def status_text(prob: str, threshold: float):
+    """``CASCADE SEED (NN% risk)`` / ``NO CASCADE (NN% risk)``."""
+    pct = F.format_string("%.0f", F.col(prob) * 100)
+    return F.when(F.col(prob) >= threshold, F.concat(F.lit("CASCADE SEED ("), pct, F.lit("% risk)"))) \
+            .otherwise(F.concat(F.lit("NO CASCADE ("), pct, F.lit("% risk)")))
+
+
 def whatif_flags(df: DataFrame, cause: str = "event_cause_grouped") -> DataFrame:
     """Flags a what-if scenario derives from the chosen cause."""
     c = F.col(cause)

@@ -129,6 +129,28 @@ def q_alerts(spark, sf):
     return flows.alerts_standin(spark, sf)
 
 
+@query("alerts_nested")
+def q_alerts_nested(spark, sf):
+    """The nested alert document (structs + driver arrays) as JSON text."""
+    s = flows.scored_standin(spark, sf)
+    a = decisions.build_alerts(s).join(
+        decisions.standin_drivers(s).select("id", "driver_top3", "driver_values3"), "id")
+    doc = decisions.nest_alerts(a)
+    return doc.select("alert_id", F.to_json(F.struct(*doc.columns)).alias("alert_json"))
+
+
+@query("replay_status", WX(S, "x as (select 1)", """select id, corridor, date, clock,
+  case when cascade_probability >= 0.1
+       then 'CASCADE SEED (' || printf('%.0f', cascade_probability * 100) || '% risk)'
+       else 'NO CASCADE (' || printf('%.0f', cascade_probability * 100) || '% risk)' end as status
+from scored where start_local is not null"""))
+def q_replay_status(spark, sf):
+    """Timeline status line for every incident of every corridor-day."""
+    s = flows.scored_standin(spark, sf).where(F.col("start_local").isNotNull())
+    return s.select("id", "corridor", "date", "clock", decisions.status_text("cascade_probability", 0.10)
+                    .alias("status"))
+
+
 @query("alert_ids", WX(S, ALERT_CTES, "select id, corridor, date, seq, alert_id from alerts"))
 def q_alert_ids(spark, sf):
     return flows.alerts_standin(spark, sf).select("id", "corridor", "date", "seq", "alert_id")

@@ -8,10 +8,12 @@ keep the check fast; the library defaults are the original 300 / 6.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ripple import constants as K
-from ripple.operators import decisions, metrics, ml, reports, timeseries
+from ripple.operators import cascade, decisions, metrics, ml, reports, timeseries
+from ripple.operators.joins import lookup_join
 from ripple.plans import flows
 from ripple.plans.catalog import query
 from ripple.plans.catalog_reports import DATA_CUTOFF
@@ -134,3 +136,22 @@ def q_ml_alerts(spark, sf):
 @query("ml_plan")
 def q_ml_plan(spark, sf):
     return decisions.plan_columns(decisions.allocate(q_ml_alerts(spark, sf)))
+
+
+@query("ml_score_scenarios")
+def q_ml_score_scenarios(spark, sf):
+    """M12 with the trained seed model: every corridor x weekday x hour x cause."""
+    models, *_ = trained(spark, sf)
+    eng = flows.engineered(spark, sf)
+    grid = metrics.scenario_grid(eng).drop("cascade_probability")
+    grid = grid.withColumnsRenamed({"hour": "hour_of_day", "cause": "event_cause_grouped"})
+    # what-if density: the corridor's share of all incidents
+    share = cascade.corridor_totals(eng).withColumn(
+        "cascade_density", F.col("corridor_total") / F.sum("corridor_total").over(Window.partitionBy()))
+    feats = lookup_join(grid, share.select("corridor", "cascade_density"), "corridor").withColumns({
+        "is_weekend": F.col("day_of_week").isin(5, 6).cast("long"),
+        "cascade_density": F.coalesce("cascade_density", F.lit(0.0))})
+    scored = models.seed.score(ml._numeric(models.enc.apply(feats), K.FEATURES_A))
+    return scored.select("corridor", "day_of_week", "hour_of_day", "event_cause_grouped",
+                         "cascade_probability",
+                         (F.col("cascade_probability") >= models.seed.threshold).alias("predicted_seed"))
