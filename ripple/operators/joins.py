@@ -23,10 +23,11 @@ def checked_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFra
     The lookup is persisted first so the size check and the join share one
     computation of it; on executor loss Spark rebuilds it from lineage.
     """
-    dim = dim.persist(StorageLevel.MEMORY_AND_DISK)
-    n = dim.limit(max_rows + 1).count()
+    cached = dim.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.limit(max_rows + 1).count()
     if n <= max_rows:
-        return F.broadcast(dim)
+        return F.broadcast(cached)
+    cached.unpersist()          # too big to broadcast: plain shuffle join, nothing pinned
     return dim
 
 

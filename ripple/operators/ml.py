@@ -147,7 +147,7 @@ def predict_severity(model: PipelineModel, df: DataFrame, enc: Encoders) -> Data
     if "congestion_severity" not in data.columns:
         data = data.withColumn("congestion_severity", F.lit("low"))
     out = model.transform(data)
-    labels = F.array(*[F.lit(x) for x in SEVERITY_CLASSES])
+    labels = F.array(*[F.lit(x) for x in model.stages[0].labels])      # the fitted label order
     return out.withColumn("severity", F.element_at(labels, F.col("sev_index").cast("int") + 1)) \
               .drop("features", "label", "rawPrediction", "sev_index")
 
@@ -224,8 +224,8 @@ def contributions(df: DataFrame, model: SeedModel, top: int = 3) -> DataFrame:
     """M6 (ablation, not Shapley): per row, the score drop when each feature is
     replaced by its mean; top ``top`` labels with values floored at 0.001."""
     feats = list(model.features)
-    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats])
-    mean_cols = {f: means.select(f).scalar() for f in feats}
+    means = df.agg(F.struct(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats])).scalar()
+    mean_cols = {f: means[f] for f in feats}          # one scalar subquery, shared
     variants = F.explode(F.sequence(F.lit(-1), F.lit(len(feats) - 1))).alias("_v")
     ex = df.select("*", variants)
     ex = ex.withColumns({f: F.when(F.col("_v") == i, mean_cols[f]).otherwise(F.col(f).cast("double"))

@@ -49,7 +49,8 @@ select corridor, cast(count(*) filter (where is_cascade_seed) as bigint) as seed
   cast(coalesce(sum(case when is_cascade_seed then secondary_count end), 0) as bigint) as total_secondary_events
 from lf where {NAMED} group by corridor"""))
 def q_seeds_by_corridor(spark, sf):
-    return reports.seeds_by_corridor(flows.seed_flags(flows.label_input(spark, sf)))
+    # the report only covers named corridors, so only they are labelled
+    return reports.seeds_by_corridor(cascade.follow_count(flows.label_input(spark, sf)))
 
 
 # --------------------------------------------------------------------------
