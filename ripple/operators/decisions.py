@@ -110,6 +110,7 @@ def build_alerts(scored: DataFrame, threshold: float = 0.10,
         F.col("event_cause_grouped").alias("cause"),
         F.col("time_label").alias("time_ist"),
         F.col("requires_road_closure").alias("road_closure_required"),
+        F.col(risk).alias("cascade_probability"),
         F.round(F.col(risk), 2).alias("risk_score"),
         F.col("predicted_secondary_count").alias("predicted_secondary_events_2h"),
         F.lit(K.TOP_CAUSE_EXPECTED).alias("top_cause_expected"),
@@ -182,8 +183,8 @@ def plan_columns(plan: DataFrame) -> DataFrame:
                        F.col("estimated_clearance_ist").alias("estimated_clearance"), "resource_flag")
 
 
-def tiers(alerts: DataFrame, risk: str = "risk_score") -> DataFrame:
-    """RED / AMBER / GREEN tier."""
+def tiers(alerts: DataFrame, risk: str = "cascade_probability") -> DataFrame:
+    """RED / AMBER / GREEN tier from the unrounded probability."""
     return alerts.withColumn("tier", X.band(risk, K.TIER_CUTS, "GREEN"))
 
 
@@ -227,7 +228,8 @@ def alert_log(alerts: DataFrame, n: int = 5) -> DataFrame:
     """The most recent ``n`` RED/AMBER alerts."""
     return (alerts.where(F.col("tier").isin("RED", "AMBER"))
                   .select("alert_id", "corridor", "start_local", "tier",
-                          F.format_string("%.0f%%", F.col("risk_score") * 100).alias("risk"), "cause")
+                          F.format_string("%.0f%%", F.col("cascade_probability") * 100).alias("risk"),
+                          "cause")
                   .orderBy(F.col("start_local").desc(), F.col("alert_id").desc())
                   .limit(n))
 

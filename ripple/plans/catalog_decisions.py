@@ -57,7 +57,7 @@ alerts as (
   select 'ALERT-' || strftime(date, '%Y%m%d') || '-' || code || '-' || printf('%03d', seq) as alert_id,
     id, corridor, date, seq, start_local, hour_of_day, event_cause_grouped as cause,
     time_label as time_ist, requires_road_closure as road_closure_required,
-    round(cascade_probability, 2) as risk_score,
+    cascade_probability, round(cascade_probability, 2) as risk_score,
     predicted_secondary_count as predicted_secondary_events_2h,
     '{K.TOP_CAUSE_EXPECTED}' as top_cause_expected, confidence_band,
     case when police_needed <= 0 and breakdown_needed <= 0 and barricades_needed <= 0
@@ -85,7 +85,7 @@ alerts as (
   from rq)"""
 
 ALERT_COLS = ("alert_id, id, corridor, date, seq, start_local, hour_of_day, cause, time_ist, "
-              "road_closure_required, risk_score, predicted_secondary_events_2h, top_cause_expected, "
+              "road_closure_required, cascade_probability, risk_score, predicted_secondary_events_2h, top_cause_expected, "
               "confidence_band, deploy_now, alert_stations, standby, police_needed, breakdown_needed, "
               "barricades_needed, police_flag, prio_flag, estimated_clearance_ist")
 
@@ -194,8 +194,8 @@ def q_resource_burn(spark, sf):
 
 @query("alert_tiers", WX(S, ALERT_CTES + """,
 t as (
-  select *, case when risk_score >= 0.6 then 'RED' when risk_score >= 0.3 then 'AMBER' else 'GREEN' end
-    as tier from alerts),
+  select *, case when cascade_probability >= 0.6 then 'RED' when cascade_probability >= 0.3 then 'AMBER'
+    else 'GREEN' end as tier from alerts),
 d as (
   select *,
     cast(case tier when 'RED' then police_needed when 'AMBER' then greatest(police_needed, 2) else 1 end
@@ -258,9 +258,9 @@ def q_driver_shares(spark, sf):
 
 
 @query("alert_log", WX(S, ALERT_CTES, """select alert_id, corridor, start_local,
-  case when risk_score >= 0.6 then 'RED' else 'AMBER' end as tier,
-  printf('%.0f%%', risk_score * 100) as risk, cause
-from alerts where risk_score >= 0.3 order by start_local desc, id desc limit 5"""))
+  case when cascade_probability >= 0.6 then 'RED' else 'AMBER' end as tier,
+  printf('%.0f%%', cascade_probability * 100) as risk, cause
+from alerts where cascade_probability >= 0.3 order by start_local desc, id desc limit 5"""))
 def q_alert_log(spark, sf):
     a = decisions.tiers(flows.alerts_standin(spark, sf))
     return decisions.alert_log(a, 5)

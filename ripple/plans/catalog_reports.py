@@ -195,28 +195,30 @@ def q_resolution_quantiles(spark, sf):
     return reports.resolution_quantiles(flows.engineered(spark, sf))
 
 
+# the dashboard labels seeds with its own rule: 130 min window, >= 4 followers
+DASH = O.ENGINEERED_CTES + "," + O._follow_cte("dash", K.DASHBOARD_FOLLOW_MINUTES, K.DASHBOARD_MIN_FOLLOWERS)
 KPI_SQL = """select count(*) as events, count(*) filter (where is_cascade_seed) as seeds,
   count(distinct case when is_cascade_seed then corridor end) as corridors_at_risk,
   avg(case when resolution_minutes > 0 and resolution_minutes <= 43200 then resolution_minutes end)
     as avg_resolution
-from lab"""
+from dash"""
 
 
-@query("period_kpis", W(L, KPI_SQL))
+@query("period_kpis", W(DASH, KPI_SQL))
 def q_period_kpis(spark, sf):
-    return reports.period_kpis(flows.labelled(spark, sf))
+    return reports.period_kpis(flows.dashboard_labelled(spark, sf))
 
 
 FILTER_ARGS = ("2024-01-08", "2024-01-21", ["Corridor 01", "Corridor 02", "Corridor 07"],
                ["accident", "water_logging", "civic_event", "vehicle_breakdown"])
 
 
-@query("period_kpis_filtered", W(L, KPI_SQL + """
+@query("period_kpis_filtered", W(DASH, KPI_SQL + """
 where date between date '2024-01-08' and date '2024-01-21'
   and corridor in ('Corridor 01', 'Corridor 02', 'Corridor 07')
   and event_cause_grouped in ('accident', 'water_logging', 'civic_event', 'vehicle_breakdown')"""))
 def q_period_kpis_filtered(spark, sf):
-    return reports.period_kpis(clean.filter_incidents(flows.labelled(spark, sf), *FILTER_ARGS))
+    return reports.period_kpis(clean.filter_incidents(flows.dashboard_labelled(spark, sf), *FILTER_ARGS))
 
 
 @query("bounds", W(E, f"""select min(date) as min_date, max(date) as max_date,

@@ -44,6 +44,11 @@ def labelled(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return cascade.cascade_features(engineered(spark, sf_dir), **kw)
 
 
+def dashboard_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engineered table labelled with the dashboard's seed rule (130 min, >= 4)."""
+    return seed_flags(engineered(spark, sf_dir), K.DASHBOARD_FOLLOW_MINUTES, K.DASHBOARD_MIN_FOLLOWERS)
+
+
 def scored_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.standin_score(labelled(spark, sf_dir))
 
