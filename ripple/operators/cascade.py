@@ -142,12 +142,16 @@ def cascade_pairs(df: DataFrame, minutes: int = K.FOLLOW_MINUTES, ts: str = "sta
                   key: str = "corridor", bucket_minutes: int | None = None) -> DataFrame:
     """(seed, follower) pairs with ``seed < follower <= seed + W`` per corridor.
 
-    An equi-join on ``(corridor, bucket)``: each follower is also offered to
-    the previous bucket when it lies within W of the bucket start, so the
-    join only ever meets rows that can pair and output size = pair count.
+    An equi-join on ``(corridor, bucket)`` with buckets W wide: each follower
+    is also offered to the previous bucket when it lies within W of the
+    bucket start, so a seed only meets followers less than 2 W after it (the
+    candidates are a constant factor of the output, never a whole corridor),
+    and AQE's skew join splits a hot bucket.
     """
     f_us = minutes * MICROS_PER_MINUTE
-    B = (bucket_minutes * MICROS_PER_MINUTE) if bucket_minutes else 4 * f_us
+    B = (bucket_minutes * MICROS_PER_MINUTE) if bucket_minutes else f_us
+    if B < f_us:
+        raise ValueError("bucket must be at least the window width")
     named = df.where(X.is_named_corridor(key) & F.col(ts).isNotNull()) \
               .select("id", key, ts).withColumn("_us", X.epoch_micros(ts))
     bkt = F.floor(F.col("_us") / F.lit(B)).cast("long")
