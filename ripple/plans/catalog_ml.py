@@ -1,7 +1,7 @@
 """Registered model queries (step 5): rows-only checks (no SQL oracle).
 
 Models are trained once per (session, input folder) and reused by the
-queries below.  The registered runs use 20 trees of depth 5 per model to
+queries below.  The registered runs use 10 trees of depth 4 per model to
 keep the check fast; the library defaults are the original 300 / 6.
 """
 
@@ -18,7 +18,7 @@ from ripple.plans import flows
 from ripple.plans.catalog import query
 from ripple.plans.catalog_reports import DATA_CUTOFF
 
-N_TREES, DEPTH, FOLDS = 20, 5, 5
+N_TREES, DEPTH, FOLDS = 10, 4, 5
 COARSE = tuple(round(x, 10) for x in np.linspace(0.1, 0.9, 9))
 FINE = tuple(round(x, 10) for x in np.linspace(0.1, 0.9, 81))
 _CACHE: dict = {}
