@@ -30,12 +30,11 @@ DEFAULT_ACCURACY = 100_000
 MARGIN = 4.0          # bracket half-width, in units of the sketch's rank error
 
 
-def _join(left: DataFrame, right: DataFrame, keys, one_row: bool = False) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Null-safe equi-join of ``left`` with a per-group table ``right``
-    (broadcast when it is the single global row, else only when measured small)."""
+    (broadcast only when measured small)."""
     ren = {k: f"_rk_{i}" for i, k in enumerate(keys)}
-    r = right.withColumnsRenamed(ren)
-    r = F.broadcast(r) if one_row else checked_small(r)
+    r = checked_small(right.withColumnsRenamed(ren))
     cond = [left[k].eqNullSafe(r[ren[k]]) for k in keys]
     return left.join(r, on=cond, how="inner").drop(*ren.values())
 
@@ -45,7 +44,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(), method: str = "li
     """One row per group: ``keys``, ``n`` and ``{prefix}0 .. {prefix}{k-1}``."""
     keys = list(keys)
     glob = not keys
-    if glob:
+    if glob:        # a constant group key; its tables are joined as scalar subqueries
         df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
     k = len(probs)
     eps = MARGIN / accuracy
@@ -62,7 +61,11 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(), method: str = "li
     hi = [F.lit(float("inf")) if hi_ps[i] >= 1.0
           else F.when(small, F.lit(float("inf"))).otherwise(F.col("_a")[k + i]) for i in range(k)]
     stats = stats.select(*keys, "n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
-    tagged = _join(src, stats, keys, glob)
+    if glob:        # one group: attach its stats as a scalar subquery, no join
+        st = stats.select(F.struct("n", "_lo", "_hi")).scalar()
+        tagged = src.withColumns({"n": st["n"], "_lo": st["_lo"], "_hi": st["_hi"]})
+    else:
+        tagged = _join(src, stats, keys)
     below = tagged.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_lo")[i]).alias(f"_b{i}")
                                         for i in range(k)])
     idx = F.filter(F.sequence(F.lit(0), F.lit(k - 1)),
@@ -80,7 +83,12 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(), method: str = "li
     else:
         raise ValueError(method)
     below_i = F.element_at(F.array(*[F.col(f"_b{i}") for i in range(k)]), F.col("_i") + 1)
-    j = _join(ranked, below, keys, glob).withColumns({
+    if glob:
+        b = below.select(F.struct(*[f"_b{i}" for i in range(k)])).scalar()
+        j = ranked.withColumns({f"_b{i}": b[f"_b{i}"] for i in range(k)})
+    else:
+        j = _join(ranked, below, keys)
+    j = j.withColumns({
         "_pos": pos, "_rlo": r_lo.cast("long") - below_i, "_rhi": r_hi.cast("long") - below_i})
     picked = j.where((F.col("_r") == F.col("_rlo")) | (F.col("_r") == F.col("_rhi")))
     per = picked.groupBy(*keys, "_i", "n", "_pos").agg(

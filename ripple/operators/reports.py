@@ -106,8 +106,7 @@ def summary(df: DataFrame) -> DataFrame:
     """One-row summary: resolution mean/median/P99, valid and open counts,
     flag sums and rates."""
     r = F.col("resolution_minutes")
-    q = exact_quantiles(df, "resolution_minutes", [0.5, 0.99]).select(
-        F.lit(0).alias("_g"), F.col("q0").alias("median_resolution"), F.col("q1").alias("p99_resolution"))
+    q = exact_quantiles(df, "resolution_minutes", [0.5, 0.99]).select(F.struct("q0", "q1")).scalar()
     return df.agg(
         _n().alias("n_rows"),
         F.avg(r).alias("mean_resolution"),
@@ -119,7 +118,7 @@ def summary(df: DataFrame) -> DataFrame:
         F.avg("is_weekend").alias("weekend_rate"),
         F.sum("is_heavy_vehicle").alias("n_heavy"),
         F.avg("is_heavy_vehicle").alias("heavy_rate"),
-    ).withColumn("_g", F.lit(0)).join(F.broadcast(q), "_g", "left").drop("_g")
+    ).withColumns({"median_resolution": q["q0"], "p99_resolution": q["q1"]})
 
 
 def top_corridors(df: DataFrame, n: int | None = 10) -> DataFrame:
