@@ -9,10 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ripple import constants as K
-from ripple.operators import cascade, clean, decisions, features, reports, timeseries
+from ripple.operators import cascade, clean, features, reports, timeseries
 from ripple.plans import flows
 from ripple.plans import oracle as O
 

@@ -62,10 +62,6 @@ def plan_standin(spark: SparkSession, sf_dir: str, threshold: float = 0.10) -> D
     return decisions.allocate(alerts_standin(spark, sf_dir, threshold))
 
 
-def named(df: DataFrame) -> DataFrame:
-    return df.where(X.is_named_corridor("corridor"))
-
-
 def seed_flags(df: DataFrame, minutes: int = K.FOLLOW_MINUTES,
                min_followers: int = K.MIN_FOLLOWERS) -> DataFrame:
     """Follow-on counts for every row (0 off named corridors)."""

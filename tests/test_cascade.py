@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -92,3 +93,34 @@ def test_catch_all_corridor_never_seeds(spark):
     out = cascade.cascade_features(df, with_density=False)
     assert _by_id(out, "secondary_count") == [0] * 5
     assert _by_id(out, "corridor_events_2h") == [0, 1, 2, 3, 4]
+
+
+def test_all_features_match_brute_force_on_mixed_corridors(spark):
+    rnd = random.Random(11)
+    corridors = ["Corridor A", "Corridor B", "Non-corridor"]
+    causes = ["water_logging", "others", "accident", "tree_fall"]
+    rows = []
+    for i in range(400):
+        h = None if rnd.random() < 0.05 else rnd.choice([round(rnd.uniform(0, 72), 2), float(rnd.randint(0, 72))])
+        rows.append((i, rnd.choice(corridors), None if h is None else T0 + dt.timedelta(hours=h),
+                     rnd.choice(causes)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: r for r in cascade.cascade_features(df).collect()}
+    total = {c: sum(1 for r in rows if r[1] == c) for c in corridors}
+    for i, c, t, cause in rows:
+        g = got[i]
+        if t is None:
+            assert (g["corridor_events_2h"], g["corridor_events_6h"], g["seed_event_present_3h"],
+                    g["secondary_count"]) == (0, 0, 0, 0)
+            continue
+        earlier = [r for r in rows if r[1] == c and r[2] is not None and (r[2], r[0]) < (t, i)]
+        e2 = sum(1 for r in earlier if r[2] >= t - dt.timedelta(hours=2))
+        e6 = sum(1 for r in earlier if r[2] >= t - dt.timedelta(hours=6))
+        s3 = int(any(r[2] >= t - dt.timedelta(hours=3) and r[3] in ("water_logging", "tree_fall")
+                     for r in earlier))
+        fol = 0 if c == "Non-corridor" else sum(
+            1 for r in rows if r[1] == c and r[2] is not None and t < r[2] <= t + dt.timedelta(hours=2))
+        assert (g["corridor_events_2h"], g["corridor_events_6h"], g["seed_event_present_3h"],
+                g["secondary_count"]) == (e2, e6, s3, fol), i
+        assert g["cascade_density"] == pytest.approx(e2 / total[c])
+        assert g["is_cascade_seed"] == (fol >= 3)
