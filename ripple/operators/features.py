@@ -135,4 +135,6 @@ def map_feed(df: DataFrame, limit: int | None = 500) -> DataFrame:
                      F.upper("event_cause_grouped").alias("cause_label"),
                      (F.greatest(F.coalesce("corridor_risk_score", F.lit(0.0)), F.lit(0.1)) * 15 + 5)
                      .alias("point_size")))
+    total = pts.select(F.count(F.lit(1))).scalar()      # all mappable incidents, not just shown
+    pts = pts.withColumn("n_points", total)
     return pts.orderBy("id").limit(limit) if limit else pts

@@ -118,7 +118,8 @@ def scenario_grid(eng: DataFrame, hours=(2, 6)) -> DataFrame:
     """
     from ripple.operators import decisions, reports
     named = eng.where(X.is_named_corridor("corridor"))
-    prof = named.groupBy("corridor").agg(F.avg("corridor_risk_score").alias("corridor_risk_score"))
+    # one risk value per corridor: its mean is its max (exact, order-free)
+    prof = named.groupBy("corridor").agg(F.max("corridor_risk_score").alias("corridor_risk_score"))
     causes = eng.select(F.array_sort(F.collect_set("event_cause_grouped"))).scalar()
     grid = (prof.select("corridor", "corridor_risk_score",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("day_of_week"))

@@ -183,12 +183,16 @@ def distinct_values(df: DataFrame, col: str, named_only: bool = False) -> DataFr
 
 
 def corridor_profile(df: DataFrame) -> DataFrame:
-    """Modal zone, modal station and mean risk per named corridor."""
+    """Modal zone, modal station and mean risk per named corridor.
+
+    The risk score is one value per corridor, so its mean is taken as ``max``
+    (exact; a double ``avg`` would depend on the summation order).
+    """
     return (df.where(X.is_named_corridor("corridor"))
               .groupBy("corridor")
               .agg(F.mode("zone", deterministic=True).alias("typical_zone"),
                    F.mode("police_station", deterministic=True).alias("typical_station"),
-                   F.avg("corridor_risk_score").alias("typical_risk")))
+                   F.max("corridor_risk_score").alias("typical_risk")))
 
 
 def slot_intensity(df: DataFrame, hours=(2, 6)) -> DataFrame:

@@ -268,7 +268,8 @@ def q_alert_log(spark, sf):
 
 @query("map_feed", O.with_ctes(E, """select id, latitude, longitude, corridor,
   upper(event_cause_grouped) as cause_label,
-  greatest(coalesce(corridor_risk_score, 0.0), 0.1) * 15 + 5 as point_size
+  greatest(coalesce(corridor_risk_score, 0.0), 0.1) * 15 + 5 as point_size,
+  (select count(*) from eng where latitude is not null and longitude is not null) as n_points
 from eng where latitude is not null and longitude is not null order by id limit 500"""))
 def q_map_feed(spark, sf):
     return features.map_feed(flows.engineered(spark, sf), 500)
@@ -293,7 +294,7 @@ def _slot(k):
 
 
 SCEN_CTES = f"""prof as (
-  select corridor, avg(corridor_risk_score) as typical_risk from eng where {O.NAMED} group by corridor),
+  select corridor, max(corridor_risk_score) as typical_risk from eng where {O.NAMED} group by corridor),
 {_slot(2)},
 {_slot(6)},
 causes as (select distinct event_cause_grouped as cause from eng),

@@ -241,7 +241,7 @@ def _mode_sql(col):
 
 @query("corridor_profile", W(E, f"""select a.corridor, z.v as typical_zone, s.v as typical_station,
   a.typical_risk from
-  (select corridor, avg(corridor_risk_score) as typical_risk from eng where {NAMED} group by corridor) a
+  (select corridor, max(corridor_risk_score) as typical_risk from eng where {NAMED} group by corridor) a
   left join {_mode_sql('zone')} z on a.corridor = z.corridor
   left join {_mode_sql('police_station')} s on a.corridor = s.corridor"""))
 def q_corridor_profile(spark, sf):
