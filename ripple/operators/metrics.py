@@ -120,6 +120,7 @@ def scenario_grid(eng: DataFrame, hours=(2, 6)) -> DataFrame:
     named = eng.where(X.is_named_corridor("corridor"))
     # one risk value per corridor: its mean is its max (exact, order-free)
     prof = named.groupBy("corridor").agg(F.max("corridor_risk_score").alias("corridor_risk_score"))
+    # the cause vocabulary (a handful of values; partial sets are merged map-side)
     causes = eng.select(F.array_sort(F.collect_set("event_cause_grouped"))).scalar()
     grid = (prof.select("corridor", "corridor_risk_score",
                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("day_of_week"))
