@@ -97,8 +97,9 @@ def fit_seed(train: DataFrame, enc: Encoders, folds: int = 5, n_trees: int = 300
     feats = K.FEATURES_A
     data = _numeric(enc.apply(train), feats).withColumn(
         "label", F.col("is_cascade_seed").cast("double"))
-    neg = data.select(F.count_if(F.col("label") == 0)).scalar()
-    pos = data.select(F.count_if(F.col("label") == 1)).scalar()
+    cnt = data.select(F.struct(F.count_if(F.col("label") == 0).alias("neg"),
+                               F.count_if(F.col("label") == 1).alias("pos"))).scalar()
+    neg, pos = cnt["neg"], cnt["pos"]
     weight = F.when(F.col("label") == 1, F.coalesce(F.try_divide(neg.cast("double"), pos.cast("double")),
                                                      F.lit(1.0))).otherwise(F.lit(1.0))
     data = data.withColumns({"w": weight, "_fold": F.pmod(F.xxhash64("id"), F.lit(folds))})

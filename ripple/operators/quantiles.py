@@ -40,14 +40,18 @@ def _join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, keys=(), method: str = "linear",
-                    accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
-    """One row per group: ``keys``, ``n`` and ``{prefix}0 .. {prefix}{k-1}``."""
+                    accuracy: int = DEFAULT_ACCURACY, prefix: str = "q",
+                    size_probe: bool = False) -> DataFrame:
+    """One row per group: ``keys``, ``n`` and ``{prefix}0 .. {prefix}{k-1}``.
+
+    ``size_probe`` (ungrouped only) counts the rows first, an eager job:
+    below ``2 * accuracy`` rows Spark's exact percentile holds a bounded value
+    map and is cheaper; above, the bracket keeps every task small.  Both give
+    the same value.  Leave it off when the result may be pruned away lazily.
+    """
     keys = list(keys)
     glob = not keys
-    if glob and method == "linear":
-        # one group: its size picks the path.  Below 2 * accuracy rows Spark's
-        # exact percentile holds a bounded value map and is cheaper; above, the
-        # bracket keeps every task small.  Both give the same value.
+    if glob and method == "linear" and size_probe:
         vals = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
         if vals.count() < 2 * accuracy:
             pct = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))

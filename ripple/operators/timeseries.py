@@ -25,8 +25,9 @@ def hourly_grid(counts: DataFrame) -> DataFrame:
     span, not by the number of incidents), then the observed counts are
     left-joined on ``(corridor, hour)``.
     """
-    lo = counts.select(F.min("hourly_bucket")).scalar()
-    hi = counts.select(F.max("hourly_bucket")).scalar()
+    span = counts.select(F.struct(F.min("hourly_bucket").alias("lo"),
+                                  F.max("hourly_bucket").alias("hi"))).scalar()   # one subquery
+    lo, hi = span["lo"], span["hi"]
     corridors = counts.select("corridor").distinct()
     grid = corridors.select("corridor", F.explode(
         F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR"))).alias("hourly_bucket"))

@@ -36,5 +36,7 @@ def test_upper_median_and_global(data, accuracy):
     ref = {r["g"]: r["m"] for r in data.groupBy("g").agg(
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)").alias("m")).collect()}
     assert up == ref and up["d"] == 3.0
-    g = exact_quantiles(data, "v", [0.99], accuracy=accuracy).first()
-    assert g["q0"] == data.select(F.percentile("v", 0.99)).first()[0]
+    ref99 = data.select(F.percentile("v", 0.99)).first()[0]
+    for probe in (False, True):
+        g = exact_quantiles(data, "v", [0.99], accuracy=accuracy, size_probe=probe).first()
+        assert g["q0"] == ref99
