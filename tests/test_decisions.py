@@ -105,3 +105,16 @@ def test_bands_and_tiers(spark):
                      X.band("risk_score", (((0.60, "RED"), (0.30, "AMBER"))), "GREEN").alias("t")).collect()
     assert [r["b"] for r in rows] == ["HIGH", "MEDIUM", "MEDIUM", "LOW", "LOW"]
     assert [r["t"] for r in rows] == ["RED", "RED", "AMBER", "AMBER", "GREEN"]
+
+
+def test_nested_alert_document(spark):
+    import json
+
+    import __spark_entry__ as E
+    from conftest import SF001
+    doc = json.loads(E.queries()["alerts_nested"](spark, SF001).first()["alert_json"])
+    assert set(doc) == {"alert_id", "trigger", "cascade_prediction", "deployment",
+                        "estimated_clearance_ist", "driver_top3", "driver_values3"}
+    assert set(doc["deployment"]) == {"DEPLOY_NOW", "ALERT_STATIONS", "STANDBY", "police_needed",
+                                      "breakdown_needed", "barricades_needed", "police_flag", "prio_flag"}
+    assert len(doc["driver_top3"]) == 3 and min(doc["driver_values3"]) >= 0.001
