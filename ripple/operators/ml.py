@@ -103,7 +103,9 @@ def fit_seed(train: DataFrame, enc: Encoders, folds: int = 5, n_trees: int = 300
     weight = F.when(F.col("label") == 1, F.coalesce(F.try_divide(neg.cast("double"), pos.cast("double")),
                                                      F.lit(1.0))).otherwise(F.lit(1.0))
     data = data.withColumns({"w": weight, "_fold": F.pmod(F.xxhash64("id"), F.lit(folds))})
-    data = data.select("id", "label", "w", "_fold", *feats).persist()
+    # every fold and boosting round rereads this frame: cut its lineage with a
+    # reliable checkpoint in the shared folder (survives executor loss)
+    data = data.select("id", "label", "w", "_fold", *feats).checkpoint()
     model = SeedModel()
     for k in range(folds):
         gbt = Pipeline(stages=[_assembler(feats), GBTClassifier(
@@ -114,7 +116,6 @@ def fit_seed(train: DataFrame, enc: Encoders, folds: int = 5, n_trees: int = 300
         iso = IsotonicRegression(featuresCol="_rawv", labelCol="label", predictionCol="prediction") \
             .fit(held.select("_rawv", "label"))
         model.folds.append((fitted, iso))
-    data.unpersist()
     return model
 
 

@@ -22,12 +22,15 @@ N_TREES, DEPTH, FOLDS = 10, 4, 5
 COARSE = tuple(round(x, 10) for x in np.linspace(0.1, 0.9, 9))
 FINE = tuple(round(x, 10) for x in np.linspace(0.1, 0.9, 81))
 _CACHE: dict = {}
+_TRAIN: dict = {}
 
 
 def _inputs(spark, sf):
-    lab = flows.labelled(spark, sf)
+    # models train and score on these many times: checkpoint them once
+    lab = flows.labelled(spark, sf).checkpoint()
     train, test = reports.time_split(lab, DATA_CUTOFF)
-    grid = timeseries.add_lags(timeseries.hourly_grid(timeseries.hourly_counts(flows.engineered(spark, sf))))
+    grid = timeseries.add_lags(timeseries.hourly_grid(
+        timeseries.hourly_counts(flows.engineered(spark, sf)))).checkpoint()
     cut = F.lit(DATA_CUTOFF).cast("timestamp_ntz")
     return lab, train, test, grid, grid.where(F.col("hourly_bucket") < cut), grid.where(
         F.col("hourly_bucket") >= cut)
@@ -47,6 +50,7 @@ def trained(spark, sf):
     sev = ml.fit_severity(train, enc, n_trees=N_TREES, depth=DEPTH)
     counts = ml.fit_counts(gtrain)
     models = ml.Models(enc, seed, sev, counts)
+    _TRAIN[key] = train
     _CACHE[key] = (models, grid, test, gtest)
     return _CACHE[key]
 
@@ -65,7 +69,7 @@ def q_ml_seed_scores(spark, sf):
 @query("ml_threshold")
 def q_ml_threshold(spark, sf):
     models, *_ = trained(spark, sf)
-    _, train, *_ = _inputs(spark, sf)
+    train = _TRAIN[(spark.sparkContext.applicationId, sf)]
     tr = models.seed.score(ml._numeric(models.enc.apply(train), K.FEATURES_A))
     return metrics.choose_threshold(tr, "cascade_probability", "is_cascade_seed", COARSE, FINE, 1.0)
 
