@@ -86,11 +86,16 @@ def severity(priority, closure) -> Column:
 
 
 def epoch_micros(name: str) -> Column:
-    """Microseconds since the epoch of a wall-clock timestamp column.
+    """Microseconds since the epoch of a wall-clock (TIMESTAMP_NTZ) column.
 
-    Independent of the session time zone for TIMESTAMP_NTZ input.
+    Built from the date and clock fields, so it does not depend on the
+    session time zone or its daylight-saving rules.
     """
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    t = F.col(name)
+    days = F.unix_date(F.to_date(t)).cast("long")
+    clock = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long") * 1_000_000
+    secs = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")      # seconds with fraction
+    return days * 86_400_000_000 + clock + secs
 
 
 def to_local(ts, tz=K.LOCAL_TZ) -> Column:
