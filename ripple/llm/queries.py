@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ripple.llm import packing, pieces, urlrules
+from ripple.llm import knn, packing, pieces, sharding, urlrules
 from ripple.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_shard")
+def op1_shard(spark, sf):
+    return (sharding.shard(table(spark, sf, "documents"), 40)
+            .withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+            .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,3 +71,21 @@ def op8_pack(spark, sf):
     cut = packing.pieces(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                          PACK_END, PACK_SIZE)
     return packing.pack(cut, PACK_SIZE)
+
+
+@query("op6_knn", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as vec
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.vec) = len(c.vec) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 5""")
+def op6_knn(spark, sf):
+    points = knn.quantized(table(spark, sf, "embeddings"))
+    return knn.top_k(points, points.where(F.col("id") % 50 == 0), 5)
