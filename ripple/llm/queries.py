@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import knn, packing, pieces, sharding, urlrules
+from ripple.llm import golay, knn, packing, pieces, sharding, urlrules
 from ripple.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ where rank <= 5""")
 def op6_knn(spark, sf):
     points = knn.quantized(table(spark, sf, "embeddings"))
     return knn.top_k(points, points.where(F.col("id") % 50 == 0), 5)
+
+
+@query("op10_simhash")
+def op10_simhash(spark, sf):
+    return golay.near_duplicates(table(spark, sf, "documents"), words_each=3)
