@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import golay, knn, packing, pieces, sharding, urlrules
+from ripple.llm import golay, knn, packing, pieces, sharding, urlrules, weighted
 from ripple.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op6_knn(spark, sf):
 @query("op10_simhash")
 def op10_simhash(spark, sf):
     return golay.near_duplicates(table(spark, sf, "documents"), words_each=3)
+
+
+@query("op9_fingerprint")
+def op9_fingerprint(spark, sf):
+    return weighted.compare(table(spark, sf, "documents"))
