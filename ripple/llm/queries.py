@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import golay, knn, packing, pieces, sharding, urlrules, weighted
+from ripple.llm import golay, knn, linededup, packing, pieces, sharding, urlrules, weighted
 from ripple.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,49 @@ def op10_simhash(spark, sf):
 @query("op9_fingerprint")
 def op9_fingerprint(spark, sf):
     return weighted.compare(table(spark, sf, "documents"))
+
+
+LINE_CTES = """
+docs as (select doc_id, text from documents where text is not null),
+ln as (
+  select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line,
+    unnest(string_split(text, chr(10))) as l from docs),
+wl as (
+  select * from (
+    select doc_id, text, line,
+      list_filter(regexp_split_to_array(l, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from ln)
+  where len(words) > 0),
+occ as (
+  select *, row_number() over (order by doc_id, line) as place, array_to_string(words, ' ') as key from wl),
+dl as (select key, min(place) as first, any_value(words) as words from occ group by key),
+lw as (select key, first, words, unnest(range(len(words))) as gap from dl where len(words) >= 8),
+var as (
+  select key, first, gap, array_to_string(words[:gap] || words[gap + 2:], ' ') as v from lw),
+near as (
+  select distinct x.key from (
+    select key, first, min(first) over (partition by v, gap) as least from var) x where least < first
+  union
+  select case when d.first < v.first then v.key else d.key end from var v join dl d
+  on d.key = v.v and len(d.words) >= 8),
+lines_out as (
+  select o.doc_id, o.line, n.key is not null as is_near, n.key is null and o.place > d.first as is_exact
+  from occ o join dl d on o.key = d.key left join near n on o.key = n.key)"""
+
+
+@query("op4_line_dedup", f"""with {LINE_CTES},
+counts as (
+  select doc_id, count(*) filter (where is_exact) as n_exact, count(*) filter (where is_near) as n_near
+  from lines_out group by doc_id),
+kept as (
+  select x.doc_id, string_agg(x.l, chr(10) order by x.line) as text
+  from ln x left join lines_out o on x.doc_id = o.doc_id and x.line = o.line
+  where not coalesce(o.is_near or o.is_exact, false) group by x.doc_id)
+select d.doc_id, cast(case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as bigint) as n_lines,
+  cast(coalesce(c.n_exact, 0) as bigint) as n_exact, cast(coalesce(c.n_near, 0) as bigint) as n_near,
+  case when d.text is not null then sha256(coalesce(k.text, '')) end as kept_sha256
+from documents d left join counts c on d.doc_id = c.doc_id left join kept k on d.doc_id = k.doc_id""")
+def op4_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").alias("n_exact"),
+        F.col("_n_near").alias("n_near"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
