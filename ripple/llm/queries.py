@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import golay, knn, linededup, packing, pieces, sharding, urlrules, weighted
+from ripple.llm import golay, knn, linededup, packing, pieces, pii, sharding, urlrules, weighted
 from ripple.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,12 @@ def op4_line_dedup(spark, sf):
     return linededup.dedup_lines(docs).select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").alias("n_exact"),
         F.col("_n_near").alias("n_near"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_pii")
+def op7_pii(spark, sf):
+    found = pii.find(table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"))
