@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import golay, knn, linededup, packing, pieces, pii, sharding, urlrules, weighted
+from ripple.llm import golay, knn, linededup, packing, pieces, pii, sharding, toxicity, urlrules, weighted
 from ripple.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,15 @@ def op7_pii(spark, sf):
     return found.select(
         "doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.span_text(F.col("spans")).alias("spans"))
+
+
+TOXIC_AT = 0.7
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.with_score(docs, model).select(
+        "doc_id", (~toxicity.in_training_fold("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
