@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripple.llm.common import slices, stored
@@ -200,3 +200,20 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id"
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, in a single row.
+
+    A null id counts as the largest; between rows with one id a hash of the
+    whole row decides.  All columns are kept.
+    """
+    own = docs.withColumn("_row", F.xxhash64(*(F.col(c) for c in docs.columns)))
+    named = own.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                                F.col("_row").alias("row")).alias("_name"), F.col(text_col).alias("text"))
+    first = (classes(named, words_each, "_name", "text").groupBy("root").agg(F.min("doc_id").alias("w"))
+             .select(F.col("w.id").alias("_id"), F.col("w.row").alias("_first")))
+    kept = own.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_first")))
+    once = Window.partitionBy(id_col, "_row").orderBy(F.lit(0))
+    return kept.withColumn("_k", F.row_number().over(once)).where("_k = 1").select(*docs.columns)
