@@ -33,8 +33,9 @@ TRAIN_CHARS = 20_000
 WINDOW, STRIDE = 40, 30
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 8, 8
 TRIGRAMS = 4_096
-MIN_DOCS = 4                    # a word of fewer training texts shares the vector of unknown words
-EPOCHS, WARM_EPOCHS, BATCH, RATE = 10, 3, 256, 0.01
+MIN_DOCS = 3                    # a word of fewer training texts shares the vector of unknown words
+EPOCHS, WARM_SHARE, BATCH, RATE = 10, 0.3, 256, 0.01
+MIN_STEPS = 600                 # small training sets run more epochs, for this many steps
 TABLE_WORDS = 200_000           # distinct words a task keeps gate inputs of
 SCORE_WINDOWS = 4_096           # windows of one numpy batch
 EDGE = re.compile(r"^\W+|\W+$")
@@ -284,14 +285,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     adam = Adam(model.p)
     spans = [windows_of(len(t)) for t in docs]
     heavier = min(8.0, neg / pos)
-    for epoch in range(EPOCHS):
+    per_epoch = max(1, round(sum(min(len(s), 8 if label else 3) for s, label in zip(spans, labels)) / BATCH))
+    epochs = max(EPOCHS, min(80, MIN_STEPS // per_epoch))
+    warm = round(WARM_SHARE * epochs)
+    for epoch in range(epochs):
         chosen: list[tuple[int, int]] = []
-        if epoch < WARM_EPOCHS:
+        if epoch < warm:
             for i, s in enumerate(spans):
                 pick = r.permutation(len(s))[:8 if labels[i] else 3]
                 chosen += [(i, int(k)) for k in pick]
         else:
-            if (epoch - WARM_EPOCHS) % 2 == 0:
+            if (epoch - warm) % max(2, epochs // 5) == 0:
                 logits, owner = model.window_logits(docs)
             ends = np.searchsorted(owner, np.arange(len(docs) + 1))
             for i in range(len(docs)):
@@ -307,9 +311,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
             if not place:
                 continue
             target = y[[i for i, _ in part]]
-            weights = np.where(target > 0, heavier if epoch < WARM_EPOCHS else 1.0, 1.0)
+            weights = np.where(target > 0, heavier if epoch < warm else 1.0, 1.0)
             _, g = model.gradients(list(place), index, target, weights)
-            adam.step(model.p, g, RATE * (1.0 if epoch < EPOCHS - 4 else 0.3))
+            adam.step(model.p, g, RATE * (1.0 if epoch < 0.6 * epochs else 0.3))
     # scale and offset of the documents' highest logits, by Newton steps with a weak prior
     logits, owner = model.window_logits(docs)
     best = np.full(len(docs), -np.inf)
