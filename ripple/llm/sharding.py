@@ -6,19 +6,17 @@ one with the smallest part of the other, until one is left; unwinding the
 combinations gives each group its part.
 
 How it runs on Spark: groups are sums over their rows (partial sums before
-the shuffle, so a group of any number of rows is cheap).  They are dealt by
-hash into blocks of about ``BLOCK_ITEMS``; every block is differenced in a
-task of its own, and its parts are the items of the next level, until one
-block holds them all.  A block of n items leaves k, so a level shrinks the
-items by n/k; an item too heavy to be balanced stays a part nearly by itself
-and meets the rest at the last level.  Every level is stored in the shared
-folder; a task sees one block, whatever the input's size.
+the shuffle, so a group of any number of rows is cheap).  A group of at least
+1/``PACKETS`` of all bytes is an item of its own, of which there are at most
+``PACKETS``; lighter groups are summed by hash into as many *packets*.  So
+one task differences at most ``2 * PACKETS`` items at any input size, heavy
+groups meet the others first, and thousands of packets of different size
+level the parts out.  Groups and packets are joined back to the rows.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ripple.llm.common import partitions, stored, unsigned_crc32
 
-BLOCK_ITEMS = 4096
+PACKETS = 16_384
 ROW_BYTES = 16
 
 
@@ -68,40 +66,24 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     return part
 
 
-def _differenced(items: DataFrame, k: int, n_blocks: int) -> DataFrame:
-    """``item, block, part, size`` of items(item, size), each block on its own."""
-    kind = dict(items.dtypes)["item"]
-
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        block = block.sort_by([("size", "descending"), ("item", "ascending")])
-        part = karmarkar_karp(block.column("size").to_numpy(), k)
-        return pa.table({"item": block.column("item"), "block": block.column("block"),
-                         "part": pa.array(part, pa.int32()), "size": block.column("size")})
-
-    return (items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
-            .groupBy("block").applyInArrow(run, f"item {kind}, block long, part int, size long"))
-
-
-def balance(items: DataFrame, k: int) -> DataFrame:
-    """``item, shard`` for items(item, size): sizes of the k shards as equal as differencing makes them."""
-    levels = []
-    level = items.select("item", F.col("size").cast("long").alias("size"))
-    while True:
-        n = level.count()
-        n_blocks = max(1, math.ceil(n / max(BLOCK_ITEMS, 4 * k)))
-        done = stored(_differenced(level, k, n_blocks), "differenced")
-        levels.append(done)
-        if n_blocks == 1:
-            break
-        # the parts of a block are the items of the next level
-        level = stored(done.groupBy((F.col("block") * k + F.col("part")).alias("item"))
-                       .agg(F.sum("size").alias("size")), "parts")
-    shards = levels.pop().select("item", F.col("part").alias("shard"))
-    for below in reversed(levels):
-        up = shards.withColumnRenamed("item", "_up")
-        shards = (below.withColumn("_up", F.col("block") * k + F.col("part")).join(up, "_up")
-                  .select("item", "shard"))
-    return shards
+def _differenced(packets: DataFrame, k: int) -> DataFrame:
+    """``packet, shard`` of the (at most 2 * PACKETS) packets(packet, size), in one task."""
+    def run(packets: pa.Table) -> pa.Table:
+        packets = packets.sort_by([("size", "descending"), ("packet", "ascending")])
+        part = karmarkar_karp(packets.column("size").to_numpy(), k)
+        return pa.table({"packet": packets.column("packet"), "shard": pa.array(part, pa.int32())})
+
+    return packets.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "packet string, shard int")
+
+
+def balance(groups: DataFrame, k: int) -> DataFrame:
+    """``item, shard`` for groups(item string, size): sizes of the k shards as equal as differencing makes them."""
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    light = F.concat(F.lit("#"), F.pmod(F.xxhash64("item"), F.lit(PACKETS)).cast("string"))
+    groups = groups.select("item", "size", F.when(F.col("size") * PACKETS >= total, F.col("item")).otherwise(light)
+                           .alias("packet"))
+    packets = stored(groups.groupBy("packet").agg(F.sum("size").alias("size")), "packets")
+    return groups.join(stored(_differenced(packets, k), "differenced"), "packet").select("item", "shard")
 
 
 def shard(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
