@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripple.llm.common import stored
+from ripple.llm.common import partitions, stored
 
 MIN_WORDS = 8
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,7 +43,7 @@ def words_of(line):
 
 def _key(words):
     """128 bits that name a word sequence."""
-    return F.md5(F.array_join(words, " ").cast("binary"))
+    return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,26 +66,26 @@ def _halves(words):
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``key, first, left, gap, a, b`` of lines(key, first, words): the whole line and each deletion.
+    """``id, gap, at_gap, any_gap`` of lines(id, words): hashed keys of the whole line and of each deletion.
 
-    ``a`` and ``b`` are two independent hash sums of the words that are left;
-    ``gap`` is the position of the word left out (-1: the whole line).
+    ``gap`` is the position of the word left out (-1: the whole line); it is
+    part of the key ``at_gap`` and not of ``any_gap``.
     """
-    words = lines.select("key", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
-    hashed = words.select("key", "first", "n", "i", *(
+    dealt = lines.repartition(partitions(lines.sparkSession), "id")      # a line's words stay in one partition
+    words = dealt.select("id", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    hashed = words.select("id", "n", "i", *(
         F.xxhash64(F.lit(s), F.col("w"), F.col("i") - F.lit(back)).bitwiseAND(F.lit(MASK)).alias(f"{name}{back}")
         for s, name in ((0, "a"), (1, "b")) for back in (0, 1)))
-    before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    whole = hashed.groupBy("key", "first").agg(F.any_value("n").alias("left"), F.lit(-1).alias("gap"),
-                                               F.sum("a0").alias("a"), F.sum("b0").alias("b"))
-    # sums over the rows after one are the total less the rows up to it
-    total = Window.partitionBy("key")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    upto = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    less = hashed.select("key", "first", (F.col("n") - 1).alias("left"), F.col("i").alias("gap"), *(
-        (zero(F.sum(f"{c}0").over(before)) + F.sum(f"{c}1").over(total) - F.sum(f"{c}1").over(upto)).alias(c)
+    total = Window.partitionBy("id")
+    upto = total.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # words in front of the gap keep their place, words behind it move up by one
+    less = hashed.select("id", (F.col("n") - 1).alias("left"), F.col("i").alias("gap"), *(
+        (F.sum(f"{c}0").over(upto) - F.col(f"{c}0") + F.sum(f"{c}1").over(total) - F.sum(f"{c}1").over(upto)).alias(c)
         for c in "ab"))
-    return whole.select("key", "first", "left", "gap", "a", "b").unionByName(less)
+    whole = hashed.groupBy("id").agg(F.max("n").alias("left"), F.lit(-1).alias("gap"),
+                                     F.sum("a0").alias("a"), F.sum("b0").alias("b"))
+    return less.unionByName(whole).select("id", "gap", F.xxhash64("left", "a", "b", "gap").alias("at_gap"),
+                                          F.xxhash64("left", "a", "b").alias("any_gap"))
 
 
 def one_edit(x, y):
@@ -99,39 +99,41 @@ def one_edit(x, y):
     return (long_ - F.least(head, short) - tail) <= 1
 
 
-def nearest_earlier(distinct: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """``key, partner`` of distinct(key, first, halves): lines with an earlier line one edit away.
+def _fetched(texts: DataFrame, able: DataFrame) -> DataFrame:
+    """``id, words`` of able(id, first), from texts(doc_id, row, text): the texts are shuffled once, not their words."""
+    wanted = able.select("first.doc_id", "first.row", F.struct("first.line", "id").alias("x")).groupBy(
+        F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("x").alias("wanted"))
+    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select(
+        "wanted", F.split("text", "\n", -1).alias("lines"))
+    picked = F.when(F.size("lines") > 0, F.transform("wanted", lambda x: F.struct(
+        x["id"].alias("id"), F.get(F.col("lines"), x["line"]).alias("l"))))
+    return (joined.select(F.explode(picked).alias("x")).groupBy("x.id").agg(F.any_value("x.l").alias("l"))
+            .select("id", words_of(F.col("l")).alias("words")))
 
-    ``occurrences`` gives the words of a line by ``doc_id, row, line``.
-    """
-    halves = distinct.select("key", F.explode("halves").alias("half"))
-    shared = (halves.groupBy("half").agg(F.min("key").alias("x"), F.max("key").alias("y"))
-              .where("x <> y").select("half"))
+
+def nearest_earlier(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key`` of distinct(key, first, halves): the lines with an earlier line one edit away."""
+    halves = distinct.select(F.explode("halves").alias("half"), "key", F.xxhash64("key").alias("k"))
+    shared = (halves.groupBy("half").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("half"))
     able = halves.join(shared, "half", "left_semi").select("key").distinct()
-    able = stored(distinct.join(able, "key").select("key", "first"), "able")
-    # the words of these lines, fetched where they first occur
-    lines = able.select("key", "first", "first.doc_id", "first.row", "first.line")
-    fetched = stored(occurrences.withColumnRenamed("doc_id", "_id").join(
-        lines, F.col("_id").eqNullSafe(F.col("doc_id")) & (occurrences["row"] == lines["row"])
-        & (occurrences["line"] == lines["line"])).groupBy("key", "first").agg(F.any_value("words").alias("words")),
-        "words")
+    # numbers in the order of first occurrence: smaller is earlier
+    able = stored(distinct.join(able, "key").select("key", "first").orderBy("first")
+                  .withColumn("id", F.monotonically_increasing_id()), "able")
+    fetched = stored(_fetched(texts, able), "words")
     variants = stored(_variants(fetched), "variants")
     deleted = variants.where("gap >= 0")
     # a word replaced: both lines without the word at one position
-    same_gap = deleted.groupBy("left", "gap", "a", "b").agg(
-        F.min(F.struct("first", "key")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    replaced = (deleted.join(same_gap, ["left", "gap", "a", "b"]).where(F.col("p.first") < F.col("first"))
-                .select("key", "p"))
+    least = deleted.groupBy("at_gap").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").drop("q")
+    replaced = deleted.join(least, "at_gap").where("p < id").select("id", "p")
     # a word put in: a whole line equals a longer one without a word
-    whole = variants.where("gap < 0").select("left", "a", "b", F.struct("first", "key").alias("p"))
-    fit = deleted.join(whole, ["left", "a", "b"]).select(F.struct("first", "key").alias("long"), F.col("p").alias("short"))
-    later = F.greatest("long", "short")
-    put_in = fit.select(later["key"].alias("key"), F.least("long", "short").alias("p"))
-    pairs = replaced.unionByName(put_in).groupBy("key").agg(F.min("p").alias("p"))
-    own, other = fetched.select("key", "words"), fetched.select(F.col("key").alias("partner"), F.col("words").alias("_w"))
-    return (pairs.select("key", F.col("p.key").alias("partner")).join(own, "key").join(other, "partner")
-            .where((F.size("words") >= MIN_WORDS) & (F.size("_w") >= MIN_WORDS) & one_edit(F.col("words"), F.col("_w")))
-            .select("key", "partner"))
+    whole = variants.where("gap < 0").select("any_gap", F.col("id").alias("p"))
+    put_in = deleted.join(whole, "any_gap").where("id <> p").select(
+        F.greatest("id", "p").alias("id"), F.least("id", "p").alias("p"))
+    pairs = replaced.unionByName(put_in).groupBy("id").agg(F.min("p").alias("p"))
+    other = fetched.select(F.col("id").alias("p"), F.col("words").alias("_w"))
+    verified = pairs.join(fetched, "id").join(other, "p").where(
+        (F.size("words") >= MIN_WORDS) & (F.size("_w") >= MIN_WORDS) & one_edit(F.col("words"), F.col("_w")))
+    return able.join(verified.select("id"), "id").select("key")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +144,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct("doc_id", "row", "line")).alias("first")
     distinct = stored(occurrences.groupBy("key").agg(
         first, F.any_value("halves").alias("halves"), F.count(F.lit(1)).alias("n")), "distinct")
-    near = nearest_earlier(distinct.select("key", "first", "halves"), lines)
+    text = F.col(text_col).cast("string")
+    texts = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"),
+                                                text.alias("text"))
+    near = nearest_earlier(distinct.select("key", "first", "halves"), texts)
     # only lines that occur again or have a near earlier line decide anything
     decided = distinct.join(near.select("key", F.lit(True).alias("near")), "key", "left").select(
         "key", "first", "n", F.coalesce("near", F.lit(False)).alias("near")).where("near or n > 1")
