@@ -15,22 +15,26 @@ Patterns of at least ``CONFIDENT`` then extract the unseen instances in front
 of which they stand, if the instance has a shape that the kind allows
 (``SHAPES``).  Base spans always stay.
 
-How it runs on Spark: one pass over the texts keeps the base spans and the
-identifier-like words with their contexts (stored, without texts).  Scores
-are sums over edges aggregated before the shuffle; only patterns with enough
-seeds enter the graph, so frequent contexts cost their own edges, no pairs.
+How it runs on Spark: one pass over the texts keeps, for each expression, the
+matches and the lengths of the gaps before them (stored, without texts);
+running sums over (document, expression) turn them into places, and running
+maxima over a document tell which words a base span covers, so a text with
+any number of matches takes linear work.  Scores are sums over edges
+aggregated before the shuffle; only patterns with enough seeds enter the
+graph, so frequent contexts cost their own edges, no pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripple.llm.common import stored
+from ripple.llm.common import partitions, stored
 
 ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENT = 0.8
+CONTEXT = 80                    # code points in front of a word in which its context words are looked for
 
 # Quantifiers are possessive and starts are tied to the start of a run (or the
 # end of the match before): same matches, no deep recursion, linear time.
@@ -48,7 +52,7 @@ SHAPES = {
     "card": r"^[^A-Za-z]*[0-9](?:[^A-Za-z]*[0-9]){11,}[^A-Za-z]*$",
     "phone": r"^[^A-Za-z]*[0-9](?:[^A-Za-z0-9]*[0-9]){6,14}[^A-Za-z0-9]*$",
 }
-GAP = r"[\x20\x09-\x0D]"
+WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OUTSIDE = r"[^\p{L}\p{N}@+]"
 NO_SPANS = "array<struct<start:int,no:int,end:int,kind:string>>"
 
@@ -75,68 +79,84 @@ def _valid(kind: str, value):
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _placed(no: int, kind: str, cell):
-    """The valid spans of one kind from the cells (gap before, length, value) of its matches."""
-    start = lambda x, i: x["gap"] + F.aggregate(
-        F.slice(cell, 1, i), F.lit(0), lambda s, y: s + y["gap"] + y["len"])
-    placed = F.transform(cell, lambda x, i: F.struct(
-        start(x, i).alias("start"), x["len"].alias("len"), x["value"].alias("value")))
-    kept = F.filter(placed, lambda x: x["value"].isNotNull() & _valid(kind, x["value"]))
-    spans = F.transform(kept, lambda x: F.struct(
-        x["start"].alias("start"), F.lit(no).alias("no"), (x["start"] + x["len"]).alias("end"),
-        F.lit(kind).alias("kind")))
-    return F.coalesce(spans, F.array().cast(NO_SPANS))
-
-
-def with_base_spans(texts: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``base``: spans (code points, end exclusive) by start, then kind."""
-    names = []
-    for kind in KINDS:
-        # gap before and length of each match: gaps by split, matches by extract_all
-        text = F.col(text_col)
-        found = F.zip_with(
-            F.split(text, BASE[kind], -1), F.regexp_extract_all(text, F.lit(BASE[kind]), 0),
-            lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("value")))
-        if NEEDS[kind]:
-            found = F.when(text.contains(NEEDS[kind]), found)
-        texts = texts.withColumn(f"_{kind}", found)
-        names.append(f"_{kind}")
-    spans = [_placed(no, kind, F.col(name)) for no, (kind, name) in enumerate(zip(KINDS, names))]
-    return texts.withColumn("base", F.array_sort(F.concat(*spans))).drop(*names)
-
-
-def with_words(texts: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``found``: identifier-like words with their place, value and the two words before."""
-    words = F.col("_words")
-    texts = texts.withColumn("_words", F.when(F.col(text_col).rlike("[0-9@]"), F.split(text_col, GAP, -1)))
-    like = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-                    lambda x: x["w"].rlike("[0-9@]"))
-    texts = texts.withColumn("_like", like)
-    before = lambda i, k: F.lower(F.coalesce(F.get(words, i - k), F.lit("")))
-    found = F.transform("_like", lambda x: F.struct(
-        (F.length(F.array_join(F.slice(words, 1, x["i"]), " ")) + (x["i"] > 0).cast("int")
-         + F.length(F.regexp_extract(x["w"], f"^({OUTSIDE}*)", 1))).alias("start"),
-        F.regexp_replace(F.regexp_replace(x["w"], f"^{OUTSIDE}+", ""), r"[^\p{L}\p{N}]+$", "").alias("value"),
-        before(x["i"], 1).alias("one"),
-        F.concat_ws(" ", before(x["i"], 2), before(x["i"], 1)).alias("two")))
-    found = F.filter(found, lambda x: x["value"] != "")
-    return texts.withColumn("found", F.coalesce(found, F.array().cast(
-        "array<struct<start:int,value:string,one:string,two:string>>"))).drop("_words", "_like")
-
-
-def _occurrences(scanned: DataFrame) -> DataFrame:
-    """Identifier-like words: those at the start of a base span are its seeds, others inside one are left out."""
-    x = scanned.select("doc_id", "row", "base", F.explode("found").alias("x")).select(
-        "doc_id", "row", "base", F.col("x.start").alias("start"),
-        (F.col("x.start") + F.length("x.value")).alias("end"), F.col("x.value").alias("value"),
-        F.col("x.one").alias("one"), F.col("x.two").alias("two"))
-    touching = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    x = x.withColumn("_touch", touching)
-    begun = F.filter("_touch", lambda b: b["start"] >= F.col("start"))
-    x = x.withColumn("seed", F.get(begun, F.lit(0))["kind"]).where((F.size("_touch") == 0) | F.col("seed").isNotNull())
+def _cells(texts: DataFrame) -> DataFrame:
+    """``doc_id, row, no, i, gap, len, value, context``: every match of every expression, in the order of the text.
+
+    ``gap`` counts the code points since the match before; ``context`` are the
+    last words of the gap in front of an identifier-like word.
+    """
+    out = []
+    text = F.col("text")
+    for kind, pattern in [*BASE.items(), ("word", WORD)]:
+        gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+        context = lambda g: F.lower(F.substring(g, -CONTEXT, CONTEXT)) if kind == "word" else F.lit("")  # noqa: B023, E731
+        cells = F.zip_with(gaps, found, lambda g, m: F.struct(
+            F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("value"), context(g).alias("context")))
+        needs = text.contains(NEEDS[kind]) if NEEDS.get(kind) else text.rlike("[0-9@]")
+        out.append(F.when(needs, cells))
+    kinds = F.array(*out)
+    each = texts.select("doc_id", "row", F.posexplode(kinds).alias("no", "cells"))
+    return each.select("doc_id", "row", "no", F.posexplode("cells").alias("i", "x")).select(
+        "doc_id", "row", "no", "i", "x.gap", "x.len", "x.value", "x.context").where("value is not null")
+
+
+def _places(cells: DataFrame) -> DataFrame:
+    """Cells with ``start`` and ``end``, each once (rows equal in id and text have the same)."""
+    dealt = cells.repartition(partitions(cells.sparkSession), "doc_id", "row")
+    once = Window.partitionBy("doc_id", "row", "no").orderBy("i")
+    # copies of a row repeat its cells: only the first of each position counts
+    first = F.coalesce(F.lag("i").over(once) < F.col("i"), F.lit(True))
+    upto = once.rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumn("first", first).where("first").drop("first")
+    end = F.sum(F.col("gap") + F.col("len")).over(upto).cast("int")
+    return own.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).drop("gap", "len", "i")
+
+
+def _kind(no):
+    return F.get(F.array(*map(F.lit, KINDS)), no)
+
+
+def _base(places: DataFrame) -> DataFrame:
+    """``doc_id, row, start, no, end, kind`` of the valid base spans."""
+    valid = F.lit(False)
+    for no, kind in enumerate(KINDS):
+        valid = F.when(F.col("no") == no, _valid(kind, F.col("value"))).otherwise(valid)
+    return places.where((F.col("no") < len(KINDS)) & valid).select(
+        "doc_id", "row", "start", "no", "end", _kind(F.col("no")).alias("kind"))
+
+
+def _occurrences(places: DataFrame, base: DataFrame) -> DataFrame:
+    """Identifier-like words: those in which a base span begins are its seeds, others inside one are left out."""
+    words = places.where(F.col("no") == len(KINDS)).select(
+        "doc_id", "row", F.lit(None).cast("int").alias("no"), "context",
+        (F.col("start") + F.length(F.regexp_extract("value", f"^({OUTSIDE}*)", 1))).alias("start"),
+        F.regexp_replace(F.regexp_replace("value", f"^{OUTSIDE}+", ""), r"[^\p{L}\p{N}]+$", "").alias("value"))
+    words = words.where("value <> ''").withColumn("end", F.col("start") + F.length("value"))
+    spans = base.select("doc_id", "row", "no", F.lit(None).cast("string").alias("context"), "start",
+                        F.lit(None).cast("string").alias("value"), "end")
+    both = spans.unionByName(words)
+    by_start = Window.partitionBy("doc_id", "row").orderBy("start", F.col("no").asc_nulls_last())
+    before = by_start.rowsBetween(Window.unboundedPreceding, -1)
+    is_span = F.col("no").isNotNull()
+    # base spans sort in front of words with the same start
+    reach = F.max(F.when(is_span, F.col("end"))).over(before)
+    last = F.last(F.when(is_span, F.struct("start", "no")), True).over(before)
+    # the next span: the last one before in the reverse order (a frame that only grows)
+    reverse = Window.partitionBy("doc_id", "row").orderBy(F.col("start").desc(), F.col("no").desc_nulls_first())
+    nxt = F.last(F.when(is_span, F.struct("start", "no")), True).over(
+        reverse.rowsBetween(Window.unboundedPreceding, -1))
+    x = both.withColumns({"_reach": reach, "_last": last, "_next": nxt}).where("no is null")
+    begun = F.when(F.col("_last.start") == F.col("start"), F.col("_last.no")).when(
+        F.col("_next.start") < F.col("end"), F.col("_next.no"))
+    x = x.withColumn("seed", _kind(begun)).where(
+        F.col("seed").isNotNull() | F.coalesce(F.col("_reach") <= F.col("start"), F.lit(True)))
+    near = F.filter(F.split("context", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    x = x.withColumn("_near", near)
+    pattern = lambda n: F.concat(F.lit(f"{n} "), F.array_join(F.slice("_near", -n, n), " "))
+    patterns = F.array_compact(F.array(*(F.when(F.size("_near") >= n, pattern(n)) for n in (1, 2))))
     return x.select("doc_id", "row", "start", "end", "seed", F.xxhash64(F.lower("value")).alias("instance"),
                     F.array(*(F.when(F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS)).alias("shapes"),
-                    F.array(F.concat(F.lit("1 "), "one"), F.concat(F.lit("2 "), "two")).alias("patterns"))
+                    patterns.alias("patterns"))
 
 
 def scored_patterns(occurrences: DataFrame) -> DataFrame:
@@ -170,7 +190,7 @@ def discovered(occurrences: DataFrame, patterns: DataFrame) -> DataFrame:
     unseen = occurrences.where("seed is null").select(
         "doc_id", "row", "start", "end", "shapes", F.explode("patterns").alias("pattern"))
     hits = unseen.join(sure, "pattern").where(F.array_contains(F.array_compact("shapes"), F.col("kind")))
-    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    number = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int")
     return hits.select("doc_id", "row", "start", number.alias("no"), "end", "kind").distinct()
 
 
@@ -184,14 +204,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    scanned = stored(with_words(with_base_spans(texts, "text"), "text").drop("text"), "scanned")
-    occurrences = stored(_occurrences(scanned), "occurrences")
+    places = stored(_places(stored(_cells(texts), "cells")), "places")
+    base = _base(places)
+    occurrences = stored(_occurrences(places, base), "occurrences")
     extra = discovered(occurrences, stored(scored_patterns(occurrences), "patterns"))
+    found = base.withColumn("_base", F.lit(True)).unionByName(extra.withColumn("_base", F.lit(False)))
     span = F.struct("start", "no", "end", "kind")
-    extra = extra.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(span).alias("_extra"))
-    joined = scanned.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    return joined.select("doc_id", "row", "base", F.array_sort(F.concat(
-        "base", F.coalesce("_extra", F.array().cast(NO_SPANS)))).alias("spans"))
+    of_row = found.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
+        F.collect_set(F.when(F.col("_base"), span)).alias("base"), F.collect_set(span).alias("spans"))
+    rows = texts.select("doc_id", "row")
+    joined = rows.join(of_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    none = F.array().cast(NO_SPANS)
+    return joined.select("doc_id", "row", *(F.array_sort(F.coalesce(c, none)).alias(c) for c in ("base", "spans")))
 
 
 def span_text(spans):
