@@ -28,7 +28,8 @@ def null_sentinels(df: DataFrame, cols=None, tokens=K.NULL_TOKENS) -> DataFrame:
 def parse_ts(df: DataFrame, cols=TIMESTAMP_COLS, truncate: str | None = None) -> DataFrame:
     """Text (``...+00`` offsets allowed) -> UTC wall clock TIMESTAMP_NTZ.
 
-    Unparsable text becomes NULL (``try_to_timestamp``; ANSI mode would make
+    An offset of hours only is completed after a clock time; a date alone is
+    midnight UTC.  Unparsable text becomes NULL (``try_to_timestamp``; ANSI mode would make
     a plain cast fail).  ``truncate='second'`` drops the fraction.
     """
     tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
@@ -38,7 +39,7 @@ def parse_ts(df: DataFrame, cols=TIMESTAMP_COLS, truncate: str | None = None) ->
             continue
         dt = df.schema[col].dataType
         if isinstance(dt, T.StringType):
-            instant = F.try_to_timestamp(F.regexp_replace(F.trim(F.col(col)), r"([+-]\d\d)$", "$1:00"))
+            instant = F.try_to_timestamp(F.regexp_replace(F.trim(F.col(col)), r"(:\d\d(?:\.\d+)?[+-]\d\d)$", "$1:00"))
             v = F.convert_timezone(F.lit(tz), F.lit("UTC"), instant.cast("timestamp_ntz"))
         elif isinstance(dt, T.TimestampType):
             v = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col(col).cast("timestamp_ntz"))

@@ -125,16 +125,16 @@ def clean_incidents(raw: DataFrame, tz: str = K.LOCAL_TZ, cap_q: float = 0.99,
     return add_corridor_risk(df, corridor_risk(risk_src, as_of=risk_as_of))
 
 
-def map_feed(df: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Map points; drop missing coordinates, upper-case labels, size.
+def map_feed(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Map points of all incidents with coordinates, with their severity and size.
 
-    ``limit`` keeps the lowest ids (a display cap, the feature itself).
+    ``limit`` keeps the lowest ids, for a caller that draws only so many.
     """
+    risk = F.coalesce("corridor_risk_score", F.lit(0.0))
     pts = (df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-             .select("id", "latitude", "longitude", "corridor",
-                     F.upper("event_cause_grouped").alias("cause_label"),
-                     (F.greatest(F.coalesce("corridor_risk_score", F.lit(0.0)), F.lit(0.1)) * 15 + 5)
-                     .alias("point_size")))
+             .select("id", "latitude", "longitude", "corridor", "event_cause", "congestion_severity",
+                     F.upper("congestion_severity").alias("severity_label"), risk.alias("corridor_risk_score"),
+                     (F.greatest(risk, F.lit(0.1)) * 15 + 5).alias("point_size")))
     total = pts.select(F.count(F.lit(1))).scalar()      # all mappable incidents, not just shown
     pts = pts.withColumn("n_points", total)
     return pts.orderBy("id").limit(limit) if limit else pts

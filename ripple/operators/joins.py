@@ -1,37 +1,29 @@
 """Joins against small derived tables (lookups, per-key aggregates).
 
 A derived lookup (station -> modal zone, corridor -> risk, corridor ->
-total) has one row per key of a dimension.  It is broadcast only after its
-size has been measured; beyond the limit the join falls back to a shuffle
-join (with AQE's skew handling).  Fixed, literal dimensions are broadcast
-directly because their size is known when the plan is written.
+total) has one row per key of a dimension.  It is written once to the shared
+checkpoint folder, under a name of its own, and read back: Catalyst then knows
+its size in bytes and broadcasts it below
+``spark.sql.autoBroadcastJoinThreshold``; beyond that the join is a shuffle
+join with AQE's skew handling.  Nothing is kept in the session's cache, so a
+later read of a replaced input never meets an older lookup.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A lookup of at most this many rows is broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
+from ripple.session import scratch_path
 
 
-def checked_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``dim`` with a broadcast hint iff it holds <= ``max_rows`` rows.
+def checked_small(dim: DataFrame) -> DataFrame:
+    """``dim`` stored in the shared folder, with its size known to the optimizer."""
+    spark = dim.sparkSession
+    path = scratch_path(spark, "lookup")
+    dim.write.parquet(path)
+    return spark.read.schema(dim.schema).parquet(path)
 
-    The lookup is persisted first so the size check and the join share one
-    computation of it; on executor loss Spark rebuilds it from lineage.
-    """
-    cached = dim.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()          # too big to broadcast: plain shuffle join, nothing pinned
-    return dim
 
-
-def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` joined with a derived lookup, broadcast only when measured small."""
-    return df.join(checked_small(dim, max_rows), on=on, how=how)
+def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """``df`` joined with a derived lookup, broadcast by its measured size."""
+    return df.join(checked_small(dim), on=on, how=how)

@@ -106,7 +106,7 @@ def summary(df: DataFrame) -> DataFrame:
     """One-row summary: resolution mean/median/P99, valid and open counts,
     flag sums and rates."""
     r = F.col("resolution_minutes")
-    q = exact_quantiles(df, "resolution_minutes", [0.5, 0.99], size_probe=True) \
+    q = exact_quantiles(df, "resolution_minutes", [0.5, 0.99]) \
         .select(F.struct("q0", "q1")).scalar()
     return df.agg(
         _n().alias("n_rows"),

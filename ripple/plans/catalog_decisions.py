@@ -266,13 +266,13 @@ def q_alert_log(spark, sf):
     return decisions.alert_log(a, 5)
 
 
-@query("map_feed", O.with_ctes(E, """select id, latitude, longitude, corridor,
-  upper(event_cause_grouped) as cause_label,
+@query("map_feed", O.with_ctes(E, """select id, latitude, longitude, corridor, event_cause, congestion_severity,
+  upper(congestion_severity) as severity_label, coalesce(corridor_risk_score, 0.0) as corridor_risk_score,
   greatest(coalesce(corridor_risk_score, 0.0), 0.1) * 15 + 5 as point_size,
   (select count(*) from eng where latitude is not null and longitude is not null) as n_points
-from eng where latitude is not null and longitude is not null order by id limit 500"""))
+from eng where latitude is not null and longitude is not null"""))
 def q_map_feed(spark, sf):
-    return features.map_feed(flows.engineered(spark, sf), 500)
+    return features.map_feed(flows.engineered(spark, sf))
 
 
 # ---- M12 with the stand-in score: the whole what-if scenario grid --------

@@ -49,8 +49,10 @@ def q_stream_hourly(spark, sf):
     return jobs.run_available(jobs.stream_hourly(jobs.incident_stream(spark, sf)), "stream_hourly")
 
 
+# An incident's row is final (emitted) once the watermark (latest incident - 1 h) passes it by the widest look-back.
 LOOKBACK_SQL = O.with_ctes(O.LABELLED_CTES, """select id, corridor, corridor_events_2h, corridor_events_6h,
-  seed_event_present_3h from lab where start_datetime is not null""")
+  seed_event_present_3h from lab
+where start_datetime <= (select max(start_datetime) from lab) - interval 420 minute""")
 
 
 @query("stream_lookback", LOOKBACK_SQL)

@@ -50,12 +50,14 @@ def get_spark(app: str = "ripple", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent a
-    local one when it is unset (local tests).
+    The cluster names it in ``spark.checkpoint.dir``; a local one is made
+    only where it is unset and the master is local (tests).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="ripple-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -4,9 +4,8 @@
   watermarks, then a count per seed (append mode).
 * T2 ``stream_hourly``: tumbling one-hour windows on local clock hours
   (``startTime`` = the +05:30 offset), append mode.
-* T3 ``stream_lookback``: look-back features at arrival with
-  ``applyInPandasWithState`` keyed by corridor; the state is the corridor's
-  last 6 h of (time, id, seed flag), so it stays bounded.
+* T3 ``stream_lookback``: look-back features by a stream-stream interval join
+  on (corridor, time bucket) with watermarks and conditional counts.
 * T4 ``alert_sink``: ``foreachBatch`` writer, idempotent per batch id.
 
 Event time is a TIMESTAMP (instant) derived from the UTC wall clock.
@@ -16,11 +15,8 @@ from __future__ import annotations
 
 import os
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ripple import constants as K
 from ripple.functions import columns as X
@@ -35,7 +31,12 @@ def incident_stream(spark: SparkSession, sf_dir: str, max_files: int | None = No
     r = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    raw = adapter.incidents_from_events(r.parquet(sf_dir))
+    return cleaned(r.parquet(sf_dir))
+
+
+def cleaned(events: DataFrame) -> DataFrame:
+    """Incidents of a stream of ``events`` rows, lightly cleaned, with event and local time."""
+    raw = adapter.incidents_from_events(events)
     df = clean.parse_ts(clean.null_sentinels(raw))
     df = clean.fill_defaults(df)
     df = clean.drop_noise(clean.normalise_causes(df))
@@ -76,49 +77,37 @@ def stream_hourly(sdf: DataFrame, delay: str = "1 hour", tz_offset_minutes: int
     return agg.select("corridor", X.to_local(utc_wall).alias("hourly_bucket"), "event_count")
 
 
-_LB_STATE = "us array<bigint>, ids array<bigint>, flags array<int>"
-_LB_OUT = ("id bigint, corridor string, corridor_events_2h bigint, corridor_events_6h bigint, "
-           "seed_event_present_3h bigint")
-
-
 def stream_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
-                    seed_causes=K.SEED_CAUSES) -> DataFrame:
-    """Look-back counts at arrival, per corridor, from a bounded state."""
+                    seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
+    """Look-back counts per incident by a stream-stream interval join.
+
+    An incident meets those of its corridor that come before it, by (time,
+    id), within the widest window, and itself; the counts are conditional.
+    The join key holds a time bucket as wide as that window, so a hot corridor
+    is spread over its buckets.  Late-row rule: rows older than the watermark
+    (latest incident less ``delay``) are dropped by Spark and counted in the
+    progress (``numRowsDroppedByWatermark``); an incident's row is emitted, once
+    and final, when the watermark has passed it by the widest window, whatever
+    the order of arrival before that.
+    """
     h_short, h_long = sorted(hours)
-    w_short, w_long = h_short * 3_600_000_000, h_long * 3_600_000_000
-    w_seed = seed_hours * 3_600_000_000
-    keep = max(w_long, w_seed)
-    rows = sdf.where(F.col("start_datetime").isNotNull()).select(
-        "corridor", "id", X.epoch_micros("start_datetime").alias("us"),
-        F.col("event_cause_grouped").isin(*seed_causes).cast("int").alias("flag"))
-
-    def step(key, batches, state):
-        new = pd.concat(list(batches), ignore_index=True)
-        if state.exists:
-            us0, id0, fl0 = state.get
-            hist = pd.DataFrame({"corridor": key[0], "id": list(id0), "us": list(us0), "flag": list(fl0),
-                                 "_new": False})
-        else:
-            hist = pd.DataFrame(columns=["corridor", "id", "us", "flag", "_new"])
-        new = new.assign(_new=True)
-        allr = pd.concat([hist, new], ignore_index=True).astype({"id": "int64", "us": "int64", "flag": "int64"})
-        allr = allr.sort_values(["us", "id"], kind="mergesort").reset_index(drop=True)
-        us = allr["us"].to_numpy()
-        pos = np.arange(len(allr))
-        c_short = pos - np.searchsorted(us, us - w_short, side="left")
-        c_long = pos - np.searchsorted(us, us - w_long, side="left")
-        csum = np.concatenate([[0], np.cumsum(allr["flag"].to_numpy())])
-        s3 = (csum[pos] - csum[np.searchsorted(us, us - w_seed, side="left")]) > 0
-        out = allr.assign(corridor_events_2h=c_short, corridor_events_6h=c_long,
-                          seed_event_present_3h=s3.astype("int64"))[allr["_new"].to_numpy(dtype=bool)]
-        cut = us.max() - keep
-        kept = allr[us >= cut]
-        state.update((kept["us"].tolist(), kept["id"].tolist(), kept["flag"].astype(int).tolist()))
-        yield out[["id", "corridor", "corridor_events_2h", "corridor_events_6h", "seed_event_present_3h"]]
-
-    return rows.groupBy("corridor").applyInPandasWithState(
-        step, outputStructType=_LB_OUT, stateStructType=_LB_STATE, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
+    widest = max(h_long, seed_hours)
+    width = widest * 3_600_000_000
+    named = sdf.where(F.col("start_datetime").isNotNull())
+    bucket = F.floor(X.epoch_micros("start_datetime") / width)
+    rows = named.select("id", "corridor", F.col("event_time").alias("at"), bucket.alias("bucket")).withWatermark("at", delay)
+    earlier = named.select(
+        F.col("id").alias("e_id"), F.col("corridor").alias("e_corridor"), F.col("event_time").alias("e_at"),
+        F.col("event_cause_grouped").isin(*seed_causes).alias("e_seed"),
+        F.explode(F.array(bucket, bucket + 1)).alias("e_bucket")).withWatermark("e_at", delay)
+    pairs = rows.join(earlier, F.expr(
+        f"corridor = e_corridor AND bucket = e_bucket AND e_at <= at AND e_at >= at - INTERVAL {widest} HOURS"
+        " AND (e_at < at OR e_id <= id)"))
+    other = F.col("e_id") != F.col("id")
+    within = lambda h: other & (F.col("e_at") >= F.col("at") - F.expr(f"INTERVAL {h} HOURS"))
+    return pairs.groupBy("id", "corridor", "at").agg(
+        F.count_if(within(h_short)).alias("corridor_events_2h"), F.count_if(within(h_long)).alias("corridor_events_6h"),
+        F.max((within(seed_hours) & F.col("e_seed")).cast("long")).alias("seed_event_present_3h")).drop("at")
 
 
 def alert_sink(path: str):

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from ripple.functions import columns as X
 from ripple.operators import clean, features, reports
 
@@ -81,3 +82,29 @@ def test_parse_text_timestamps(spark):
     df = spark.createDataFrame([("2024-03-07 05:21:10.5+00",), ("NULL",), ("garbage",)], "start_datetime string")
     got = [r[0] for r in clean.parse_ts(clean.null_sentinels(df)).collect()]
     assert got[0] == dt.datetime(2024, 3, 7, 5, 21, 10, 500000) and got[1] is None and got[2] is None
+
+
+def test_timestamp_texts(spark):
+    texts = ["2024-03-07", "2024-03-07 10:20:30+00", "2024-03-07T10:20:30Z", "2024-03-07 10:20:30.5+05:30",
+             "2024-03-07 10:20:30.25-03", None, "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "start_datetime string")
+    got = [str(r[0]) for r in clean.parse_ts(df, ["start_datetime"]).collect()]
+    assert got == ["2024-03-07 00:00:00", "2024-03-07 10:20:30", "2024-03-07 10:20:30", "2024-03-07 04:50:30.500000",
+                   "2024-03-07 13:20:30.250000", "None", "None"]
+
+
+def test_a_replaced_input_is_read_anew(spark, tmp_path):
+    import os
+    from ripple.plans import flows
+    schema = spark.read.parquet(os.path.join(SF001, "events.parquet")).schema
+    events = spark.read.parquet(os.path.join(SF001, "events.parquet")).collect()
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+        return {r["id"]: r["corridor_risk_score"] for r in flows.engineered(spark, str(tmp_path)).collect()}
+
+    first = put(events)
+    half = put(events[: len(events) // 2])
+    spark.catalog.clearCache()
+    again = {r["id"]: r["corridor_risk_score"] for r in flows.engineered(spark, str(tmp_path)).collect()}
+    assert half == again and any(first[i] != x for i, x in half.items())
