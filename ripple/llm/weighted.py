@@ -143,13 +143,14 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     two = both.select("row", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("row", "x.kind", "x.t")
-    sigs = signatures(two, ["row", "kind"], "t")
-    # stored once: (row, kind, sig) is narrow
-    sigs = stored(sigs, "signatures")
+    sigs = signatures(two, ["row", "kind"], "t").groupBy("row").agg(*(
+        F.any_value(F.when(F.col("kind") == kind, F.col("sig")), True).alias(name)
+        for kind, name in ((0, "sig"), (1, "edited_sig"))))
+    # one job: all branches share the one shuffle of the texts; what is stored has no texts
     shas = both.select("row", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    pick = lambda kind, name: sigs.where(F.col("kind") == kind).select("row", F.col("sig").alias(name))
-    out = (narrow.join(shas, "row").join(pick(0, "sig"), "row", "left").join(pick(1, "edited_sig"), "row", "left")
-           .join(pick(0, "next_sig").withColumnRenamed("row", "next"), "next", "left"))
+    prints = stored(shas.join(sigs, "row", "left"), "signatures")
+    nxt = prints.select(F.col("row").alias("next"), F.col("sig").alias("next_sig"))
+    out = narrow.join(prints, "row").join(nxt, "next", "left")
     sig = {c: F.coalesce(c, _none()) for c in ("sig", "edited_sig", "next_sig")}
     return out.select(
         "doc_id", F.col("n").alias("n_chars"), "edited_sha256", _hex(sig["sig"]).alias("fingerprint"),
