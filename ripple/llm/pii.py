@@ -47,10 +47,10 @@ BASE = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SHAPES = {
-    "email": r"^[^@]+@[^@]+$",
-    "ip": r"^[0-9a-fA-F]{1,4}(?:[.:][0-9a-fA-F]{0,4}){2,}$",
-    "card": r"^[^A-Za-z]*[0-9](?:[^A-Za-z]*[0-9]){11,}[^A-Za-z]*$",
-    "phone": r"^[^A-Za-z]*[0-9](?:[^A-Za-z0-9]*[0-9]){6,14}[^A-Za-z0-9]*$",
+    "email": r"^[^@]++@[^@]++$",
+    "ip": r"^[0-9a-fA-F]{1,4}+(?:[.:][0-9a-fA-F]{0,4}+){2,}+$",
+    "card": r"^(?:[^A-Za-z0-9]*+[0-9]){12,}+[^A-Za-z0-9]*+$",
+    "phone": r"^(?:[^A-Za-z0-9]*+[0-9]){7,15}+[^A-Za-z0-9]*+$",
 }
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OUTSIDE = r"[^\p{L}\p{N}@+]"
