@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from ripple.llm.common import slices, stored
 
 BLOCK_PIECES = 32_768
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 600_000
 
 
 class ChunkIds:
@@ -47,20 +47,25 @@ class ChunkIds:
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.space = self._whole([" "])[0]
+        # bytes of each id: a character of a byte-level token is a byte
+        self.width = np.array([len(self.model.id_to_token(i)) for i in range(self.model.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
+        """Many words in one text; ids are told apart by the bytes they stand for."""
         todo = [w for w in words if w]
-        for at in range(0, len(todo), 2048):            # many words in one call, told apart by token offsets
-            part = todo[at:at + 2048]
-            e = self.model.encode(" " + " ".join(part), add_special_tokens=False)
+        parts = [todo[a:a + 256] for a in range(0, len(todo), 256)]
+        joined = [" " + " ".join(p) for p in parts]
+        for part, e in zip(parts, self.model.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cuts = np.searchsorted(np.array([a for a, _ in e.offsets]), starts)
-            for i, w in enumerate(part):
-                self.known[w] = ids[cuts[i]:cuts[i + 1]].tobytes()
+            raw, ends = ids.tobytes(), np.cumsum(self.width[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            at = 0
+            for w, cut in zip(part, (4 * cuts).tolist()):
+                self.known[w] = raw[at:cut]
+                at = cut
         self.known[""] = self.space
 
     def encode(self, texts: list[str]) -> list[bytes]:
