@@ -174,11 +174,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = rows.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
     lines = F.split(text, "\n", -1)
     gone = F.coalesce(F.array_sort("_drops.line"), F.array().cast("array<int>"))
+    # columns of their own, each used twice below: an expression inside a lambda would run for every line
+    joined = joined.withColumns({"_lines": lines, "_gone": gone})
+    gone = F.col("_gone")
     # a byte for each line up to the last that goes: looked up by position, in linear time
     before = lambda x, j: x - F.when(j == 0, -1).otherwise(F.get(gone, j - 1)) - 1
     marks = F.array_join(F.transform(gone, lambda x, j: F.concat(F.repeat(F.lit("k"), before(x, j)), F.lit("g"))), "")
-    joined = joined.withColumns({"_lines": lines, "_gone": gone}).withColumn("_marks", marks.cast("binary"))
-    lines, gone, marks = F.col("_lines"), F.col("_gone"), F.col("_marks")
+    joined = joined.withColumn("_marks", marks.cast("binary"))
+    lines, marks = F.col("_lines"), F.col("_marks")
     near = F.size(F.filter("_drops", lambda d: d["near"]))
     dropped = lambda i: F.substring(marks, i + 1, F.lit(1)) == F.lit(b"g")
     kept = F.array_join(F.filter(lines, lambda _, i: ~dropped(i)), "\n")
@@ -187,4 +190,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
         (F.size(gone) - F.coalesce(F.when(F.col("_drops").isNotNull(), near), F.lit(0))).cast("long").alias("_n_exact"),
         F.coalesce(F.when(F.col("_drops").isNotNull(), near), F.lit(0)).cast("long").alias("_n_near"),
-        F.when(F.size(gone) == 0, text).otherwise(kept).alias("_kept"))
+        F.when(F.octet_length(marks) == 0, text).otherwise(kept).alias("_kept"))
