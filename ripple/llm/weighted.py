@@ -1,19 +1,18 @@
 """Document fingerprints by consistent weighted sampling.
 
-The terms of a text are its words, weighted by how often they occur.  For
-each of ``SAMPLES`` draws a term gets, from hashes of the term and the draw,
-r and c from Gamma(2, 1) and b from U(0, 1); with weight S
-
-    t = floor(ln S / r + b),   ln a = ln c - r * (t - b + 1)
-
-and the draw keeps (term, t) of the smallest a.  Two texts keep the same
-(term, t) with a probability equal to the generalised Jaccard similarity of
-their weights, sum(min) / sum(max).
+The terms of a text are its words, weighted by how often they occur.  A
+weight is a whole number, so a term of weight S is the elements (term, 1) to
+(term, S), and each of ``SAMPLES`` draws keeps the element of the smallest hash
+of (element, draw).  That is a consistent weighted sample: two texts keep the
+same element with a probability equal to the generalised Jaccard similarity of
+their weights, sum(min) / sum(max).  The share of equal draws has a standard
+error of sqrt(p (1 - p) / SAMPLES) at similarity p: 0.0625 at 0.5, 0.0375 at 0.9.
 
 How it runs on Spark (SQL functions only): words are exploded and counted
-inside the partition of their document, and a draw is one ``min`` over a
-64-bit key (a in the upper half, a hash of (term, t) in the lower half), so
-nothing but the texts themselves is shuffled, once.  The document that
+inside the partition of their document, and a draw is one ``min`` over 64-bit
+hashes whose lower half names the element, so nothing but the texts themselves
+is shuffled, once.  An element is hashed once and each draw hashes that number
+again: one short hash for each element and draw, and no logarithms.  The document that
 follows in id order is found on narrow rows: range partitions, ranks inside
 them, and one row for each partition to connect them.
 """
@@ -27,44 +26,29 @@ from pyspark.sql import functions as F
 
 from ripple.llm.common import partitions, stored
 
-SAMPLES = 24
+SAMPLES = 64
 PART_BYTES = 4 << 20            # text of one partition while words are counted
 SPACE = r"[\x20\x09-\x0D]+"
-LOW = 0xFFFFFFFF
-NO_TERMS = LOW                  # every draw of a text without words
-
-
-def _uniform(bits, width: int):
-    return (bits.cast("double") + 0.5) / float(1 << width)
-
-
-def draw(term, log_weight, i: int):
-    """The 64-bit key of draw ``i``: the smallest over a text's terms is its sample."""
-    h1, h2 = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
-    mask = F.lit((1 << 25) - 1).cast("long")
-    low = lambda h: _uniform(h.bitwiseAND(mask), 25)
-    mid = lambda h: _uniform(F.shiftrightunsigned(h, 25).bitwiseAND(mask), 25)
-    top = F.shiftleft(F.shiftrightunsigned(h1, 50), 14).bitwiseOR(F.shiftrightunsigned(h2, 50))
-    r, c, b = -F.ln(low(h1) * mid(h1)), -F.ln(low(h2) * mid(h2)), _uniform(top, 28)
-    t = F.floor(log_weight / r + b)
-    log_a = F.ln(c) - r * (t - b + 1)
-    upper = F.shiftleft(((log_a + 160.0) * float(1 << 23)).cast("long"), 32)
-    return upper.bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(LOW).cast("long")))
+NO_TERMS = -1                   # 32 ones: every draw of a text without words
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys..., sig array<long>`` of each text with words; ``texts`` is partitioned by ``keys[0]``."""
+    """``keys..., sig array<int>`` of each text with words; ``texts`` is partitioned by ``keys[0]``."""
     words = texts.select(*keys, F.explode(F.split(text_col, SPACE)).alias("w")).where("w <> ''")
     counted = words.groupBy(*keys, F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    weighted = counted.select(*keys, "term", F.ln(F.col("n").cast("double")).alias("lw"))
-    drawn = weighted.groupBy(*keys).agg(
-        *(F.min(draw(F.col("term"), F.col("lw"), i)).alias(f"d{i}") for i in range(SAMPLES)))
-    mask = F.lit(LOW).cast("long")
-    return drawn.select(*keys, F.array(*(F.col(f"d{i}").bitwiseAND(mask) for i in range(SAMPLES))).alias("sig"))
+    elements = counted.select(*keys, "term", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("j")).select(
+        *keys, F.xxhash64("term", "j").alias("element"))
+    drawn = elements.groupBy(*keys).agg(
+        *(F.min(F.xxhash64("element", F.lit(i))).alias(f"d{i}") for i in range(SAMPLES)))
+    # the lower 32 bits, as a signed int
+    low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
+    return drawn.select(*keys, F.array(*(low(F.col(f"d{i}")) for i in range(SAMPLES))).alias("sig"))
 
 
 def _hex(sig):
-    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    low = F.lit(0xFFFFFFFF)
+    return F.array_join(F.transform(
+        sig, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(low)), 8, "0"))), "")
 
 
 def likeness(a, b):
@@ -103,7 +87,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _none():
-    return F.array_repeat(F.lit(NO_TERMS).cast("long"), SAMPLES)
+    return F.array_repeat(F.lit(NO_TERMS).cast("int"), SAMPLES)
 
 
 def _row_key():
@@ -133,13 +117,13 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_parts = max(partitions(docs.sparkSession), math.ceil(total / PART_BYTES))
     dealt = texts.select("row", "text").repartition(n_parts, "row")
     once = Window.partitionBy("row").orderBy(F.lit(0))
-    own = dealt.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k").join(
-        narrow.select("row", "n", "prev", "prev_n"), "row")
+    own = dealt.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k").join(narrow, "row")
     heads = own.select(F.col("prev").alias("row"),
                        F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"))
     both = own.join(heads, "row").select(
-        "row", "text", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")),
-                                "head").alias("edited"))
+        "row", "doc_id", "n", "next", "text", F.concat(
+            F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")),
+            "head").alias("edited"))
     two = both.select("row", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("row", "x.kind", "x.t")
@@ -147,10 +131,11 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.any_value(F.when(F.col("kind") == kind, F.col("sig")), True).alias(name)
         for kind, name in ((0, "sig"), (1, "edited_sig"))))
     # one job: all branches share the one shuffle of the texts; what is stored has no texts
-    shas = both.select("row", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    shas = both.select("row", "doc_id", "n", "next",
+                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     prints = stored(shas.join(sigs, "row", "left"), "signatures")
     nxt = prints.select(F.col("row").alias("next"), F.col("sig").alias("next_sig"))
-    out = narrow.join(prints, "row").join(nxt, "next", "left")
+    out = prints.join(nxt, "next", "left")
     sig = {c: F.coalesce(c, _none()) for c in ("sig", "edited_sig", "next_sig")}
     return out.select(
         "doc_id", F.col("n").alias("n_chars"), "edited_sha256", _hex(sig["sig"]).alias("fingerprint"),
