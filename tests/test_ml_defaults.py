@@ -1,0 +1,33 @@
+"""The registered model queries train the models of the operators' defaults."""
+
+import inspect
+from types import SimpleNamespace
+from unittest.mock import MagicMock
+
+from ripple.operators import metrics, ml
+from ripple.plans import catalog_ml
+
+
+def test_registered_models_have_300_trees_of_depth_6(monkeypatch):
+    seen = {}
+
+    def taken(name, result):
+        signature = inspect.signature(getattr(ml, name))
+
+        def fit(*args, **kw):
+            bound = signature.bind(*args, **kw)
+            bound.apply_defaults()
+            seen[name] = bound.arguments["n_trees"], bound.arguments["depth"]
+            return result
+        monkeypatch.setattr(ml, name, fit)
+
+    taken("fit_seed", MagicMock())
+    taken("fit_severity", MagicMock())
+    for name in ("fit_encoders", "fit_counts", "_numeric"):
+        monkeypatch.setattr(ml, name, MagicMock())
+    monkeypatch.setattr(metrics, "choose_threshold", lambda *_: SimpleNamespace(first=lambda: None))
+    monkeypatch.setattr(catalog_ml, "_inputs", lambda *_: (MagicMock(),) * 6)
+    monkeypatch.setattr(catalog_ml, "_CACHE", {})
+    monkeypatch.setattr(catalog_ml, "_TRAIN", {})
+    catalog_ml.trained(MagicMock(), "folder")
+    assert seen == {"fit_seed": (300, 6), "fit_severity": (300, 6)}
