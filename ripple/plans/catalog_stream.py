@@ -60,6 +60,13 @@ def q_stream_lookback(spark, sf):
     return jobs.run_available(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_lookback")
 
 
+# Every incident with a start: the stream's final rows and, behind its last watermark, the batch look-back.
+@query("stream_lookback_all", O.with_ctes(O.LABELLED_CTES, """select id, corridor, corridor_events_2h,
+  corridor_events_6h, seed_event_present_3h from lab where start_datetime is not null"""))
+def q_stream_lookback_all(spark, sf):
+    return q_stream_lookback(spark, sf).unionByName(jobs.lookback_tail(jobs.incident_table(spark, sf)))
+
+
 @query("stream_alert_sink", LOOKBACK_SQL)
 def q_stream_alert_sink(spark, sf):
     out = jobs.run_foreach(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_sink")

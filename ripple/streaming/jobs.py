@@ -6,6 +6,7 @@
   (``startTime`` = the +05:30 offset), append mode.
 * T3 ``stream_lookback``: look-back features by a stream-stream interval join
   on (corridor, time bucket) with watermarks and conditional counts.
+  ``lookback_tail`` gives the rows behind the last watermark.
 * T4 ``alert_sink``: ``foreachBatch`` writer, idempotent per batch id.
 
 Event time is a TIMESTAMP (instant) derived from the UTC wall clock.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ripple import constants as K
 from ripple.functions import columns as X
-from ripple.operators import clean
+from ripple.operators import cascade, clean
 from ripple.session import scratch_path
 from ripple.sources import adapter
 
@@ -34,6 +35,11 @@ def incident_stream(spark: SparkSession, sf_dir: str, max_files: int | None = No
     return cleaned(r.parquet(sf_dir))
 
 
+def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incidents of :func:`incident_stream` as a batch."""
+    return cleaned(spark.read.parquet(os.path.join(sf_dir, "events.parquet")))
+
+
 def cleaned(events: DataFrame) -> DataFrame:
     """Incidents of a stream of ``events`` rows, lightly cleaned, with event and local time."""
     raw = adapter.incidents_from_events(events)
@@ -110,6 +116,23 @@ def stream_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.
         F.max((within(seed_hours) & F.col("e_seed")).cast("long")).alias("seed_event_present_3h")).drop("at")
 
 
+def lookback_tail(incidents: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
+                  seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
+    """The rows :func:`stream_lookback` holds back when its input ends, counted in batch.
+
+    They are the incidents less than the delay and the widest window before the
+    latest one; only these and those within the widest window before them are read.
+    """
+    widest = F.expr(f"INTERVAL {max(*hours, seed_hours)} HOURS")
+    named = incidents.where(F.col("start_datetime").isNotNull())
+    final = named.agg(F.max("start_datetime")).scalar() - F.expr(f"INTERVAL {delay}") - widest
+    near = named.where(F.col("start_datetime") >= final - widest)
+    rows = cascade.cascade_features(near, lookback_hours=hours, seed_hours=seed_hours, seed_causes=seed_causes,
+                                    with_density=False)
+    return rows.where(F.col("start_datetime") > final).select(
+        "id", "corridor", *(f"corridor_events_{h}h" for h in sorted(hours)), "seed_event_present_3h")
+
+
 def alert_sink(path: str):
     """T4: ``foreachBatch`` function writing each batch to its own folder.
 
