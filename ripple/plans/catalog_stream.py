@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ripple.plans import flows
 from ripple.plans import oracle as O
 from ripple.plans.catalog import HOURLY, query
+from ripple.plans.catalog_decisions import ALERT_COLS, ALERT_CTES
 from ripple.plans.catalog_reports import WX
 from ripple.streaming import jobs
 
@@ -71,3 +73,10 @@ def q_stream_lookback_all(spark, sf):
 def q_stream_alert_sink(spark, sf):
     out = jobs.run_foreach(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_sink")
     return out.drop("batch_id")
+
+
+# T3 scoring (stand-in score) and T4: the alerts of every incident, keyed by (corridor, alert_id).
+@query("stream_alerts", WX(O.SCORED_CTES, ALERT_CTES, f"select {ALERT_COLS} from alerts"))
+def q_stream_alerts(spark, sf):
+    return jobs.run_alerts(jobs.incident_stream(spark, sf), jobs.incident_table(spark, sf),
+                           flows.engineered(spark, sf), "stream_alerts")

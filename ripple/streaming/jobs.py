@@ -7,7 +7,8 @@
 * T3 ``stream_lookback``: look-back features by a stream-stream interval join
   on (corridor, time bucket) with watermarks and conditional counts.
   ``lookback_tail`` gives the rows behind the last watermark.
-* T4 ``alert_sink``: ``foreachBatch`` writer, idempotent per batch id.
+* T4 ``alert_sink``: ``foreachBatch`` writer, idempotent per batch id;
+  ``scored_alert_sink`` scores the look-back rows and writes their alerts.
 
 Event time is a TIMESTAMP (instant) derived from the UTC wall clock.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ripple import constants as K
 from ripple.functions import columns as X
-from ripple.operators import cascade, clean
+from ripple.operators import cascade, clean, decisions
 from ripple.session import scratch_path
 from ripple.sources import adapter
 
@@ -137,13 +138,62 @@ def alert_sink(path: str):
     """T4: ``foreachBatch`` function writing each batch to its own folder.
 
     Re-running a batch after a failure overwrites the same folder, so the
-    sink is idempotent; rows keep ``(alert_id, corridor)`` as their key.
+    sink is idempotent.
     """
     def write(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
 
 
+def scored_alert_sink(path: str, engineered: DataFrame, threshold: float = 0.10):
+    """T3 scoring and T4: ``foreachBatch`` function from look-back rows to alerts under ``path``/alerts.
+
+    A batch's look-back rows (stored under ``path``/rows) take the other columns
+    from ``engineered`` by id, get the stand-in score and become alerts with the
+    key ``(corridor, alert_id)``.  Batches follow in event time, so the alerts of
+    a corridor-day go on from the number that earlier batches reached.  A batch
+    run again sees the same earlier batches and overwrites its own folders with
+    the same alerts.
+    """
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        spark = batch_df.sparkSession
+        folder = lambda kind, of: os.path.join(path, kind, f"batch_id={of}")
+        # read more than once below: a stateful batch must run only once
+        batch_df.write.mode("overwrite").parquet(folder("rows", batch_id))
+        rows = spark.read.schema(batch_df.schema).parquet(folder("rows", batch_id))
+        alerts = decisions.build_alerts(decisions.standin_score(
+            rows.drop("corridor").join(engineered, "id")), threshold)
+        if batch_id > 0:
+            stored = spark.read.schema(alerts.schema).option("basePath", os.path.join(path, "alerts"))
+            before = stored.parquet(*(folder("alerts", i) for i in range(batch_id))).groupBy("corridor", "date").agg(
+                F.max("seq").alias("_before"))
+            seq = F.col("seq") + F.coalesce("_before", F.lit(0))
+            alerts = alerts.join(before, ["corridor", "date"], "left").withColumn("seq", seq).withColumn(
+                "alert_id", F.concat(F.regexp_replace("alert_id", "[0-9]+$", ""), F.format_string("%03d", "seq"))
+            ).select(*alerts.columns)
+        alerts.write.mode("overwrite").parquet(folder("alerts", batch_id))
+    return write
+
+
+def run_alerts(sdf: DataFrame, incidents: DataFrame, engineered: DataFrame, name: str) -> DataFrame:
+    """Run look-back rows through :func:`scored_alert_sink`, then the tail behind the last watermark; read the alerts."""
+    spark = sdf.sparkSession
+    base = scratch_path(spark, name)
+    out = os.path.join(base, "out")
+    last = [-1]
+
+    def sink(batch_df: DataFrame, batch_id: int) -> None:
+        scored_alert_sink(out, engineered)(batch_df, batch_id)
+        last[0] = batch_id
+
+    q = (stream_lookback(sdf).writeStream.foreachBatch(sink)
+            .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+            .trigger(availableNow=True).start())
+    q.awaitTermination()
+    sink(lookback_tail(incidents), last[0] + 1)
+    return spark.read.parquet(os.path.join(out, "alerts")).drop("batch_id")
+
+
 def run_available(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available (``availableNow``)
     into a Parquet folder under the shared checkpoint folder; return it as

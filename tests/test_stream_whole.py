@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from ripple.plans import catalog, catalog_stream, flows
+from ripple.streaming import jobs
 
 LOOKBACK = ["id", "corridor", "corridor_events_2h", "corridor_events_6h", "seed_event_present_3h"]
 
@@ -36,3 +37,48 @@ def test_lookback_of_a_table_shorter_than_the_windows(spark, tmp_path):
     _newest(spark, str(tmp_path), 5)
     got = sorted(map(tuple, catalog_stream.q_stream_lookback_all(spark, str(tmp_path)).select(LOOKBACK).collect()))
     assert got and got == sorted(_sql("stream_lookback_all", str(tmp_path)))
+
+
+def _alerts(df):
+    return sorted(map(tuple, df.select(alert_columns()).collect()))
+
+
+def alert_columns():
+    return ["corridor", "alert_id", "id", "date", "seq", "start_local", "cascade_probability", "deploy_now",
+            "police_needed", "estimated_clearance_ist"]
+
+
+def test_stream_alerts_are_the_batch_alerts(spark):
+    got = catalog_stream.q_stream_alerts(spark, SF001)
+    batch = flows.alerts_standin(spark, SF001)
+    assert got.columns == batch.columns
+    assert _alerts(got) == _alerts(batch) and got.count() > 0
+    cols = ", ".join(alert_columns())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{SF001}/events.parquet')")
+    assert len(_alerts(got)) == len(con.execute(
+        f"select {cols} from ({catalog.REGISTRY['stream_alerts'][1]})").fetchall())
+
+
+def test_alerts_over_several_batches_and_a_replay(spark, tmp_path):
+    # four files in time order; the sink numbers each corridor-day on, and a batch run again changes nothing
+    events = spark.read.parquet(os.path.join(SF001, "events.parquet")).orderBy("ts").toPandas()
+    n = len(events)
+    for i in range(4):
+        target = tmp_path / f"events{i}.parquet"
+        events.iloc[i * n // 4:(i + 1) * n // 4].to_parquet(target, coerce_timestamps="us")
+        os.utime(target, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
+    schema = spark.read.parquet(os.path.join(SF001, "events.parquet")).schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events?.parquet").option("maxFilesPerTrigger", 1)
+    eng = flows.engineered(spark, SF001)
+    out = jobs.run_alerts(jobs.cleaned(raw.parquet(str(tmp_path))), jobs.incident_table(spark, SF001), eng, "t_alerts")
+    want = _alerts(flows.alerts_standin(spark, SF001))
+    assert _alerts(out) == want and want
+    path = out.inputFiles()[0].removeprefix("file:").split("/alerts/")[0].replace("///", "/")
+    ids = sorted(int(x.split("=")[1]) for x in os.listdir(os.path.join(path, "rows")))
+    assert len(ids) > 3
+    for i in ids[-2:]:
+        again = spark.read.parquet(os.path.join(path, "rows", f"batch_id={i}"))
+        kept = spark.createDataFrame(again.collect(), again.schema)
+        jobs.scored_alert_sink(path, eng)(kept, i)
+    assert _alerts(spark.read.parquet(os.path.join(path, "alerts"))) == want
