@@ -434,6 +434,26 @@ def test_chunk_ids_equal_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_chunk_ids_of_all_white_space_runs(monkeypatch):
+    """Every product of white-space characters up to five, between words and at both ends; the table starts anew at times."""
+    monkeypatch.setattr(packing, "TABLE_BYTES", 100_000)
+    model, known = Tokenizer.from_file(BPE), packing.ChunkIds(BPE)
+    assert known.ranks is not None
+    few, many = " \t\n\xa0", " \t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000\ufeff"
+    runs = ["".join(c) for n in range(1, 6) for c in itertools.product(few, repeat=n)]
+    runs += ["".join(c) for n in range(1, 4) for c in itertools.product(many, repeat=n)]
+    texts = [t for r in runs for t in (r, f"x{r}", f"{r}y", f"x{r}y's {r}\u00e9z", f"x <|endoftext|>{r}\u0221")]
+    for at in range(0, len(texts), 500):
+        some = texts[at:at + 500]
+        for text, ids, e in zip(some, known.encode(some), model.encode_batch(some, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == e.ids, repr(text)
+
+
+def test_sequences_without_ids(spark):
+    rows = spark.createDataFrame([(1, 0, [5, 6]), (1, 2, None), (2, 0, None)], "sequence_id int, offset int, ids array<int>")
+    assert {r["sequence_id"]: r["ids"] for r in packing.sequences(rows).collect()} == {1: [5, 6], 2: []}
+
+
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_packing_is_whole_and_tight(spark, odd_docs, which):
     docs, size = (odd_docs, 64) if which == "odd" else (docs_of(spark), 1024)
