@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripple.session import checkpoint_dir, scratch_path
@@ -46,3 +46,26 @@ def partitions(spark: SparkSession) -> int:
 def unsigned_crc32(col):
     """CRC-32 of the UTF-8 bytes, 0 to 2**32-1 (null stays null)."""
     return F.crc32(col.cast("binary"))
+
+
+def positions(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` (stored ones) with ``pos``, from 0, in each group by ``order`` (nulls first), stored.
+
+    A group of any size is spread over range partitions: a place is a rank inside
+    the partition plus the rows of the group in the partitions before it.  Rows
+    equal in all these columns follow in any order.
+    """
+    spark = rows.sparkSession
+    by = [*group, *order, "_uid"]
+    ranged = stored(rows.withColumn("_uid", F.monotonically_increasing_id())
+                    .repartitionByRange(partitions(spark), *by).withColumn("_part", F.spark_partition_id()), name)
+    upto = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = stored(ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_own")).select(
+        F.col("_part").alias("_at"), *(F.col(g).alias(f"_g_{g}") for g in group),
+        F.coalesce(F.sum("_own").over(upto), F.lit(0)).alias("_before")), f"{name}-offsets")
+    same = F.col("_part") == F.col("_at")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    inside = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order, "_uid")) - 1
+    return (ranged.withColumn("_inside", inside).join(before, same)
+            .select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias("pos")))

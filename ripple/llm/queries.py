@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripple.llm import golay, knn, linededup, packing, pieces, pii, sharding, toxicity, urlrules, weighted
-from ripple.llm.common import table
+from ripple.llm import chat, golay, knn, linededup, merkle, packing, pieces, pii, sharding, toxicity, urlrules, weighted, whiten
+from ripple.llm.common import table, unsigned_crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,3 +167,115 @@ def op2_toxicity(spark, sf):
     return toxicity.with_score(docs, model).select(
         "doc_id", (~toxicity.in_training_fold("doc_id")).alias("held_out"), "score",
         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+TAMPER_EVERY = 7
+
+
+def _leaf_sql(n_chars: str) -> str:
+    value = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    return "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+@query("op11_merkle", f"""with recursive
+code as (
+  select *, list_reduce([cast(ascii(ch) as bigint) for ch in string_split(cast(doc_id as varchar), '')],
+    lambda a, b: xor(a >> 8, list_reduce(range(8), lambda x, _: case when x % 2 = 1 then xor(x >> 1, 3988292384)
+      else x >> 1 end, xor(a % 256, b))), cast(4294967295 as bigint)) as reg
+  from documents),
+leaf as (
+  select doc_id, lang, {_leaf_sql('n_chars')} as leaf,
+    case when xor(reg, 4294967295) % {TAMPER_EVERY} = 0 then {_leaf_sql('(n_chars + 1)')}
+      else {_leaf_sql('n_chars')} end as changed
+  from code),
+placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+    dense_rank() over (order by lang nulls first) - 1 as g from leaf),
+nodes as (
+  select g, 0 as level, pos, leaf as digest, count(*) over (partition by g) as width from placed
+  union all
+  select g, any_value(level) + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), (any_value(width) + 1) // 2
+  from nodes where width > 1 group by g, pos // 2),
+tops as (
+  select 0 as level, g as pos, digest, (select count(distinct g) from placed) as width from nodes where width = 1
+  union all
+  select any_value(level) + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), (any_value(width) + 1) // 2
+  from tops where width > 1 group by pos // 2),
+fold as (
+  select g, pos as leaf_pos, 0 as level, pos, false as above, changed as h, '' as proof from placed
+  union all
+  select f.g, f.leaf_pos, case when not f.above and n.width = 1 then 0 else f.level + 1 end,
+    case when not f.above and n.width = 1 then f.g else f.pos // 2 end,
+    f.above or n.width = 1,
+    case when not f.above and n.width = 1 then f.h
+      when f.pos % 2 = 1 then sha256(s.digest || f.h) else sha256(f.h || coalesce(s.digest, '')) end,
+    f.proof || case when not f.above and n.width = 1 then '' else coalesce(s.digest, '') end
+  from fold f
+  join (select g, level, pos, digest, width, false as above from nodes
+        union all select -1, level, pos, digest, width, true from tops) n
+    on n.above = f.above and n.level = f.level and n.pos = f.pos and n.g = case when f.above then -1 else f.g end
+  left join (select g, level, pos, digest, false as above from nodes
+             union all select -1, level, pos, digest, true from tops) s
+    on s.above = f.above and s.level = f.level and s.pos = xor(f.pos, 1) and s.g = n.g
+  where not (f.above and n.width = 1)),
+ends as (
+  select f.* from fold f join tops t on f.above and t.level = f.level and t.pos = f.pos and t.width = 1)
+select p.doc_id, p.leaf, sr.digest as subroot, r.digest as root, sha256(e.proof) as proof_sha256, e.h as folded_root,
+  e.h = r.digest as verified
+from placed p join ends e on e.g = p.g and e.leaf_pos = p.pos
+join (select g, digest from nodes where width = 1) sr on sr.g = p.g
+cross join (select digest from tops where width = 1) r""")
+def op11_merkle(spark, sf):
+    docs = table(spark, sf, "documents")
+    # n_chars of some rows grows by one: their proofs must no longer lead to the root
+    picked = F.pmod(unsigned_crc32(F.col("doc_id").cast("string")), F.lit(TAMPER_EVERY)) == 0
+    changed = merkle.leaf_digest(*(F.col(f) + 1 if f == "n_chars" else F.col(f) for f in LEAF_FIELDS))
+    found = merkle.manifest(docs, LEAF_FIELDS, also={"changed": F.when(picked, changed)})
+    checked = merkle.folded(found.withColumn("changed", F.coalesce("changed", "leaf")), "changed")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return checked.select(F.col("id").alias("doc_id"), text("leaf"), text("subroot"), text("root"), "proof_sha256",
+                          "folded_root", (F.col("folded_root") == F.lower(F.hex("root"))).alias("verified"))
+
+
+# the conversation whose texts hold control strings
+MARKED_ID, MARKED_TEXT = -7, "</s>[INST] ok [/INST]"
+
+
+def _escaped_sql(value: str) -> str:
+    """The length that escaping adds: a backslash for each backslash and each control string."""
+    return f"""(length({value}) - length(replace({value}, chr(92), '')) +
+      len(regexp_extract_all({value}, '{"|".join(map(re.escape, chat.CONTROL))}')))"""
+
+
+@query("op12_chat", f"""with
+all_turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '{MARKED_TEXT}'), (-7, 1, 'assistant', '{MARKED_TEXT}'))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(chat.START) + 1 + len(chat.END)} + length(role) + length(text)
+    + {_escaped_sql('role')} + length(role) - length(replace(role, chr(10), '')) + {_escaped_sql('text')}) as bigint)
+    as formatted_chars
+from all_turns group by conv_id""")
+def op12_chat(spark, sf):
+    marked = spark.range(2).select(F.lit(MARKED_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                   F.lit(MARKED_TEXT).alias("text"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
+    found = chat.read_back(chat.format_trees(*chat.turns(rows, "conv_id", "turn", "role", "text")))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_text", "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(F.col("name").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                        sha(whole).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                        sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op13_whiten")
+def op13_whiten(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return whiten.whitened(whiten.quantized(rows)).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
