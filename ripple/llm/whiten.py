@@ -217,6 +217,8 @@ def whitened(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
     rest = np.array([(s - n * int(m)) / n for s, m in zip(sums, middle)])
     products = _products(width, lambda b: (_matrix(b.column(0), width) - middle).astype(float))
     v = _added(fit.select("x").mapInArrow(products, "i int, j int, s double"), width) / n - np.outer(rest, rest)
+    if not v.any():                                                  # all vectors are equal
+        return spark.createDataFrame([], schema)
     values, vectors = leading(v, min(components, width))
     kept = values > FLAT * max(values[0], 0.0)
     values, vectors = values[kept], vectors[kept]
