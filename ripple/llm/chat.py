@@ -20,7 +20,8 @@ A branch is the way from a root to a leaf (a message without replies).
   this back exactly.  The loss mask lists start and length (code points) of the
   assistant's texts in the formatted text.
 
-How it runs on Spark: pointers are narrow rows, stored after each round; a
+How it runs on Spark: pointers are narrow rows, stored after each round; round r
+only takes messages at least 2**r deep and the ends of their pointers.  A
 message with very many replies is a hot key of the left side of a join, which
 Spark splits.  Texts join the chosen paths at the end.  Only a formatted
 conversation itself, which is one value, is gathered in one task.
@@ -91,16 +92,25 @@ def pointers(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     cur = own.join(known, F.col("parent") == F.col("up"), "left").join(inner, F.col("id") == F.col("_id"), "left")
     # total and depth cover the message and those up to, but without, the end of its pointer
     cur = stored(cur.select("id", "up", "total", F.col("up").isNotNull().cast("long").alias("depth"),
-                            F.col("_id").isNull().alias("leaf"), F.coalesce("up", "id").alias("root")), "pointers-0")
+                            F.col("_id").isNull().alias("leaf"), F.coalesce("up", "id").alias("root"),
+                            F.lit(True).alias("moved")), "pointers-0")
     rounds, n = [], own.count()
+    ended = cur.where("up is null")
     while not cur.where("up is not null").isEmpty() and (1 << len(rounds)) <= n:
-        rounds.append(cur.where("up is not null").select("id", "up"))
-        ends = cur.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("up", "total", "depth", "root")))
-        cur = stored(cur.join(ends, F.col("up") == F.col("_id"), "left").select(
-            "id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "leaf",
-            F.coalesce("_root", "root").alias("root")), f"pointers-{len(rounds)}")
-    return cur.where("up is null").drop("up"), rounds
+        moving = cur.where("up is not null")
+        rounds.append(moving.select("id", "up"))
+        # a message at the end of no pointer of this round is at the end of no longer one
+        used = moving.select(F.col("up").alias("_id")).distinct()
+        ends = cur.join(used, F.col("id") == F.col("_id"), "left_semi")
+        state = [F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("up", "total", "depth", "root"))]
+        moved = moving.join(ends.select(*state), F.col("up") == F.col("_id")).select(
+            "id", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+            (F.col("depth") + F.col("_depth")).alias("depth"), "leaf", F.col("_root").alias("root"),
+            F.lit(True).alias("moved"))
+        stay = ends.where("up is null").withColumn("moved", F.lit(False))
+        cur = stored(moved.unionByName(stay), f"pointers-{len(rounds)}")
+        ended = ended.unionByName(cur.where("moved and up is null"))
+    return ended.drop("up", "moved"), rounds
 
 
 def chosen_paths(links: DataFrame, branches: int = 1) -> DataFrame:
