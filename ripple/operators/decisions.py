@@ -129,6 +129,7 @@ def build_alerts(scored: DataFrame, threshold: float = 0.10,
                  X.relative_duration(res_min), F.lit(")"),
                  F.when(sample_n < K.LIMITED_DATA_N, F.lit(" (estimate — limited data)"))
                   .otherwise(F.lit(""))).alias("estimated_clearance_ist"),
+        *[c for c in ("driver_top3", "driver_values3") if c in scored.columns],
     )
 
 

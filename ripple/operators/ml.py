@@ -1,36 +1,42 @@
-"""Model training and scoring as Spark MLlib jobs.
-
-* Seed classifier (M1/M2): boosted trees, class-weighted, calibrated by
-  isotonic regression in a 5-fold ensemble: fold ``k``'s trees are fit on
-  the other folds and its calibrator on fold ``k``; the score is the mean of
-  the five calibrated scores.  Folds come from a hash of ``id`` (stable,
-  no driver-side split).
-* Severity (M7): one-vs-rest boosted trees over the three classes.
-* Count forecaster (M8): Poisson GLM (log link) on one-hot corridor, hour
-  and weekday plus the three lags.
-* Contributions (M6): baseline ablation, ``score(x) - score(x with feature
-  j set to its mean)``, every row x every feature scored in one transform.
-
-All scoring is ``model.transform`` on DataFrames; nothing is collected but
-model parameters.
+"""Model training and scoring.
+
+* Seed classifier (M1/M2): class-weighted boosted trees, calibrated by isotonic
+  regression in a 5-fold ensemble: fold ``k``'s trees are fit on the other
+  folds and its calibrator on fold ``k``; the score is the mean of the five
+  calibrated scores.  Folds come from a hash of ``id``.
+* Severity (M7): boosted trees over the three classes (softmax).
+* Count forecaster (M8): boosted trees with the Poisson deviance on the lagged
+  hourly grid, as many (300 at most) as held-out hours ask for.
+* Contributions (M6): path-dependent Shapley values of the raw score, the mean
+  over the folds' trees.
+
+All trees grow side by side in one Spark job (``boosting``).  A trained set is a
+table of nodes, a table of calibration points and a row of meta data (S7, S8);
+scoring passes the feature array of a row through Arrow, everything else stays
+in Spark columns.
 """
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ripple import constants as K
+from ripple.operators import boosting
+from ripple.operators.joins import checked_small
 
 SEVERITY_CLASSES = ("high", "low", "medium")      # alphabetical label codes
+FOLDS = 5
+CALIBRATION_RANGES = 16
 
 
 @dataclass
@@ -61,107 +67,181 @@ def fit_encoders(df: DataFrame) -> Encoders:
     return Encoders(list(causes), list(corridors))
 
 
+def _numeric(df: DataFrame, features) -> DataFrame:
+    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
+
+
+def _vector(features) -> "F.Column":
+    return F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+
+
 @dataclass
 class SeedModel:
-    folds: list = field(default_factory=list)     # [(gbt PipelineModel, isotonic model)]
+    folds: list                                   # [(trees, (scores, calibrated))]
     threshold: float = 0.5
     features: tuple = K.FEATURES_A
 
     def score(self, df: DataFrame, out: str = "cascade_probability") -> DataFrame:
         """Mean of the fold-wise calibrated probabilities (M2)."""
-        cols = []
-        cur = df
-        for i, (gbt, iso) in enumerate(self.folds):
-            s = gbt.transform(cur).withColumn("_raw", vector_to_array("probability")[1])
-            s = s.drop("features", "rawPrediction", "probability", "prediction")
-            s = iso.transform(s.withColumn("_rawv", F.col("_raw"))).withColumnRenamed(
-                "prediction", f"_cal{i}").drop("_raw", "_rawv")
-            cur = s
-            cols.append(F.col(f"_cal{i}"))
-        mean = sum(cols[1:], cols[0]) / F.lit(float(len(cols)))
-        return cur.withColumn(out, F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0))) \
-                  .drop(*[f"_cal{i}" for i in range(len(self.folds))])
+        each = boosting.scores([t for t, _ in self.folds], [c for _, c in self.folds])
+        mean = F.aggregate(each(_vector(self.features)), F.lit(0.0), lambda a, x: a + x) / float(len(self.folds))
+        return df.withColumn(out, F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)))
+
+
+@dataclass
+class Models:
+    enc: Encoders
+    seed: SeedModel
+    severity: boosting.Trees
+    counts: boosting.Trees
+    nodes: DataFrame                              # the stored tables all of these were made from
+    calibration: DataFrame
+
+
+# ---- training ---------------------------------------------------------------
+
+def specs(n_trees: int, depth: int, rate: float) -> dict[str, boosting.Spec]:
+    size = dict(n_trees=n_trees, depth=depth, rate=rate)
+    return {"seed": boosting.Spec(K.FEATURES_A, "binary", **size),
+            "severity": boosting.Spec(K.FEATURES_B, "classes", len(SEVERITY_CLASSES), **size),
+            "counts": boosting.Spec(K.FEATURES_C, "poisson", min_hessian=20.0, stop=True, **size)}
+
+
+def seed_rows(train: DataFrame, enc: Encoders, folds: int = FOLDS) -> DataFrame:
+    """Features, ``label`` and ``_fold`` of the seed classifier's training rows."""
+    return _numeric(enc.apply(train), K.FEATURES_A).select(
+        *K.FEATURES_A, F.col("is_cascade_seed").cast("double").alias("label"),
+        F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int").alias("_fold"))
+
+
+def fit_models(train: DataFrame, grid: DataFrame, enc: Encoders, folds: int = FOLDS, n_trees: int = boosting.N_TREES,
+               depth: int = boosting.DEPTH, rate: float = boosting.RATE,
+               max_vectors: int = boosting.MAX_VECTORS) -> Models:
+    """M1, M2, M7, M8 on ``train`` (engineered rows with cascade features) and ``grid`` (hourly, with lags).
+
+    All fits (one for each fold, the classes, the counts) are one job.  A fit takes
+    all rows that share their bins as one vector and at most ``max_vectors`` of these.
+    """
+    spec = specs(n_trees, depth, rate)
+    seeds = seed_rows(train, enc, folds)
+    label = F.col("congestion_severity")
+    severity = _numeric(enc.apply(train), K.FEATURES_B).where(label.isin(*SEVERITY_CLASSES))
+    counts = _numeric(enc.apply(_with_cause(grid)), K.FEATURES_C).withColumn("event_count", F.col("event_count").cast("double"))
+    cuts = {kind: boosting.cut_points(df, spec[kind].features)
+            for kind, df in (("seed", seeds), ("severity", severity), ("counts", counts))}
+    # positives weigh as much as negatives over all training rows
+    n = seeds.agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos")).first()
+    weight = n["neg"] / n["pos"] if n["pos"] else 1.0
+    v = boosting.vectors(seeds, K.FEATURES_A, cuts["seed"],
+                         {"neg": 1 - F.col("label"), "pos": F.col("label") * weight}, ["_fold"])
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("_fold"))
+    table = v.select(F.explode(others).alias("k"), "bins", "stats").select(
+        F.concat(F.lit("seed-"), "k").alias("fit"), F.lit("seed").alias("kind"), "bins", "stats")
+    table = table.unionByName(boosting.vectors(severity, K.FEATURES_B, cuts["severity"], {
+        c: (label == c).cast("double") for c in SEVERITY_CLASSES}).select(
+            F.lit("severity").alias("fit"), F.lit("severity").alias("kind"), "bins", "stats"))
+    table = table.unionByName(boosting.vectors(counts, K.FEATURES_C, cuts["counts"], {
+        "rows": F.lit(1.0), "events": F.col("event_count")}).select(
+            F.lit("counts").alias("fit"), F.lit("counts").alias("kind"), "bins", "stats"))
+    nodes = checked_small(boosting.train(checked_small(table), spec, cuts, max_vectors))
+    trees = trees_of(nodes, spec, folds)
+    held = seeds.withColumn("score", _own_fold(trees["seed"])(_vector(K.FEATURES_A), F.col("_fold")))
+    calibration = checked_small(boosting.isotonic(held, "_fold", "score", "label", CALIBRATION_RANGES))
+    return Models(enc, SeedModel(list(zip(trees["seed"], points_of(calibration, folds)))), trees["severity"],
+                  trees["counts"], nodes, calibration)
+
+
+def _with_cause(grid: DataFrame) -> DataFrame:
+    """The grid has corridors but no causes; encoding needs a column of that name."""
+    return grid if "event_cause_grouped" in grid.columns else grid.withColumn("event_cause_grouped", F.lit(K.DEFAULT_CAUSE))
+
+
+def _own_fold(fits: list[boosting.Trees]):
+    """The score of each row by the trees of its own fold, which have not seen it."""
+    def run(x: pa.Array, fold: pa.Array) -> pa.Array:
+        rows, k = boosting.matrix(x, len(fits[0].features)), fold.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(rows))
+        for i, trees in enumerate(fits):
+            out[k == i] = trees.predict(rows[k == i])[:, 0]
+        return pa.array(out)
+
+    return F.arrow_udf(run, DoubleType())
+
+
+def trees_of(nodes: DataFrame, spec: dict[str, boosting.Spec], folds: int) -> dict:
+    """The arrays of every fit; their size is bounded by trees and depth."""
+    rows = nodes.toArrow()
+    names = rows.column("fit").to_numpy()
+    of = lambda fit, kind: boosting.Trees.of(rows.filter(pa.array(names == fit)), spec[kind])
+    return {"seed": [of(f"seed-{k}", "seed") for k in range(folds)], "severity": of("severity", "severity"),
+            "counts": of("counts", "counts")}
+
+
+def points_of(calibration: DataFrame, folds: int) -> list[tuple[list, list]]:
+    """Calibration of each fold as points to interpolate between (a fold without rows keeps its scores)."""
+    rows = calibration.orderBy("_fold", "low").collect()       # bounded by the calibrators' finest step
+    out = []
+    for k in range(folds):
+        own = [r for r in rows if r["_fold"] == k]
+        x = [v for r in own for v in (r["low"], r["high"])]
+        y = [v for r in own for v in (r["mean"], r["mean"])]
+        out.append((x, y) if own else ([0.0, 1.0], [0.0, 1.0]))
+    return out
 
 
-def _assembler(features, out="features"):
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
+def importances(models: Models, top: int = 10) -> DataFrame:
+    """M5: mean gain of a feature's splits as a share of all features', averaged over the folds, top ``top``."""
+    gains = (models.nodes.where(F.col("fit").startswith("seed-") & (F.col("feature") >= 0))
+             .groupBy("fit", "feature").agg(F.avg("gain").alias("gain")))
+    names = F.array(*map(F.lit, K.FEATURES_A))
+    total = gains.groupBy(F.col("fit").alias("_fit")).agg(F.sum("gain").alias("total"))
+    share = gains.join(total, F.col("fit") == F.col("_fit")).groupBy("feature").agg(
+        (F.sum(F.col("gain") / F.col("total")) / float(len(models.seed.folds))).alias("importance"))
+    every = models.nodes.sparkSession.range(len(K.FEATURES_A)).select(F.col("id").cast("int").alias("feature"))
+    return (every.join(share, "feature", "left")
+            .select(F.get(names, F.col("feature")).alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+            .orderBy(F.col("importance").desc(), "feature").limit(top))
 
 
-def _numeric(df: DataFrame, features) -> DataFrame:
-    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
+# ---- scoring ----------------------------------------------------------------
 
+def predict_severity(model: boosting.Trees, df: DataFrame, enc: Encoders) -> DataFrame:
+    """M7: the most likely class (ties: the first in label order)."""
+    p = boosting.scores([model])(_vector(K.FEATURES_B))
+    out = enc.apply(df).withColumn("_classes", p)
+    labels = F.array(*map(F.lit, SEVERITY_CLASSES))
+    best = F.array_position(F.col("_classes"), F.array_max("_classes"))
+    return out.withColumn("severity", F.element_at(labels, best.cast("int"))).drop("_classes")
 
-def fit_seed(train: DataFrame, enc: Encoders, folds: int = 5, n_trees: int = 300, depth: int = 6,
-             lr: float = 0.05, seed: int = 42) -> SeedModel:
-    """M1/M2 on ``train`` (engineered + cascade features)."""
-    feats = K.FEATURES_A
-    data = _numeric(enc.apply(train), feats).withColumn(
-        "label", F.col("is_cascade_seed").cast("double"))
-    cnt = data.select(F.struct(F.count_if(F.col("label") == 0).alias("neg"),
-                               F.count_if(F.col("label") == 1).alias("pos"))).scalar()
-    neg, pos = cnt["neg"], cnt["pos"]
-    weight = F.when(F.col("label") == 1, F.coalesce(F.try_divide(neg.cast("double"), pos.cast("double")),
-                                                     F.lit(1.0))).otherwise(F.lit(1.0))
-    data = data.withColumns({"w": weight, "_fold": F.pmod(F.xxhash64("id"), F.lit(folds))})
-    # every fold and boosting round rereads this frame: cut its lineage with a
-    # reliable checkpoint in the shared folder (survives executor loss)
-    data = data.select("id", "label", "w", "_fold", *feats).checkpoint()
-    model = SeedModel()
-    for k in range(folds):
-        gbt = Pipeline(stages=[_assembler(feats), GBTClassifier(
-            labelCol="label", weightCol="w", maxIter=n_trees, maxDepth=depth, stepSize=lr, seed=seed)])
-        fitted = gbt.fit(data.where(F.col("_fold") != k))
-        held = fitted.transform(data.where(F.col("_fold") == k)).withColumn(
-            "_rawv", vector_to_array("probability")[1])
-        iso = IsotonicRegression(featuresCol="_rawv", labelCol="label", predictionCol="prediction") \
-            .fit(held.select("_rawv", "label"))
-        model.folds.append((fitted, iso))
-    return model
-
-
-def importances(model: SeedModel, spark: SparkSession, top: int = 10) -> DataFrame:
-    """M5: fold-averaged tree importances, top ``top``."""
-    n = len(model.folds)
-    acc = [0.0] * len(model.features)
-    for gbt, _ in model.folds:
-        imp = gbt.stages[-1].featureImportances.toArray()
-        acc = [a + float(b) / n for a, b in zip(acc, imp)]
-    rows = [(f, v) for f, v in zip(model.features, acc)]
-    return (spark.createDataFrame(rows, "feature string, importance double")
-                 .orderBy(F.col("importance").desc(), "feature").limit(top))
-
-
-def fit_severity(train: DataFrame, enc: Encoders, n_trees: int = 300, depth: int = 6,
-                 lr: float = 0.05, seed: int = 42) -> PipelineModel:
-    """M7: three-class severity, one-vs-rest boosted trees."""
-    feats = K.FEATURES_B
-    data = _numeric(enc.apply(train), feats)
-    label = StringIndexer(inputCol="congestion_severity", outputCol="label",
-                          stringOrderType="alphabetAsc")
-    ovr = OneVsRest(classifier=GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=lr, seed=seed),
-                    labelCol="label", featuresCol="features", predictionCol="sev_index")
-    return Pipeline(stages=[label, _assembler(feats), ovr]).fit(data)
-
-
-def predict_severity(model: PipelineModel, df: DataFrame, enc: Encoders) -> DataFrame:
-    feats = K.FEATURES_B
-    data = _numeric(enc.apply(df), feats)
-    if "congestion_severity" not in data.columns:
-        data = data.withColumn("congestion_severity", F.lit("low"))
-    out = model.transform(data)
-    labels = F.array(*[F.lit(x) for x in model.stages[0].labels])      # the fitted label order
-    return out.withColumn("severity", F.element_at(labels, F.col("sev_index").cast("int") + 1)) \
-              .drop("features", "label", "rawPrediction", "sev_index")
-
-
-def fit_counts(grid: DataFrame, max_iter: int = 50, reg: float = 1e-4) -> PipelineModel:
-    """M8: Poisson GLM (log link) on the lagged hourly grid."""
+
+def predict_counts(model: boosting.Trees, df: DataFrame, out: str = "pred_count") -> DataFrame:
+    """M8: the expected count of an hour from rows with the features of the grid (encoded corridor)."""
+    return df.withColumn(out, F.element_at(boosting.scores([model])(_vector(K.FEATURES_C)), 1))
+
+
+def forecast_2h(model: boosting.Trees, df: DataFrame) -> DataFrame:
+    """Predict hour h, feed it back as lag-1 for hour h+1, sum both,
+    round half-even, floor 0.  Midnight advances the weekday."""
+    one = boosting.scores([model])
+    first = df.withColumn("_p1", F.element_at(one(_vector(K.FEATURES_C)), 1))
+    nxt = F.pmod(F.col("hour_of_day").cast("double") + 1, F.lit(24.0))
+    day = F.col("day_of_week").cast("double")
+    ahead = {"hour_of_day": nxt, "day_of_week": F.when(nxt == 0, F.pmod(day + 1, F.lit(7.0))).otherwise(day),
+             "count_lag_1": F.col("_p1")}
+    second = F.array(*(F.coalesce(ahead.get(f, F.col(f).cast("double")), F.lit(0.0)) for f in K.FEATURES_C))
+    both = first.withColumn("_p2", F.element_at(one(second), 1))
+    return both.withColumn("predicted_secondary_count", F.greatest(
+        F.bround(F.col("_p1") + F.col("_p2"), 0), F.lit(0.0)).cast("long")).drop("_p1", "_p2")
+
+
+def fit_counts_glm(grid: DataFrame, max_iter: int = 50, reg: float = 1e-4) -> PipelineModel:
+    """A Poisson GLM (log link) on the lagged hourly grid: the yardstick of M8."""
     stages = [
         StringIndexer(inputCol="corridor", outputCol="_corr_idx", handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=["_corr_idx", "hour_of_day", "day_of_week"],
                       outputCols=["_corr_oh", "_hour_oh", "_dow_oh"], handleInvalid="keep"),
-        _assembler(["_corr_oh", "_hour_oh", "_dow_oh", "count_lag_1", "count_lag_24", "count_lag_168"]),
+        VectorAssembler(handleInvalid="keep", outputCol="features", inputCols=["_corr_oh", "_hour_oh", "_dow_oh", "count_lag_1", "count_lag_24", "count_lag_168"]),
         GeneralizedLinearRegression(family="poisson", link="log", labelCol="event_count",
                                     maxIter=max_iter, regParam=reg, predictionCol="pred_count"),
     ]
@@ -170,30 +250,6 @@ def fit_counts(grid: DataFrame, max_iter: int = 50, reg: float = 1e-4) -> Pipeli
     return Pipeline(stages=stages).fit(data)
 
 
-def forecast_2h(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Predict hour h, feed it back as lag-1 for hour h+1, sum both,
-    round half-even, floor 0.  Midnight advances the weekday."""
-    base = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-                           for c in ("count_lag_1", "count_lag_24", "count_lag_168")})
-    base = base.withColumns({"hour_of_day": F.col("hour_of_day").cast("double"),
-                             "day_of_week": F.col("day_of_week").cast("double")})
-    if "event_count" not in base.columns:
-        base = base.withColumn("event_count", F.lit(0.0))
-    h1 = model.transform(base).withColumnRenamed("pred_count", "_p1") \
-              .drop("_corr_idx", "_corr_oh", "_hour_oh", "_dow_oh", "features")
-    nxt = F.pmod(F.col("hour_of_day") + 1, F.lit(24))
-    step = h1.withColumns({
-        "_h0": F.col("hour_of_day"), "_d0": F.col("day_of_week"), "_l1": F.col("count_lag_1"),
-        "day_of_week": F.when(nxt == 0, F.pmod(F.col("day_of_week") + 1, F.lit(7))).otherwise(F.col("day_of_week")),
-        "hour_of_day": nxt.cast("double"), "count_lag_1": F.col("_p1")})
-    h2 = model.transform(step).withColumnRenamed("pred_count", "_p2") \
-              .drop("_corr_idx", "_corr_oh", "_hour_oh", "_dow_oh", "features")
-    out = h2.withColumns({"hour_of_day": F.col("_h0"), "day_of_week": F.col("_d0"), "count_lag_1": F.col("_l1"),
-                          "predicted_secondary_count": F.greatest(F.bround(F.col("_p1") + F.col("_p2"), 0),
-                                                                  F.lit(0.0)).cast("long")})
-    return out.drop("_h0", "_d0", "_l1", "_p1", "_p2")
-
-
 def lags_at_incident(df: DataFrame, grid_with_lags: DataFrame) -> DataFrame:
     """Real lags (K7) of each incident's corridor-hour: the counts 1, 24 and
     168 hours before its hour (0 off the grid)."""
@@ -204,70 +260,57 @@ def lags_at_incident(df: DataFrame, grid_with_lags: DataFrame) -> DataFrame:
     return out.fillna(0, ["count_lag_1", "count_lag_24", "count_lag_168"])
 
 
-@dataclass
-class Models:
-    enc: Encoders
-    seed: SeedModel
-    severity: PipelineModel
-    counts: PipelineModel
-
-
 def score(df: DataFrame, models: Models, grid_with_lags: DataFrame) -> DataFrame:
     """Seed probability -> flag; 2 h count forecast; severity."""
-    x = _numeric(models.enc.apply(df), K.FEATURES_A)
-    x = models.seed.score(x)
+    x = models.seed.score(models.enc.apply(df))
     x = x.withColumn("predicted_seed", F.col("cascade_probability") >= models.seed.threshold)
     x = forecast_2h(models.counts, lags_at_incident(x, grid_with_lags))
     x = x.withColumn("secondary_count", F.col("predicted_secondary_count"))
     return predict_severity(models.severity, x, models.enc)
 
 
-def contributions(df: DataFrame, model: SeedModel, top: int = 3) -> DataFrame:
-    """M6 (ablation, not Shapley): per row, the score drop when each feature is
-    replaced by its mean; top ``top`` labels with values floored at 0.001."""
-    feats = list(model.features)
-    means = df.agg(F.struct(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats])).scalar()
-    mean_cols = {f: means[f] for f in feats}          # one scalar subquery, shared
-    variants = F.explode(F.sequence(F.lit(-1), F.lit(len(feats) - 1))).alias("_v")
-    ex = df.select("*", variants)
-    ex = ex.withColumns({f: F.when(F.col("_v") == i, mean_cols[f]).otherwise(F.col(f).cast("double"))
-                         for i, f in enumerate(feats)})
-    scored = model.score(ex, out="_p")
-    w = Window.partitionBy("id")
-    base = F.max(F.when(F.col("_v") == -1, F.col("_p"))).over(w)
-    contrib = scored.where(F.col("_v") >= 0).withColumn("_c", base - F.col("_p"))
-    labels = F.array(*[F.lit(K.FEATURE_LABELS.get(f, f)) for f in feats])
-    ranked = contrib.withColumn("_r", F.row_number().over(
-        w.orderBy(F.col("_c").desc(), F.col("_v"))))
-    top_rows = ranked.where(F.col("_r") <= top)
-    return (top_rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
-                "_r", F.element_at(labels, F.col("_v") + 1).alias("label"),
-                F.greatest(F.col("_c"), F.lit(K.CONTRIBUTION_FLOOR)).alias("value")))).alias("_t"))
-                .select("id", F.transform("_t", lambda s: s["label"]).alias("driver_top3"),
-                        F.transform("_t", lambda s: s["value"]).alias("driver_values3")))
+def attributions(df: DataFrame, model: SeedModel) -> DataFrame:
+    """M6: ``df`` (encoded) with ``contributions`` (one Shapley value for each feature) and ``base``.
+
+    They are the mean over the folds' trees; base plus contributions is the mean raw score.
+    """
+    n = len(model.features)
+    found = df.withColumn("_shapley", boosting.shapley_values([t for t, _ in model.folds])(_vector(model.features)))
+    return found.withColumns({"contributions": F.slice("_shapley", 1, n), "base": F.element_at("_shapley", n + 1)}).drop("_shapley")
+
+
+def with_drivers(df: DataFrame, model: SeedModel, top: int = 3) -> DataFrame:
+    """``df`` (encoded) with ``driver_top3`` and ``driver_values3``: the features that raise the score most.
+
+    Values are floored at 0.001; equal ones keep the features' order.
+    """
+    labels = F.array(*(F.lit(K.FEATURE_LABELS.get(f, f)) for f in model.features))
+    order = F.array_sort(F.transform("contributions", lambda c, i: F.struct((-c).alias("v"), i.alias("i"))))
+    ranked = F.slice(order, 1, top)
+    return attributions(df, model).withColumns({
+        "driver_top3": F.transform(ranked, lambda s: F.get(labels, s["i"])),
+        "driver_values3": F.transform(ranked, lambda s: F.greatest(-s["v"], F.lit(K.CONTRIBUTION_FLOOR))),
+    }).drop("contributions", "base")
 
 
 # ---- S7 / S8: persistence --------------------------------------------------
 def save_models(models: Models, path: str, spark: SparkSession) -> None:
-    for i, (gbt, iso) in enumerate(models.seed.folds):
-        gbt.write().overwrite().save(os.path.join(path, f"seed_fold{i}"))
-        iso.write().overwrite().save(os.path.join(path, f"seed_iso{i}"))
-    models.severity.write().overwrite().save(os.path.join(path, "severity"))
-    models.counts.write().overwrite().save(os.path.join(path, "counts"))
+    """The tables, then the row of meta data: a set without that row is not complete."""
+    models.nodes.write.mode("overwrite").parquet(os.path.join(path, "nodes"))
+    models.calibration.write.mode("overwrite").parquet(os.path.join(path, "calibration"))
+    t = models.seed.folds[0][0]
     meta = spark.createDataFrame(
-        [(float(models.seed.threshold), len(models.seed.folds), models.enc.cause_labels,
+        [(float(models.seed.threshold), len(models.seed.folds), t.depth, models.enc.cause_labels,
           models.enc.corridor_labels)],
-        "threshold double, folds int, cause_labels array<string>, corridor_labels array<string>")
+        "threshold double, folds int, depth int, cause_labels array<string>, corridor_labels array<string>")
     meta.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "meta"))
 
 
 def load_models(path: str, spark: SparkSession) -> Models:
-    from pyspark.ml.regression import IsotonicRegressionModel
     meta = spark.read.parquet(os.path.join(path, "meta")).first()
-    seed = SeedModel(threshold=meta["threshold"])
-    for i in range(meta["folds"]):
-        seed.folds.append((PipelineModel.load(os.path.join(path, f"seed_fold{i}")),
-                           IsotonicRegressionModel.load(os.path.join(path, f"seed_iso{i}"))))
-    return Models(Encoders(list(meta["cause_labels"]), list(meta["corridor_labels"])), seed,
-                  PipelineModel.load(os.path.join(path, "severity")),
-                  PipelineModel.load(os.path.join(path, "counts")))
+    nodes = spark.read.parquet(os.path.join(path, "nodes"))
+    calibration = spark.read.parquet(os.path.join(path, "calibration"))
+    trees = trees_of(nodes, specs(0, meta["depth"], 0.0), meta["folds"])
+    seed = SeedModel(list(zip(trees["seed"], points_of(calibration, meta["folds"]))), meta["threshold"])
+    return Models(Encoders(list(meta["cause_labels"]), list(meta["corridor_labels"])), seed, trees["severity"],
+                  trees["counts"], nodes, calibration)

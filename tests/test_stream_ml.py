@@ -1,13 +1,11 @@
-"""Streams equal their batch counterparts; models train, score and persist."""
+"""Streams equal their batch counterparts."""
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
-from ripple import constants as K
-from ripple.operators import cascade, metrics, ml, reports, timeseries
+from conftest import SF001
+from ripple.operators import cascade, timeseries
 from ripple.plans import flows
 from ripple.streaming import jobs
 
@@ -63,29 +61,3 @@ def test_stream_hourly_subset_of_batch(spark):
              for r in timeseries.hourly_counts(flows.engineered(spark, SF001)).collect()}
     rows = out.collect()
     assert rows and all(batch[(r["corridor"], r["hourly_bucket"])] == r["event_count"] for r in rows)
-
-
-def test_models_train_score_and_persist(spark):
-    lab = flows.labelled(spark, SF01)
-    train, test = reports.time_split(lab, "2024-01-22")
-    enc = ml.fit_encoders(lab)
-    seed = ml.fit_seed(train, enc, folds=2, n_trees=3, depth=3)
-    scored = seed.score(ml._numeric(enc.apply(test), K.FEATURES_A))
-    probs = [r[0] for r in scored.select("cascade_probability").collect()]
-    assert probs and all(0.0 <= p <= 1.0 for p in probs)
-    sw = metrics.threshold_sweep(scored, "cascade_probability", "is_cascade_seed", (0.1, 0.5, 0.9), 1.0)
-    rec = [r["recall"] for r in sw.orderBy("threshold").collect()]
-    assert rec == sorted(rec, reverse=True)          # recall never rises with the threshold
-    grid = timeseries.add_lags(timeseries.hourly_grid(timeseries.hourly_counts(flows.engineered(spark, SF01))))
-    counts = ml.fit_counts(grid, max_iter=10)
-    sev = ml.fit_severity(train, enc, n_trees=2, depth=3)
-    models = ml.Models(enc, seed, sev, counts)
-    out = ml.score(test, models, grid)
-    assert out.where(F.col("predicted_secondary_count") < 0).count() == 0
-    assert {r[0] for r in out.select("severity").distinct().collect()} <= set(ml.SEVERITY_CLASSES)
-    path = tempfile.mkdtemp(prefix="ripple-models-")
-    ml.save_models(models, os.path.join(path, "m"), spark)
-    back = ml.load_models(os.path.join(path, "m"), spark)
-    a = seed.score(ml._numeric(enc.apply(test), K.FEATURES_A)).select("id", "cascade_probability")
-    b = back.seed.score(ml._numeric(back.enc.apply(test), K.FEATURES_A)).select("id", "cascade_probability")
-    assert a.exceptAll(b).count() == 0
