@@ -2,7 +2,7 @@
 
 Each runs a Structured Streaming query with an ``availableNow`` trigger over
 the ``events`` file, writes Parquet under the shared checkpoint folder and
-returns the result as a batch DataFrame.  The oracle is the batch SQL.
+returns the result as a batch DataFrame.  The oracle is the batch SQL over all rows.
 """
 
 from __future__ import annotations
@@ -26,57 +26,53 @@ lin as (
 lclean as (select * from lin where event_cause <> 'test_demo')"""
 
 
-# A seed's count is final (emitted) once the aggregate's watermark passes it:
-# the watermark is (latest named incident - 120 min delay), and the interval
-# join holds its output watermark back by the 120 min join window as well.
-@query("stream_seed_labels", WX(LIGHT, f"""mx as (
-  select max(start_datetime) as m from lclean where {O.NAMED} and start_datetime is not null)""", f"""
-select a.id as seed_id, a.corridor, a.start_datetime as seed_ts, count(*) as secondary_count,
-  count(*) >= 3 as is_cascade_seed
-from lclean a join lclean b on a.corridor = b.corridor and b.start_datetime > a.start_datetime
+# K1 over every named incident: zero followers and the newest ones included.
+@query("stream_seed_labels", O.with_ctes(LIGHT, f"""select a.id as seed_id, a.corridor, a.start_datetime as seed_ts,
+  count(b.id) as secondary_count, count(b.id) >= 3 as is_cascade_seed
+from lclean a left join lclean b on a.corridor = b.corridor and b.start_datetime > a.start_datetime
  and b.start_datetime <= a.start_datetime + interval 120 minute
-where a.{O.NAMED} and a.start_datetime <= (select m from mx) - interval 240 minute
+where a.{O.NAMED} and a.start_datetime is not null
 group by a.id, a.corridor, a.start_datetime"""))
 def q_stream_seed_labels(spark, sf):
-    out = jobs.run_available(jobs.stream_seed_labels(jobs.incident_stream(spark, sf)), "stream_seeds")
+    out = jobs.run_to_end(jobs.stream_seed_labels, jobs.incident_stream(spark, sf), "stream_seeds")
     return out.select("seed_id", "corridor", F.col("seed_time").cast("timestamp_ntz").alias("seed_ts"),
                       "secondary_count", "is_cascade_seed")
 
 
-# A local hour is emitted once the watermark (latest incident - 1 h) passes its end.
-@query("stream_hourly", WX(O.ENGINEERED_CTES, HOURLY, f"""select * from hc
-where hourly_bucket + interval 1 hour <= (
-  select max(start_local) from eng where {O.NAMED} and start_local is not null) - interval 1 hour"""))
+@query("stream_hourly", WX(O.ENGINEERED_CTES, HOURLY, "select * from hc"))
 def q_stream_hourly(spark, sf):
-    return jobs.run_available(jobs.stream_hourly(jobs.incident_stream(spark, sf)), "stream_hourly")
+    return jobs.run_to_end(jobs.stream_hourly, jobs.incident_stream(spark, sf), "stream_hourly")
 
 
-# An incident's row is final (emitted) once the watermark (latest incident - 1 h) passes it by the widest look-back.
 LOOKBACK_SQL = O.with_ctes(O.LABELLED_CTES, """select id, corridor, corridor_events_2h, corridor_events_6h,
-  seed_event_present_3h from lab
-where start_datetime <= (select max(start_datetime) from lab) - interval 420 minute""")
+  seed_event_present_3h from lab where start_datetime is not null""")
 
 
 @query("stream_lookback", LOOKBACK_SQL)
 def q_stream_lookback(spark, sf):
-    return jobs.run_available(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_lookback")
+    return jobs.run_to_end(jobs.stream_lookback, jobs.incident_stream(spark, sf), "stream_lookback")
+
+
+# T3 at arrival: every row leaves in the batch it comes in.
+@query("stream_arrival", LOOKBACK_SQL)
+def q_stream_arrival(spark, sf):
+    return jobs.run_available(jobs.arrival_lookback(jobs.incident_stream(spark, sf)), "stream_arrival")
 
 
 # Every incident with a start: the stream's final rows and, behind its last watermark, the batch look-back.
 @query("stream_lookback_all", O.with_ctes(O.LABELLED_CTES, """select id, corridor, corridor_events_2h,
   corridor_events_6h, seed_event_present_3h from lab where start_datetime is not null"""))
 def q_stream_lookback_all(spark, sf):
-    return q_stream_lookback(spark, sf).unionByName(jobs.lookback_tail(jobs.incident_table(spark, sf)))
+    final = jobs.run_available(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_lookback_open")
+    return final.unionByName(jobs.lookback_tail(jobs.incident_table(spark, sf)))
 
 
 @query("stream_alert_sink", LOOKBACK_SQL)
 def q_stream_alert_sink(spark, sf):
-    out = jobs.run_foreach(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_sink")
-    return out.drop("batch_id")
+    return jobs.run_foreach(jobs.arrival_lookback(jobs.incident_stream(spark, sf)), "stream_sink").drop("batch_id")
 
 
 # T3 scoring (stand-in score) and T4: the alerts of every incident, keyed by (corridor, alert_id).
 @query("stream_alerts", WX(O.SCORED_CTES, ALERT_CTES, f"select {ALERT_COLS} from alerts"))
 def q_stream_alerts(spark, sf):
-    return jobs.run_alerts(jobs.incident_stream(spark, sf), jobs.incident_table(spark, sf),
-                           flows.engineered(spark, sf), "stream_alerts")
+    return jobs.run_alerts(jobs.incident_stream(spark, sf), flows.engineered(spark, sf), "stream_alerts")

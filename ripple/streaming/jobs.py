@@ -1,14 +1,18 @@
 """Structured Streaming jobs on an incident stream.
 
-* T1 ``stream_seed_labels``: stream-stream interval self-join with
-  watermarks, then a count per seed (append mode).
+* T1 ``stream_seed_labels``: stream-stream interval outer join on (corridor, time
+  bucket) with watermarks, then a count per seed (append mode).
 * T2 ``stream_hourly``: tumbling one-hour windows on local clock hours
   (``startTime`` = the +05:30 offset), append mode.
-* T3 ``stream_lookback``: look-back features by a stream-stream interval join
-  on (corridor, time bucket) with watermarks and conditional counts.
-  ``lookback_tail`` gives the rows behind the last watermark.
-* T4 ``alert_sink``: ``foreachBatch`` writer, idempotent per batch id;
-  ``scored_alert_sink`` scores the look-back rows and writes their alerts.
+* T3 ``arrival_lookback``: look-back features at arrival, from keyed state that
+  expires by event time.  ``stream_lookback`` gives final ones, by an interval
+  join; ``lookback_tail`` gives what that join holds back while its input is open.
+* T4 ``scored_alert_sink``: ``foreachBatch`` function that scores look-back rows
+  and commits their alerts once; ``alert_sink`` writes rows, idempotent per batch.
+
+A stream that ends is closed by ``end_marks``: a row far in the future lets the
+watermark pass everything, so state that waits for time is given out
+(``run_to_end``).
 
 Event time is a TIMESTAMP (instant) derived from the UTC wall clock.
 """
@@ -16,9 +20,14 @@ Event time is a TIMESTAMP (instant) derived from the UTC wall clock.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ripple import constants as K
 from ripple.functions import columns as X
@@ -36,6 +45,30 @@ def incident_stream(spark: SparkSession, sf_dir: str, max_files: int | None = No
     return cleaned(r.parquet(sf_dir))
 
 
+END_MARK = "(end of input)"
+END_TIMES = ("9000-01-01 00:00:00", "9000-02-01 00:00:00")
+
+
+def end_marks(sdf: DataFrame, folder: str) -> DataFrame:
+    """``sdf`` and the end marks that are written to ``folder``: rows of a corridor of their own, without an id.
+
+    Both sides may hold nulls in the same columns: a batch in which one side has no
+    rows must have the schema of the state that other batches wrote.
+    """
+    spark = sdf.sparkSession
+    spark.createDataFrame([], "event_time timestamp").write.mode("append").parquet(folder)
+    marks = spark.readStream.schema("event_time timestamp").parquet(folder)
+    given = {"event_time": F.col("event_time"), "start_datetime": F.col("event_time").cast("timestamp_ntz"),
+             "corridor": F.lit(END_MARK)}
+    columns = []
+    for f in sdf.schema:
+        value = given.get(f.name, F.lit(None) if f.nullable else F.lit("0").cast(f.dataType))
+        if f.nullable and f.name in given:
+            value = F.when(F.col("event_time").isNotNull(), value)
+        columns.append(value.cast(f.dataType).alias(f.name))
+    return sdf.unionByName(marks.select(*columns))
+
+
 def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incidents of :func:`incident_stream` as a batch."""
     return cleaned(spark.read.parquet(os.path.join(sf_dir, "events.parquet")))
@@ -55,21 +88,24 @@ def cleaned(events: DataFrame) -> DataFrame:
 
 def stream_seed_labels(sdf: DataFrame, minutes: int = K.FOLLOW_MINUTES,
                        min_followers: int = K.MIN_FOLLOWERS, delay: str | None = None) -> DataFrame:
-    """Follow-on counts per seed (seeds with at least one follower).
+    """The follow-on count of every incident of a named corridor, 0 included.
 
-    A seed's count is final once the watermark passes ``seed + W``; late
-    rows beyond the watermark delay are dropped by Spark.
+    The join key holds a time bucket as wide as the window, so a hot corridor is
+    spread over its buckets.  A count is final, and given out, once the watermark
+    passes ``seed + W``; rows beyond the watermark delay are dropped by Spark.
     """
     delay = delay or f"{minutes} minutes"
     named = sdf.where(X.is_named_corridor("corridor") & F.col("event_time").isNotNull())
-    seeds = named.select(F.col("id").alias("seed_id"), F.col("corridor").alias("corridor"),
+    bucket = F.floor(X.epoch_micros("start_datetime") / (minutes * 60_000_000))
+    seeds = named.select(F.col("id").alias("seed_id"), "corridor", bucket.alias("bucket"),
                          F.col("event_time").alias("seed_time")).withWatermark("seed_time", delay)
     follows = named.select(F.col("id").alias("follow_id"), F.col("corridor").alias("f_corridor"),
+                           F.explode(F.array(bucket, bucket - 1)).alias("f_bucket"),
                            F.col("event_time").alias("follow_time")).withWatermark("follow_time", delay)
     pairs = seeds.join(follows, F.expr(
-        f"corridor = f_corridor AND follow_time > seed_time "
-        f"AND follow_time <= seed_time + INTERVAL {minutes} MINUTES"))
-    counts = pairs.groupBy("seed_id", "corridor", "seed_time").agg(F.count(F.lit(1)).alias("secondary_count"))
+        f"corridor = f_corridor AND bucket = f_bucket AND follow_time > seed_time "
+        f"AND follow_time <= seed_time + INTERVAL {minutes} MINUTES"), "left_outer")
+    counts = pairs.groupBy("seed_id", "corridor", "seed_time").agg(F.count("follow_id").alias("secondary_count"))
     return counts.withColumn("is_cascade_seed", F.col("secondary_count") >= min_followers)
 
 
@@ -145,53 +181,158 @@ def alert_sink(path: str):
     return write
 
 
-def scored_alert_sink(path: str, engineered: DataFrame, threshold: float = 0.10):
-    """T3 scoring and T4: ``foreachBatch`` function from look-back rows to alerts under ``path``/alerts.
+def arrival_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
+                     seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
+    """Look-back counts of every incident in the batch it arrives in.
 
-    A batch's look-back rows (stored under ``path``/rows) take the other columns
-    from ``engineered`` by id, get the stand-in score and become alerts with the
-    key ``(corridor, alert_id)``.  Batches follow in event time, so the alerts of
-    a corridor-day go on from the number that earlier batches reached.  A batch
-    run again sees the same earlier batches and overwrites its own folders with
-    the same alerts.
+    State is keyed by (corridor, time bucket as wide as the widest window); a row
+    also enters the next bucket as history, and a bucket's state is cleared when
+    the watermark passes its end.  A row counts what has arrived before it or with
+    it and comes before it by (time, id): for input in order, whatever the batches,
+    that is the batch answer.  A row that arrives out of order but within ``delay``
+    of the latest one is counted in rows that arrive with or after it; rows given
+    out before it are not changed.  Later ones are dropped by Spark.
+    """
+    h_short, h_long = sorted(hours)
+    width = max(h_long, seed_hours) * 3_600_000_000
+    named = sdf.where(F.col("start_datetime").isNotNull())
+    own = F.floor(X.epoch_micros("start_datetime") / width)
+    rows = named.select(
+        "id", "corridor", F.col("event_time"), X.epoch_micros("start_datetime").alias("us"),
+        F.col("event_cause_grouped").isin(*seed_causes).cast("int").alias("seed"),
+        F.explode(F.array(F.struct(own.alias("bucket"), F.lit(1).alias("own")),
+                          F.struct((own + 1).alias("bucket"), F.lit(0).alias("own")))).alias("x"))
+    rows = rows.select("id", "corridor", "event_time", "us", "seed", "x.bucket", "x.own").withWatermark("event_time", delay)
+    kind = dict(rows.dtypes)["id"]
+    schema = (f"id {kind}, corridor string, corridor_events_{h_short}h long, corridor_events_{h_long}h long, "
+              "seed_event_present_3h long")
+    spans = [h * 3_600_000_000 for h in (h_short, h_long, seed_hours)]
+
+    class Lookback(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getListState("seen", f"us long, id {kind}, seed int")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            new = pd.concat(list(rows))
+            if not self.seen.exists():
+                self.handle.registerTimer(int((key[1] + 1) * width // 1000))     # milliseconds: the bucket's end
+            old = pd.DataFrame(list(self.seen.get()), columns=["us", "id", "seed"]).assign(own=0)
+            self.seen.appendList([(int(u), i, int(f)) for u, i, f in zip(new["us"], new["id"], new["seed"])])
+            every = pd.concat([old, new[["us", "id", "seed", "own"]]]).sort_values(["us", "id"], kind="stable")
+            at, seeds = every["us"].to_numpy(np.int64), np.r_[0, np.cumsum(every["seed"].to_numpy(np.int64))]
+            here = np.flatnonzero(every["own"].to_numpy() == 1)
+            first = [np.searchsorted(at, at[here] - s, "left") for s in spans]
+            if len(here):
+                yield pd.DataFrame({
+                    "id": every["id"].to_numpy()[here], "corridor": key[0],
+                    f"corridor_events_{h_short}h": here - first[0], f"corridor_events_{h_long}h": here - first[1],
+                    "seed_event_present_3h": (seeds[here] > seeds[first[2]]).astype(np.int64)})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.seen.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    spark = sdf.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("corridor", "bucket").transformWithStateInPandas(
+        Lookback(), schema, "Append", "EventTime")
+
+
+def scored_alert_sink(path: str, engineered: DataFrame, threshold: float = 0.10, keep_days: int = 3):
+    """T3 scoring and T4: ``foreachBatch`` function from look-back rows to alerts under ``path``.
+
+    A batch's look-back rows take the other columns from ``engineered`` by id (a
+    batch table: its corridor risk and cap of resolution times know all its rows),
+    get the stand-in score and become alerts with the key ``(corridor, alert_id)``.
+    The alerts of a corridor-day go on from the number that earlier batches
+    reached, which the table ``last`` keeps for the newest ``keep_days`` days (rows
+    of older days are later than any watermark).
+
+    A batch writes ``rows``, ``alerts`` and ``last`` under its id and then its
+    manifest, which makes it count.  Stopped anywhere and run again, it starts from
+    the ``last`` table of the manifest before it and overwrites its own folders, so
+    alerts are written once; ``committed_alerts`` only reads batches with a manifest.
     """
     def write(batch_df: DataFrame, batch_id: int) -> None:
         spark = batch_df.sparkSession
-        folder = lambda kind, of: os.path.join(path, kind, f"batch_id={of}")
+        folder = lambda kind, of=batch_id: os.path.join(path, kind, f"batch_id={of}")
+        done = [i for i in manifests(spark, path) if i < batch_id]
         # read more than once below: a stateful batch must run only once
-        batch_df.write.mode("overwrite").parquet(folder("rows", batch_id))
-        rows = spark.read.schema(batch_df.schema).parquet(folder("rows", batch_id))
-        alerts = decisions.build_alerts(decisions.standin_score(
-            rows.drop("corridor").join(engineered, "id")), threshold)
-        if batch_id > 0:
-            stored = spark.read.schema(alerts.schema).option("basePath", os.path.join(path, "alerts"))
-            before = stored.parquet(*(folder("alerts", i) for i in range(batch_id))).groupBy("corridor", "date").agg(
-                F.max("seq").alias("_before"))
-            seq = F.col("seq") + F.coalesce("_before", F.lit(0))
-            alerts = alerts.join(before, ["corridor", "date"], "left").withColumn("seq", seq).withColumn(
-                "alert_id", F.concat(F.regexp_replace("alert_id", "[0-9]+$", ""), F.format_string("%03d", "seq"))
-            ).select(*alerts.columns)
-        alerts.write.mode("overwrite").parquet(folder("alerts", batch_id))
+        batch_df.write.mode("overwrite").parquet(folder("rows"))
+        rows = spark.read.schema(batch_df.schema).parquet(folder("rows"))
+        alerts = decisions.build_alerts(decisions.standin_score(rows.drop("corridor").join(engineered, "id")), threshold)
+        none = spark.createDataFrame([], "corridor string, date date, last long")
+        last = spark.read.schema(none.schema).parquet(folder("last", done[-1])) if done else none
+        before = last.withColumnRenamed("last", "_before")
+        seq = F.col("seq") + F.coalesce("_before", F.lit(0))
+        alerts = alerts.join(before, ["corridor", "date"], "left").withColumn("seq", seq).withColumn(
+            "alert_id", F.concat(F.regexp_replace("alert_id", "[0-9]+$", ""), F.format_string("%03d", "seq"))
+        ).select(*alerts.columns)
+        alerts.write.mode("overwrite").parquet(folder("alerts"))
+        written = spark.read.schema(alerts.schema).parquet(folder("alerts"))
+        reached = written.groupBy("corridor", "date").agg(F.max("seq").cast("long").alias("last")).unionByName(last)
+        newest = reached.groupBy("corridor", "date").agg(F.max("last").alias("last"))
+        latest = newest.agg(F.max("date")).scalar()
+        newest.where(F.col("date") > F.date_sub(latest, keep_days)).write.mode("overwrite").parquet(folder("last"))
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("id")).coalesce(1).write.mode("overwrite").parquet(
+            folder("manifest"))
     return write
 
 
-def run_alerts(sdf: DataFrame, incidents: DataFrame, engineered: DataFrame, name: str) -> DataFrame:
-    """Run look-back rows through :func:`scored_alert_sink`, then the tail behind the last watermark; read the alerts."""
-    spark = sdf.sparkSession
-    base = scratch_path(spark, name)
-    out = os.path.join(base, "out")
-    last = [-1]
+def manifests(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batches that are written to the end, rising (one row each)."""
+    try:
+        found = spark.read.schema("id long").parquet(os.path.join(path, "manifest"))
+        return sorted(r["id"] for r in found.select("id").collect())
+    except AnalysisException:
+        return []
+
+
+def committed_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of all batches with a manifest."""
+    done = spark.read.schema("id long").parquet(os.path.join(path, "manifest")).select(F.col("id").alias("_done"))
+    alerts = spark.read.parquet(os.path.join(path, "alerts"))
+    return alerts.join(done, F.col("batch_id") == F.col("_done"), "left_semi").drop("batch_id")
 
-    def sink(batch_df: DataFrame, batch_id: int) -> None:
-        scored_alert_sink(out, engineered)(batch_df, batch_id)
-        last[0] = batch_id
 
-    q = (stream_lookback(sdf).writeStream.foreachBatch(sink)
+def run_alerts(sdf: DataFrame, engineered: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Run the rows of :func:`arrival_lookback` through :func:`scored_alert_sink` and read the alerts.
+
+    With ``base``, a folder, checkpoint and output stay there: a run that was
+    stopped goes on where its last manifest left off.
+    """
+    spark = sdf.sparkSession
+    base = base or scratch_path(spark, name)
+    out = os.path.join(base, "out")
+    q = (arrival_lookback(sdf).writeStream.foreachBatch(scored_alert_sink(out, engineered))
             .option("checkpointLocation", os.path.join(base, "_checkpoint"))
             .trigger(availableNow=True).start())
     q.awaitTermination()
-    sink(lookback_tail(incidents), last[0] + 1)
-    return spark.read.parquet(os.path.join(out, "alerts")).drop("batch_id")
+    return committed_alerts(spark, out)
+
+
+def run_to_end(make, incidents: DataFrame, name: str) -> DataFrame:
+    """Run ``make(stream)`` over the incidents and the end marks behind them; all rows it ever gives.
+
+    The marks arrive one at a time after everything else, each in a run of its own.
+    """
+    spark = incidents.sparkSession
+    base = scratch_path(spark, name)
+    ends = os.path.join(base, "ends")
+    sdf = make(end_marks(incidents, ends))
+    for mark in (None, *END_TIMES):
+        if mark:
+            spark.range(1).select(F.lit(mark).cast("timestamp").alias("event_time")).coalesce(1).write.mode("append").parquet(ends)
+        q = (sdf.writeStream.outputMode("append").format("parquet")
+                .option("checkpointLocation", os.path.join(base, "_checkpoint"))
+                .trigger(availableNow=True).start(os.path.join(base, "out")))
+        q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out")).where(F.col("corridor") != END_MARK)
 
 
 def run_available(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -48,6 +48,7 @@ def test_stream_lookback_over_several_files_counts_late_rows(spark, tmp_path):
 
 
 def test_stream_seed_labels_subset_of_batch(spark):
+    # while the input is open the newest seeds wait for the watermark
     out = jobs.run_available(jobs.stream_seed_labels(jobs.incident_stream(spark, SF001)), "t_seeds")
     lab = cascade.follow_count(flows.label_input(spark, SF001))
     batch = {r["id"]: r["secondary_count"] for r in lab.collect()}
