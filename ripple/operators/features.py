@@ -100,8 +100,12 @@ def add_corridor_risk(df: DataFrame, risk: DataFrame) -> DataFrame:
     return out.withColumn("corridor_risk_score", F.coalesce("corridor_risk_score", F.lit(0.0)))
 
 
+# Columns that need an aggregate of the whole table before a row can be made.
+DERIVED = ("resolution_minutes_capped", "zone", "corridor_risk_score")
+
+
 def clean_incidents(raw: DataFrame, tz: str = K.LOCAL_TZ, cap_q: float = 0.99,
-                    floor: float | None = 0.0, exact: bool = True, risk_as_of=None) -> DataFrame:
+                    floor: float | None = 0.0, exact: bool = True, risk_as_of=None, derived=DERIVED) -> DataFrame:
     """Raw incident rows -> the engineered incident table.
 
     Order follows the original training script: sentinels, timestamps,
@@ -109,18 +113,27 @@ def clean_incidents(raw: DataFrame, tz: str = K.LOCAL_TZ, cap_q: float = 0.99,
     causes, noise drop, time features, severity, corridor risk.  The three
     aggregates (P99, modal zone per station, High count per corridor) read
     the cheap ``base`` projection, so each is a column-pruned scan with a
-    map-side partial aggregate, not a re-run of the whole pipeline.
+    map-side partial aggregate, not a re-run of the whole pipeline.  They run
+    when the table is built; ``derived`` names those columns that are wanted
+    (the others are left out, ``zone`` as it came in).
     """
     base = C.to_local(C.parse_ts(C.null_sentinels(raw)), "start_datetime", "start_local", tz)
-    df = add_resolution(base, cap_q=cap_q, floor=floor, exact=exact, cap_from=base)
+    if "resolution_minutes_capped" in derived:
+        df = add_resolution(base, cap_q=cap_q, floor=floor, exact=exact, cap_from=base)
+    else:
+        minutes = X.minutes_between("start_datetime", "closed_datetime")
+        df = base.withColumns({"resolution_minutes": minutes, "is_open": minutes.isNull().cast("long")})
     df = C.fill_defaults(df)
-    df = C.impute_mode(df, "zone", "police_station", K.DEFAULT_ZONE,
-                       modal=C.zone_by_station(base, "zone", "police_station"))
+    if "zone" in derived:
+        df = C.impute_mode(df, "zone", "police_station", K.DEFAULT_ZONE,
+                           modal=C.zone_by_station(base, "zone", "police_station"))
     df = add_vehicle_features(df)
     df = C.normalise_causes(df)
     df = C.drop_noise(df)
     df = add_time_features(df, "start_local")
     df = add_severity(df)
+    if "corridor_risk_score" not in derived:
+        return df
     risk_src = C.drop_noise(C.normalise_causes(C.fill_defaults(base)))
     return add_corridor_risk(df, corridor_risk(risk_src, as_of=risk_as_of))
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripple.operators.joins import checked_small
 
 
 def _block_cols(df: DataFrame, blocks):
@@ -37,6 +38,7 @@ def blocked_rank(df: DataFrame, keys, blocks, order, out: str = "seq") -> DataFr
     consistent with the block order.
     """
     d, names = _block_cols(df, blocks)
+    d = checked_small(d)                     # read for the blocks and for the rows
     per = d.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_blk_n"))
     ordering = [F.col(n).asc() if asc else F.col(n).desc() for n, (_, asc) in zip(names, blocks)]
     w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,6 +53,7 @@ def blocked_sum_before(df: DataFrame, keys, blocks, order, values) -> DataFrame:
     """For each value column ``v`` add ``_before_v`` = sum of ``v`` over the
     rows strictly before this one in the group's order."""
     d, names = _block_cols(df, blocks)
+    d = checked_small(d)                     # read for the blocks and for the rows
     per = d.groupBy(*keys, *names).agg(*[F.sum(v).alias(f"_blk_{v}") for v in values])
     ordering = [F.col(n).asc() if asc else F.col(n).desc() for n, (_, asc) in zip(names, blocks)]
     w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,9 @@ the cut is deterministic.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,22 +204,19 @@ def slot_intensity(df: DataFrame, hours=(2, 6)) -> DataFrame:
 
     For hour ``h`` and width ``k``: the ceiling of the mean, over dates with
     any, of the daily count of incidents of that weekday with hour in
-    ``[max(0, h - k), h]``.  Each incident is exploded into the (few) slot
-    hours it contributes to, so all slots come out of one aggregation.
+    ``[max(0, h - k), h]``.  A day of a corridor is one row with its 24 hourly
+    counts, all widths are sums inside that row, and one aggregate over the days
+    gives every slot.
     """
     src = df.where(X.is_named_corridor("corridor") & F.col("hour_of_day").isNotNull())
-    # pre-aggregate to one row per (corridor, weekday, date, hour) before exploding
-    base = src.groupBy("corridor", "day_of_week", "date", "hour_of_day").agg(_n().alias("c"))
-    outs = None
-    for k in hours:
-        e = base.select("corridor", "day_of_week", "date", "c",
-                        F.explode(F.sequence(F.col("hour_of_day"),
-                                             F.least(F.col("hour_of_day") + k, F.lit(23)))).alias("hour"))
-        daily = e.groupBy("corridor", "day_of_week", "hour", "date").agg(F.sum("c").alias("k"))
-        per = daily.groupBy("corridor", "day_of_week", "hour").agg(
-            F.ceil(F.avg("k")).cast("long").alias(f"events_{k}h"))
-        outs = per if outs is None else outs.join(per, ["corridor", "day_of_week", "hour"], "full")
-    return outs.fillna(0)
+    day = src.groupBy("corridor", "day_of_week", "date").agg(
+        *(F.count_if(F.col("hour_of_day") == h).alias(f"_h{h}") for h in range(24)))
+    back = lambda h, k: reduce(add, (F.col(f"_h{i}") for i in range(max(0, h - k), h + 1)))
+    slots = F.array(*(F.struct(*(back(h, k).alias(f"k{k}") for k in hours)) for h in range(24)))
+    each = day.select("corridor", "day_of_week", F.posexplode(slots).alias("hour", "s")).where(F.col(f"s.k{max(hours)}") > 0)
+    mean = lambda k: F.ceil(F.avg(F.when(F.col(f"s.k{k}") > 0, F.col(f"s.k{k}"))))
+    return each.groupBy("corridor", "day_of_week", F.col("hour").cast("long").alias("hour")).agg(
+        *(F.coalesce(mean(k).cast("long"), F.lit(0).cast("long")).alias(f"events_{k}h") for k in hours))
 
 
 def seeds_by_corridor(df: DataFrame, keep_empty: bool = True) -> DataFrame:

@@ -62,14 +62,14 @@ def q_clean_incidents(spark, sf):
 @query("temporal_features", W(E, """select id, start_local, hour_of_day, day_of_week, day_name, month,
   month_name, date, is_weekend, is_peak_hour, hour_fraction, date_str, time_label, clock from eng"""))
 def q_temporal_features(spark, sf):
-    return flows.engineered(spark, sf).select(
+    return flows.light(spark, sf).select(
         "id", "start_local", "hour_of_day", "day_of_week", "day_name", "month", "month_name", "date",
         "is_weekend", "is_peak_hour", "hour_fraction", "date_str", "time_label", "clock")
 
 
 @query("vehicle_features", W(E, "select id, veh_type, is_heavy_vehicle, veh_category from eng"))
 def q_vehicle_features(spark, sf):
-    return flows.engineered(spark, sf).select("id", "veh_type", "is_heavy_vehicle", "veh_category")
+    return flows.light(spark, sf).select("id", "veh_type", "is_heavy_vehicle", "veh_category")
 
 
 @query("impute_zone", W(E, "select police_station, modal_zone from modal"))
@@ -81,14 +81,14 @@ def q_impute_zone(spark, sf):
 @query("resolution_capped", W(E, """select id, resolution_minutes, resolution_minutes_capped, is_open
 from eng"""))
 def q_resolution_capped(spark, sf):
-    return flows.engineered(spark, sf).select("id", "resolution_minutes", "resolution_minutes_capped",
+    return flows.light(spark, sf, "resolution_minutes_capped").select("id", "resolution_minutes", "resolution_minutes_capped",
                                               "is_open")
 
 
 @query("severity", W(E, """select id, priority, requires_road_closure, congestion_severity,
   event_cause, event_cause_grouped from eng"""))
 def q_severity(spark, sf):
-    return flows.engineered(spark, sf).select("id", "priority", "requires_road_closure",
+    return flows.light(spark, sf).select("id", "priority", "requires_road_closure",
                                               "congestion_severity", "event_cause", "event_cause_grouped")
 
 
@@ -126,14 +126,14 @@ def q_profile(spark, sf):
 @query("follow_count_120", W(E + "," + O._follow_cte("f", 120, 3), f"""
 select id, corridor, start_datetime, secondary_count, is_cascade_seed from f where {NAMED}"""))
 def q_follow_120(spark, sf):
-    return cascade.follow_count(flows.engineered(spark, sf), 120, 3).select(
+    return cascade.follow_count(flows.light(spark, sf), 120, 3).select(
         "id", "corridor", "start_datetime", "secondary_count", "is_cascade_seed")
 
 
 @query("follow_count_130", W(E + "," + O._follow_cte("f", 130, 4), f"""
 select id, corridor, start_datetime, secondary_count, is_cascade_seed from f where {NAMED}"""))
 def q_follow_130(spark, sf):
-    return cascade.follow_count(flows.engineered(spark, sf), 130, 4).select(
+    return cascade.follow_count(flows.light(spark, sf), 130, 4).select(
         "id", "corridor", "start_datetime", "secondary_count", "is_cascade_seed")
 
 
@@ -145,28 +145,28 @@ from eng a join eng b on a.corridor = b.corridor and b.start_datetime > a.start_
  and b.start_datetime <= a.start_datetime + interval 120 minute
 where a.{NAMED}"""))
 def q_cascade_pairs(spark, sf):
-    return cascade.cascade_pairs(flows.engineered(spark, sf), 120)
+    return cascade.cascade_pairs(flows.light(spark, sf), 120)
 
 
 @query("lookback_2h_6h", W(L, "select id, corridor, corridor_events_2h, corridor_events_6h from lab"))
 def q_lookback(spark, sf):
-    return flows.labelled(spark, sf).select("id", "corridor", "corridor_events_2h", "corridor_events_6h")
+    return flows.labelled(spark, sf, ()).select("id", "corridor", "corridor_events_2h", "corridor_events_6h")
 
 
 @query("seed_present_3h", W(L, "select id, seed_event_present_3h from lab"))
 def q_seed_present(spark, sf):
-    return flows.labelled(spark, sf).select("id", "seed_event_present_3h")
+    return flows.labelled(spark, sf, ()).select("id", "seed_event_present_3h")
 
 
 @query("cascade_density", W(L, "select id, cascade_density from lab"))
 def q_density(spark, sf):
-    return flows.labelled(spark, sf).select("id", "cascade_density")
+    return flows.labelled(spark, sf, ()).select("id", "cascade_density")
 
 
 @query("cascade_features", W(L, """select id, corridor, secondary_count, is_cascade_seed,
   corridor_events_2h, corridor_events_6h, seed_event_present_3h, cascade_density from lab"""))
 def q_cascade_features(spark, sf):
-    return flows.labelled(spark, sf).select(
+    return flows.labelled(spark, sf, ()).select(
         "id", "corridor", "secondary_count", "is_cascade_seed", "corridor_events_2h",
         "corridor_events_6h", "seed_event_present_3h", "cascade_density")
 
@@ -179,7 +179,7 @@ def q_corridor_risk(spark, sf):
 
 @query("corridor_totals", W(E, "select corridor, count(*) as corridor_total from eng group by corridor"))
 def q_corridor_totals(spark, sf):
-    return cascade.corridor_totals(flows.engineered(spark, sf))
+    return cascade.corridor_totals(flows.light(spark, sf))
 
 
 HOURLY = f"""hc as (
@@ -198,12 +198,12 @@ hg as (
 
 @query("hourly_counts", W(E + "," + HOURLY, "select * from hc"))
 def q_hourly_counts(spark, sf):
-    return timeseries.hourly_counts(flows.engineered(spark, sf))
+    return timeseries.hourly_counts(flows.light(spark, sf))
 
 
 @query("hourly_grid", W(E + "," + HOURLY, "select * from hg"))
 def q_hourly_grid(spark, sf):
-    return timeseries.hourly_grid(timeseries.hourly_counts(flows.engineered(spark, sf)))
+    return timeseries.hourly_grid(timeseries.hourly_counts(flows.light(spark, sf)))
 
 
 @query("hourly_lags", W(E + "," + HOURLY, """select * from (
@@ -213,7 +213,7 @@ def q_hourly_grid(spark, sf):
     lag(event_count, 168) over (partition by corridor order by hourly_bucket) as count_lag_168
   from hg) t where count_lag_168 is not null"""))
 def q_hourly_lags(spark, sf):
-    grid = timeseries.hourly_grid(timeseries.hourly_counts(flows.engineered(spark, sf)))
+    grid = timeseries.hourly_grid(timeseries.hourly_counts(flows.light(spark, sf)))
     return timeseries.add_lags(grid)
 
 

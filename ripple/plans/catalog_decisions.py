@@ -129,16 +129,6 @@ def q_alerts(spark, sf):
     return flows.alerts_standin(spark, sf)
 
 
-@query("alerts_nested")
-def q_alerts_nested(spark, sf):
-    """The nested alert document (structs + driver arrays) as JSON text."""
-    s = flows.scored_standin(spark, sf)
-    a = decisions.build_alerts(s).join(
-        decisions.standin_drivers(s).select("id", "driver_top3", "driver_values3"), "id")
-    doc = decisions.nest_alerts(a)
-    return doc.select("alert_id", F.to_json(F.struct(*doc.columns)).alias("alert_json"))
-
-
 @query("replay_status", WX(S, "x as (select 1)", """select id, corridor, date, clock,
   case when cascade_probability >= 0.1
        then 'CASCADE SEED (' || printf('%.0f', cascade_probability * 100) || '% risk)'
@@ -235,6 +225,33 @@ def _dec_round(x):
     return f"cast(round(cast(cast({x} as varchar) as decimal(38, 18)), 2) as double)"
 
 
+# The nested alert document (structs and driver arrays) as JSON text.
+@query("alerts_nested", WX(S, ALERT_CTES + f""",
+terms as (
+  {_UNPIVOT}),
+top3 as (
+  select *, row_number() over (partition by id order by v desc, i) as rn from terms),
+drivers as (
+  select id, list(label order by rn) as driver_top3, list(v order by rn) as driver_values3
+  from top3 where rn <= 3 group by id)""", """
+select alert_id, cast(to_json({
+  'alert_id': alert_id,
+  'trigger': {'cause': cause, 'corridor': corridor, 'time_ist': time_ist,
+    'road_closure_required': road_closure_required},
+  'cascade_prediction': {'risk_score': risk_score, 'predicted_secondary_events_2h': predicted_secondary_events_2h,
+    'top_cause_expected': top_cause_expected, 'confidence_band': confidence_band},
+  'deployment': {'DEPLOY_NOW': deploy_now, 'ALERT_STATIONS': alert_stations, 'STANDBY': standby,
+    'police_needed': police_needed, 'breakdown_needed': breakdown_needed, 'barricades_needed': barricades_needed,
+    'police_flag': police_flag, 'prio_flag': prio_flag},
+  'estimated_clearance_ist': estimated_clearance_ist,
+  'driver_top3': driver_top3, 'driver_values3': driver_values3}) as varchar) as alert_json
+from alerts join drivers using (id)"""))
+def q_alerts_nested(spark, sf):
+    scored = decisions.standin_drivers(flows.scored_standin(spark, sf))
+    doc = decisions.nest_alerts(decisions.build_alerts(scored))
+    return doc.select("alert_id", F.to_json(F.struct(*doc.columns)).alias("alert_json"))
+
+
 @query("driver_shares", WX(S, f"""terms as (
   {_UNPIVOT}),
 top3 as (
@@ -272,7 +289,7 @@ def q_alert_log(spark, sf):
   (select count(*) from eng where latitude is not null and longitude is not null) as n_points
 from eng where latitude is not null and longitude is not null"""))
 def q_map_feed(spark, sf):
-    return features.map_feed(flows.engineered(spark, sf))
+    return features.map_feed(flows.light(spark, sf, "corridor_risk_score"))
 
 
 # ---- M12 with the stand-in score: the whole what-if scenario grid --------
@@ -319,7 +336,7 @@ sf as (
              + cast(floor(typical_risk * 30) as bigint), 100) as double) / 100.0 as cascade_probability
 from sf"""))
 def q_score_scenarios(spark, sf):
-    eng = flows.engineered(spark, sf)
+    eng = flows.light(spark, sf, "corridor_risk_score")
     return metrics.scenario_grid(eng).select(
         "corridor", "day_of_week", "hour", "cause", "corridor_events_2h", "corridor_events_6h",
         "seed_event_present_3h", "is_heavy_vehicle", "requires_road_closure", "cascade_probability")
@@ -390,7 +407,7 @@ select count(*) as n, avg(abs(cast(event_count - count_lag_1 as double))) as mae
   sqrt(avg(cast(event_count - count_lag_1 as double) * cast(event_count - count_lag_1 as double))) as rmse
 from te"""))
 def q_mae_rmse(spark, sf):
-    grid = timeseries.add_lags(timeseries.hourly_grid(timeseries.hourly_counts(flows.engineered(spark, sf))))
+    grid = timeseries.add_lags(timeseries.hourly_grid(timeseries.hourly_counts(flows.light(spark, sf))))
     test = grid.where(F.col("hourly_bucket") >= F.lit(DATA_CUTOFF).cast("timestamp_ntz"))
     return metrics.regression_errors(test.withColumn("prediction", F.col("count_lag_1").cast("double")),
                                      "event_count", "prediction")

@@ -77,7 +77,7 @@ def trained(spark, sf) -> tuple[ml.Models, Inputs]:
         return _LOADED[key]
     inputs = Inputs(_stored(os.path.join(path, "labelled"), lambda: flows.labelled(spark, sf)),
                     _stored(os.path.join(path, "grid"), lambda: timeseries.add_lags(timeseries.hourly_grid(
-                        timeseries.hourly_counts(flows.engineered(spark, sf))))))
+                        timeseries.hourly_counts(flows.light(spark, sf))))))
     try:
         models = ml.load_models(path, spark)
     except AnalysisException:                # not trained yet, or not to the end

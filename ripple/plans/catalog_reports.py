@@ -30,32 +30,32 @@ group by {col} order by n desc, {col} asc nulls first{lim}""")
 
 @query("value_counts_cause", _vc("c", "event_cause", 15))
 def q_vc_cause(spark, sf):
-    return reports.value_counts(flows.engineered(spark, sf), "event_cause", 15)
+    return reports.value_counts(flows.light(spark, sf), "event_cause", 15)
 
 
 @query("value_counts_priority", _vc("p", "priority"))
 def q_vc_priority(spark, sf):
-    return reports.value_counts(flows.engineered(spark, sf), "priority")
+    return reports.value_counts(flows.light(spark, sf), "priority")
 
 
 @query("value_counts_closure", _vc("r", "requires_road_closure"))
 def q_vc_closure(spark, sf):
-    return reports.value_counts(flows.engineered(spark, sf), "requires_road_closure")
+    return reports.value_counts(flows.light(spark, sf), "requires_road_closure")
 
 
 @query("value_counts_status", _vc("s", "status"))
 def q_vc_status(spark, sf):
-    return reports.value_counts(flows.engineered(spark, sf), "status")
+    return reports.value_counts(flows.light(spark, sf), "status")
 
 
 @query("value_counts_corridor", _vc("k", "corridor", 15))
 def q_vc_corridor(spark, sf):
-    return reports.value_counts(flows.engineered(spark, sf), "corridor", 15)
+    return reports.value_counts(flows.light(spark, sf), "corridor", 15)
 
 
 @query("value_counts_vehicle", _vc("v", "veh_type", 10, "veh_type <> 'unknown'"))
 def q_vc_vehicle(spark, sf):
-    eng = flows.engineered(spark, sf)
+    eng = flows.light(spark, sf)
     return reports.value_counts(eng.where(F.col("veh_type") != "unknown"), "veh_type", 10)
 
 
@@ -70,7 +70,7 @@ select event_cause_grouped, count(*) as n,
   cast(count(*) as double) * 100.0 / cast(max(tot.total) as double) as pct
 from eng cross join tot group by event_cause_grouped"""))
 def q_cause_share(spark, sf):
-    return reports.value_counts(flows.engineered(spark, sf), "event_cause_grouped", pct=True)
+    return reports.value_counts(flows.light(spark, sf), "event_cause_grouped", pct=True)
 
 
 RES_DD = """dd as (
@@ -99,13 +99,13 @@ from range(24) h left join (
   select hour_of_day, count(*) as n from eng where hour_of_day is not null group by 1) c
   on h.range = c.hour_of_day"""))
 def q_hour_dense(spark, sf):
-    return reports.by_hour(flows.engineered(spark, sf), dense=True)
+    return reports.by_hour(flows.light(spark, sf), dense=True)
 
 
 @query("dow_counts", W(E, """select day_name, count(*) as n from eng
 where day_name is not null group by day_name"""))
 def q_dow_counts(spark, sf):
-    return reports.by_day(flows.engineered(spark, sf))
+    return reports.by_day(flows.light(spark, sf))
 
 
 @query("high_pct", W(E, f"""select corridor, count(*) filter (where priority = 'High') as high,
@@ -113,7 +113,7 @@ def q_dow_counts(spark, sf):
   cast(count(*) filter (where priority = 'High') as double) * 100.0 / count(*) as high_pct
 from eng where {NAMED} group by corridor order by high desc, corridor limit 10"""))
 def q_high_pct(spark, sf):
-    return reports.high_share(flows.engineered(spark, sf), 10)
+    return reports.high_share(flows.light(spark, sf), 10)
 
 
 @query("hot_corridor_days", WX(E, f"""bc as (
@@ -127,7 +127,7 @@ r as (
 from r where n_events >= 5 and rn <= 3
 group by corridor, date, n_events order by n_events desc, corridor, date limit 10"""))
 def q_hot_corridor_days(spark, sf):
-    return reports.hot_corridor_days(flows.engineered(spark, sf))
+    return reports.hot_corridor_days(flows.light(spark, sf))
 
 
 @query("closure_share", W(E, """select count(*) filter (where requires_road_closure) as closures,
@@ -135,13 +135,13 @@ def q_hot_corridor_days(spark, sf):
   cast(count(*) filter (where requires_road_closure) as double) * 100.0 / count(*) as closure_pct
 from eng"""))
 def q_closure_share(spark, sf):
-    return reports.closure_share(flows.engineered(spark, sf))
+    return reports.closure_share(flows.light(spark, sf))
 
 
 @query("closures_by_cause", W(E, """select event_cause, count(*) as closures from eng
 where requires_road_closure group by event_cause"""))
 def q_closures_by_cause(spark, sf):
-    return reports.closures_by_cause(flows.engineered(spark, sf))
+    return reports.closures_by_cause(flows.light(spark, sf))
 
 
 @query("summary_stats", W(E, """select count(*) as n_rows, avg(resolution_minutes) as mean_resolution,
@@ -153,13 +153,13 @@ def q_closures_by_cause(spark, sf):
   cast(sum(is_heavy_vehicle) as bigint) as n_heavy, avg(is_heavy_vehicle) as heavy_rate
 from eng"""))
 def q_summary(spark, sf):
-    return reports.summary(flows.engineered(spark, sf))
+    return reports.summary(flows.light(spark, sf))
 
 
 @query("top_corridors", W(E, f"""select corridor, count(*) as n, max(corridor_risk_score) as corridor_risk_score
 from eng where {NAMED} group by corridor order by n desc, corridor limit 10"""))
 def q_top_corridors(spark, sf):
-    return reports.top_corridors(flows.engineered(spark, sf), 10)
+    return reports.top_corridors(flows.light(spark, sf, "corridor_risk_score"), 10)
 
 
 def _heat_sql(where=""):
@@ -175,12 +175,12 @@ group by d.range""")
 
 @query("heatmap", _heat_sql())
 def q_heatmap(spark, sf):
-    return reports.heatmap(flows.engineered(spark, sf))
+    return reports.heatmap(flows.light(spark, sf))
 
 
 @query("heatmap_high", _heat_sql("congestion_severity = 'high'"))
 def q_heatmap_high(spark, sf):
-    return reports.heatmap(flows.engineered(spark, sf), severity="high")
+    return reports.heatmap(flows.light(spark, sf), severity="high")
 
 
 @query("resolution_quantiles", W(E, """select event_cause_grouped, count(*) as n,
@@ -192,7 +192,7 @@ def q_heatmap_high(spark, sf):
 from eng where resolution_minutes_capped is not null and event_cause_grouped <> 'others'
 group by event_cause_grouped"""))
 def q_resolution_quantiles(spark, sf):
-    return reports.resolution_quantiles(flows.engineered(spark, sf))
+    return reports.resolution_quantiles(flows.light(spark, sf, "resolution_minutes_capped"))
 
 
 # the dashboard labels seeds with its own rule: 130 min window, >= 4 followers
@@ -225,12 +225,12 @@ def q_period_kpis_filtered(spark, sf):
   count(distinct case when {NAMED} then corridor end) as n_corridors,
   count(distinct event_cause_grouped) as n_causes from eng"""))
 def q_bounds(spark, sf):
-    return reports.bounds(flows.engineered(spark, sf))
+    return reports.bounds(flows.light(spark, sf))
 
 
 @query("distinct_corridors", W(E, f"select distinct corridor from eng where {NAMED} order by corridor"))
 def q_distinct_corridors(spark, sf):
-    return reports.distinct_values(flows.engineered(spark, sf), "corridor", named_only=True)
+    return reports.distinct_values(flows.light(spark, sf), "corridor", named_only=True)
 
 
 def _mode_sql(col):
@@ -245,7 +245,7 @@ def _mode_sql(col):
   left join {_mode_sql('zone')} z on a.corridor = z.corridor
   left join {_mode_sql('police_station')} s on a.corridor = s.corridor"""))
 def q_corridor_profile(spark, sf):
-    return reports.corridor_profile(flows.engineered(spark, sf))
+    return reports.corridor_profile(flows.light(spark, sf, "zone", "corridor_risk_score"))
 
 
 def _slot_cte(k):
@@ -264,13 +264,13 @@ select s6.corridor, s6.day_of_week, s6.hour, coalesce(s2.events_2h, 0) as events
 from s6 left join s2 on s6.corridor = s2.corridor and s6.day_of_week = s2.day_of_week
  and s6.hour = s2.hour"""))
 def q_slot_intensity(spark, sf):
-    return reports.slot_intensity(flows.engineered(spark, sf))
+    return reports.slot_intensity(flows.light(spark, sf))
 
 
 @query("seeds_by_cause", W(L, """select event_cause_grouped, count(*) as seeds from lab
 where is_cascade_seed group by event_cause_grouped"""))
 def q_seeds_by_cause(spark, sf):
-    return reports.seeds_by_cause(flows.labelled(spark, sf))
+    return reports.seeds_by_cause(flows.labelled(spark, sf, ()))
 
 
 @query("seeds_by_corridor_full", W(L, f"""select corridor, count(*) filter (where is_cascade_seed) as seed_count,
@@ -278,7 +278,7 @@ def q_seeds_by_cause(spark, sf):
     as total_secondary_events
 from lab where {NAMED} group by corridor"""))
 def q_seeds_by_corridor_full(spark, sf):
-    return reports.seeds_by_corridor(flows.labelled(spark, sf))
+    return reports.seeds_by_corridor(flows.labelled(spark, sf, ()))
 
 
 @query("cascade_kpis", WX(L, """w as (
@@ -291,7 +291,7 @@ select count(*) as seeds, cast(coalesce(sum(secondary_count), 0) as bigint) as s
   avg(secondary_count) as mean_per_seed, count(distinct corridor) as affected_corridors
 from lab where is_cascade_seed"""))
 def q_cascade_kpis(spark, sf):
-    return reports.cascade_kpis(flows.labelled(spark, sf))
+    return reports.cascade_kpis(flows.labelled(spark, sf, ()))
 
 
 @query("split_summary", W(L, f"""select case when start_local is null
@@ -300,7 +300,7 @@ def q_cascade_kpis(spark, sf):
   avg(cast(is_cascade_seed as double)) as seed_rate
 from lab group by 1"""))
 def q_split_summary(spark, sf):
-    return reports.split_summary(flows.labelled(spark, sf), DATA_CUTOFF)
+    return reports.split_summary(flows.labelled(spark, sf, ()), DATA_CUTOFF)
 
 
 @query("replay_slice", W(E, """select corridor, date, id, start_local, clock, event_cause_grouped,

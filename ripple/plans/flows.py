@@ -31,6 +31,12 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clean_incidents(raw(spark, sf_dir)).select(*ENGINEERED_COLUMNS)
 
 
+def light(spark: SparkSession, sf_dir: str, *derived: str) -> DataFrame:
+    """The engineered table without the columns that need an aggregate first, but for those named."""
+    out = [c for c in ENGINEERED_COLUMNS if c not in features.DERIVED or c in derived]
+    return features.clean_incidents(raw(spark, sf_dir), derived=derived).select(*out)
+
+
 def label_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The light cleaning the labelling step needs (no imputation joins)."""
     df = clean.parse_ts(clean.null_sentinels(raw(spark, sf_dir)))
@@ -39,14 +45,14 @@ def label_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_noise(df)
 
 
-def labelled(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """Engineered table + cascade label + look-back features (K1-K5)."""
-    return cascade.cascade_features(engineered(spark, sf_dir), **kw)
+def labelled(spark: SparkSession, sf_dir: str, derived=features.DERIVED, **kw) -> DataFrame:
+    """Engineered table (with the ``derived`` columns named) + cascade label + look-back features (K1-K5)."""
+    return cascade.cascade_features(light(spark, sf_dir, *derived), **kw)
 
 
 def dashboard_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Engineered table labelled with the dashboard's seed rule (130 min, >= 4)."""
-    return seed_flags(engineered(spark, sf_dir), K.DASHBOARD_FOLLOW_MINUTES, K.DASHBOARD_MIN_FOLLOWERS)
+    """Engineered table (without derived columns) labelled with the dashboard's seed rule (130 min, >= 4)."""
+    return seed_flags(light(spark, sf_dir), K.DASHBOARD_FOLLOW_MINUTES, K.DASHBOARD_MIN_FOLLOWERS)
 
 
 def scored_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
