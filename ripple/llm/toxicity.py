@@ -28,8 +28,11 @@ from pyspark.sql.types import DoubleType, StructType
 
 from ripple.llm.common import slices
 
+# bounds on the labelled rows of the training sample: rows, code points of a text, and windows of a toxic and of
+# another text that an epoch of the first kind draws at random
 TRAIN_DOCS = 4_000
 TRAIN_CHARS = 20_000
+TRAIN_WINDOWS = (8, 3)
 WINDOW, STRIDE = 40, 30
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 8, 8
 TRIGRAMS = 4_096
@@ -261,11 +264,13 @@ class Adam:
             p[k][at] -= rate * (m[at] / (1 - 0.9 ** self.t)) / (np.sqrt(v[at] / (1 - 0.999 ** self.t)) + 1e-7)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
+def train(texts: list[str], labels: list[int], seed: int = 7, windows: tuple[int, int] = TRAIN_WINDOWS) -> Model | None:
     """Fit on whole texts with document labels; None without both labels.
 
-    In the first epochs every window carries its document's label; then each
-    document trains its highest window (and clean ones three random ones beside).
+    In the first epochs a window carries its document's label, and each epoch
+    draws at most ``windows`` of a toxic and of a clean document anew; then each
+    document trains its highest window over all of them (and clean ones three
+    random ones beside).  Scoring takes every window.
     """
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
@@ -285,14 +290,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     adam = Adam(model.p)
     spans = [windows_of(len(t)) for t in docs]
     heavier = min(8.0, neg / pos)
-    per_epoch = max(1, round(sum(min(len(s), 8 if label else 3) for s, label in zip(spans, labels)) / BATCH))
+    per_epoch = max(1, round(sum(min(len(s), windows[not label]) for s, label in zip(spans, labels)) / BATCH))
     epochs = max(EPOCHS, min(80, MIN_STEPS // per_epoch))
     warm = round(WARM_SHARE * epochs)
     for epoch in range(epochs):
         chosen: list[tuple[int, int]] = []
         if epoch < warm:
             for i, s in enumerate(spans):
-                pick = r.permutation(len(s))[:8 if labels[i] else 3]
+                pick = r.permutation(len(s))[:windows[not labels[i]]]
                 chosen += [(i, int(k)) for k in pick]
         else:
             if (epoch - warm) % max(2, epochs // 5) == 0:
@@ -335,8 +340,9 @@ def in_training_fold(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_docs: int = TRAIN_DOCS) -> Model | None:
-    """Train on the labelled rows of the training fold, ``max_docs`` at most.
+        label_col: str = "toxic", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS,
+        windows: tuple[int, int] = TRAIN_WINDOWS) -> Model | None:
+    """Train on the labelled rows of the training fold, ``max_docs`` at most, with texts of at most ``max_chars``.
 
     Labels other than 0 and 1 and null ids are left out; an id with both
     labels counts as 1; of rows with one id the smallest text trains.
@@ -345,10 +351,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(max_docs))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = (docs.join(marked, F.col(id_col) == F.col("_id")).where(F.length(text) <= TRAIN_CHARS)
+    rows = (docs.join(marked, F.col(id_col) == F.col("_id")).where(F.length(text) <= max_chars)
             .groupBy("_id").agg(F.min(text).alias("t"), F.max("_y").alias("y"))).collect()
     rows = sorted(rows, key=lambda r: r["_id"])
-    return train([r["t"] for r in rows], [int(r["y"]) for r in rows])
+    return train([r["t"] for r in rows], [int(r["y"]) for r in rows], windows=windows)
 
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
