@@ -1,27 +1,29 @@
 """Personal data by bootstrapped contextual extraction (SQL functions only).
 
 *Seeds* are the spans of four base expressions (email, ip, card, phone).  The
-words in front of a seed are its *lexical patterns*.  Identifier-like words
-(with a digit or ``@``) that no base expression covers are unseen
-*instances*.  A bipartite graph joins patterns and instances, and Spark
-scores it in ``ROUNDS`` rounds:
-
-* an instance's score is 1 for a seed of the kind, else 1 - prod(1 - c) over
-  the confidences c of its patterns;
-* a pattern's confidence is the sum of its instances' scores over their
-  number plus one; only patterns with ``MIN_SEEDS`` different seeds count.
+one or two words in front of a seed are its *lexical patterns*.  Identifier-like
+words (with a digit or ``@``, and the groups of digits that follow them) that no
+base expression covers are unseen *instances*.  A bipartite graph joins patterns
+and different instances, and Spark scores it in ``ROUNDS`` rounds, for each kind:
+
+* an instance's score is 1 for a seed, else the belief of the round before (0 at
+  first).  It speaks against a pattern if it is no seed and its shape is not one
+  that the kind allows (``SHAPES``); unseen instances of a fitting shape don't;
+* the confidence of a pattern with at least ``MIN_SEEDS`` seeds is the sum of its
+  scores over that sum plus the instances against it plus ``DOUBT``;
+* the belief in an unseen instance of a fitting shape is 1 - prod(1 - c) over the
+  confidences c of its patterns; from ``CONFIDENT`` on it is a seed of the later
+  rounds, and makes patterns of its own eligible.
 
 Patterns of at least ``CONFIDENT`` then extract the unseen instances in front
-of which they stand, if the instance has a shape that the kind allows
-(``SHAPES``).  Base spans always stay.
+of which they stand, if their shape fits.  Base spans always stay.
 
 How it runs on Spark: one pass over the texts keeps, for each expression, the
 matches and the lengths of the gaps before them (stored, without texts);
 running sums over (document, expression) turn them into places, and running
 maxima over a document tell which words a base span covers, so a text with
 any number of matches takes linear work.  Scores are sums over edges
-aggregated before the shuffle; only patterns with enough seeds enter the
-graph, so frequent contexts cost their own edges, no pairs.
+aggregated before the shuffle; a frequent context costs its own edges, no pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from ripple.llm.common import partitions, stored
 ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENT = 0.8
+DOUBT = 0.5
 CONTEXT = 80                    # code points in front of a word in which its context words are looked for
 
 # Quantifiers are possessive and starts are tied to the start of a run (or the
@@ -52,8 +55,10 @@ SHAPES = {
     "card": r"^(?:[^A-Za-z0-9]*+[0-9]){12,}+[^A-Za-z0-9]*+$",
     "phone": r"^(?:[^A-Za-z0-9]*+[0-9]){7,15}+[^A-Za-z0-9]*+$",
 }
-WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-OUTSIDE = r"[^\p{L}\p{N}@+]"
+# a word with a digit or @, and groups of digits behind it
+WORD = (r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+        r"(?:\x20[().+-]*+[0-9][0-9().-]*+(?![^\x20\x09-\x0D,;:]))*+")
+OUTSIDE = r"[^\p{L}\p{N}@+(]"
 NO_SPANS = "array<struct<start:int,no:int,end:int,kind:string>>"
 
 
@@ -161,26 +166,33 @@ def _occurrences(places: DataFrame, base: DataFrame) -> DataFrame:
 
 def scored_patterns(occurrences: DataFrame) -> DataFrame:
     """``kind, pattern, confidence`` of the patterns with enough seeds, after all rounds."""
-    edges = (occurrences.select(F.explode("patterns").alias("pattern"), "instance", "seed")
-             .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    seeded = (edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind"))
-              .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS).drop("n"))
-    # every edge of such a pattern, once for each kind that the pattern may extract
-    graph = stored(edges.join(seeded, "pattern").select(
-        "kind", "pattern", "instance", F.coalesce(F.col("seed") == F.col("kind"), F.lit(False)).alias("own")), "graph")
-    score = graph.select("kind", "pattern", "instance", F.col("own").cast("double").alias("score"))
+    each = F.explode("patterns").alias("pattern")
+    allowed = F.array(*(F.max(F.coalesce(F.get("shapes", F.lit(i)).isNotNull() | (F.col("seed") == k), F.lit(False)))
+                        for i, k in enumerate(KINDS)))
+    edges = stored(occurrences.select(each, "instance", "seed", "shapes").groupBy("pattern", "instance")
+                   .agg(F.max("seed").alias("seed"), allowed.alias("allowed")), "graph")
+    # of each pattern: its instances that speak against each kind
+    against = stored(edges.groupBy("pattern").agg(F.array(*(
+        F.count_if(~F.get("allowed", F.lit(i))) for i in range(len(KINDS)))).alias("against")), "against")
+    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    base = edges.where("seed is not null").select(F.col("seed").alias("kind"), "instance").distinct()
+    score = base.withColumn("score", F.lit(1.0))
     patterns = None
-    for _ in range(ROUNDS):
-        patterns = score.groupBy("kind", "pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1.0)).alias("confidence"))
+    for i in range(ROUNDS):
+        score = stored(score, f"scores-{i}")
+        sums = edges.select("pattern", "instance").join(score, "instance").groupBy("kind", "pattern").agg(
+            F.sum("score").alias("total"), F.count_if(F.col("score") >= 1.0).alias("seeds"))
+        rated = sums.where(F.col("seeds") >= MIN_SEEDS).join(against, "pattern")
+        patterns = stored(rated.select("kind", "pattern", (F.col("total") / (
+            F.col("total") + F.get("against", number) + DOUBT)).alias("confidence")), f"patterns-{i}")
         # of an instance: one minus the product of its patterns' doubts
-        doubt = F.sum(F.log(F.greatest(1.0 - F.col("confidence"), F.lit(1e-9))))
-        instances = graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(
-            (1.0 - F.exp(doubt)).alias("belief"))
-        score = graph.join(instances, ["kind", "instance"]).select(
-            "kind", "pattern", "instance", F.when(F.col("own"), 1.0).otherwise(
-                # a word that is no seed counts only as far as the other patterns believe in it
-                F.col("belief") * 0.5).alias("score"))
+        unseen = edges.where("seed is null").join(patterns, "pattern").where(F.get("allowed", number))
+        belief = 1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col("confidence"), F.lit(1e-9)))))
+        believed = unseen.groupBy("kind", "instance").agg(belief.alias("score"))
+        sure = F.when(F.col("score") >= CONFIDENT, 1.0).otherwise(F.col("score"))
+        # base seeds stay seeds; what one kind knows, another may still believe in
+        score = (base.withColumn("score", F.lit(1.0)).unionByName(believed.withColumn("score", sure))
+                 .groupBy("kind", "instance").agg(F.max("score").alias("score")))
     return patterns
 
 
@@ -225,7 +237,10 @@ def span_text(spans):
 
 
 def redact(text, spans):
-    """The text with each span (overlapping ones as one) replaced by ``<KIND>`` of its first."""
+    """The text with each span (overlapping ones as one) replaced by ``<KIND>`` of its first.
+
+    A null text stays null; null or no spans leave the text as it is.
+    """
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     part = lambda a, b: F.substring(text, a + 1, b - a)
     walked = F.aggregate(spans, zero, lambda s, x: F.struct(
@@ -233,4 +248,4 @@ def redact(text, spans):
         F.when(x["start"] >= s["at"], F.concat(s["out"], part(s["at"], x["start"]), F.lit("<"), F.upper(x["kind"]),
                                                F.lit(">"))).otherwise(s["out"]).alias("out")),
                          lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, walked).otherwise(text)
+    return F.when(spans.isNotNull() & (F.size(spans) > 0), walked).otherwise(text)
