@@ -1,18 +1,24 @@
 """Document fingerprints by consistent weighted sampling.
 
-The terms of a text are its words, weighted by how often they occur.  A
-weight is a whole number, so a term of weight S is the elements (term, 1) to
-(term, S), and each of ``SAMPLES`` draws keeps the element of the smallest hash
-of (element, draw).  That is a consistent weighted sample: two texts keep the
-same element with a probability equal to the generalised Jaccard similarity of
-their weights, sum(min) / sum(max).  The share of equal draws has a standard
-error of sqrt(p (1 - p) / SAMPLES) at similarity p: 0.0625 at 0.5, 0.0375 at 0.9.
+The terms of a text are its words, weighted by how often they occur.  Each of
+``SAMPLES`` draws gives every term numbers of its own, the same in all texts:
+r and c from the gamma distribution with shape 2 (minus the logarithm of a
+product of two uniforms) and b, uniform.  For a term of weight S,
+
+    t = floor(ln S / r + b),    ln y = r (t - b),    ln a = ln c - ln y - r,
+
+and the draw keeps the pair (term, t) of the smallest a.  Two texts keep the
+same pair with a probability equal to the generalised Jaccard similarity of their
+weights, sum(min) / sum(max); weights may be any positive numbers.  The share of
+equal draws has a standard error of sqrt(p (1 - p) / SAMPLES) at similarity p:
+0.0625 at 0.5, 0.0375 at 0.9.
 
 How it runs on Spark (SQL functions only): words are exploded and counted
-inside the partition of their document, and a draw is one ``min`` over 64-bit
-hashes whose lower half names the element, so nothing but the texts themselves
-is shuffled, once.  An element is hashed once and each draw hashes that number
-again: one short hash for each element and draw, and no logarithms.  The document that
+inside the partition of their document, so nothing but the texts themselves is
+shuffled, once, and the work grows with the different words of a text.  Two
+hashes of (term, draw) hold all five uniforms; ln a, in steps of 2**-23, is the
+upper half of a 64-bit number whose lower half names the pair, so a draw is one
+``min``.  The document that
 follows in id order is found on narrow rows: range partitions, ranks inside
 them, and one row for each partition to connect them.
 """
@@ -30,16 +36,31 @@ SAMPLES = 64
 PART_BYTES = 4 << 20            # text of one partition while words are counted
 SPACE = r"[\x20\x09-\x0D]+"
 NO_TERMS = -1                   # 32 ones: every draw of a text without words
+UNIFORM_BITS, SHORT_BITS = 25, 14       # of a hash: two long uniforms and half of a third
+LEAST, STEP_BITS = -128.0, 23   # ln a lies above LEAST and below LEAST + 256
+
+
+def _ranked(term, log_weight, draw: int):
+    """ln a of a term's draw in the upper 32 bits, the name of its (term, t) in the lower ones."""
+    first, second = (F.xxhash64(term, F.lit(2 * draw + k)) for k in (0, 1))
+    bits = lambda h, at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1))
+    uniform = lambda h, at: (bits(h, at, UNIFORM_BITS) + 0.5) * 2.0 ** -UNIFORM_BITS
+    r = -F.log(uniform(first, 0) * uniform(first, UNIFORM_BITS))
+    log_c = F.log(-F.log(uniform(second, 0) * uniform(second, UNIFORM_BITS)))
+    at = 2 * UNIFORM_BITS
+    b = (F.shiftleft(bits(first, at, SHORT_BITS), SHORT_BITS) + bits(second, at, SHORT_BITS) + 0.5) * 2.0 ** (-2 * SHORT_BITS)
+    t = F.floor(log_weight / r + b)
+    log_a = log_c - r * (t - b + 1)
+    upper = F.shiftleft(F.floor((log_a - LEAST) * 2.0 ** STEP_BITS), 32)
+    return upper.bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys..., sig array<int>`` of each text with words; ``texts`` is partitioned by ``keys[0]``."""
     words = texts.select(*keys, F.explode(F.split(text_col, SPACE)).alias("w")).where("w <> ''")
     counted = words.groupBy(*keys, F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    elements = counted.select(*keys, "term", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("j")).select(
-        *keys, F.xxhash64("term", "j").alias("element"))
-    drawn = elements.groupBy(*keys).agg(
-        *(F.min(F.xxhash64("element", F.lit(i))).alias(f"d{i}") for i in range(SAMPLES)))
+    drawn = counted.select(*keys, "term", F.log("n").alias("log_n")).groupBy(*keys).agg(
+        *(F.min(_ranked(F.col("term"), F.col("log_n"), i)).alias(f"d{i}") for i in range(SAMPLES)))
     # the lower 32 bits, as a signed int
     low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
     return drawn.select(*keys, F.array(*(low(F.col(f"d{i}")) for i in range(SAMPLES))).alias("sig"))

@@ -419,6 +419,66 @@ def test_confident_patterns_discover_unseen_identifiers(spark):
     assert [rows[i]["spans"] for i in (31, 32)] == [[], []]
 
 
+def plain_patterns(occurrences):
+    """All rounds by hand: {(kind, pattern): confidence}."""
+    edges, seeds, shapes = {}, {}, {}
+    for patterns, instance, seed, own in occurrences:
+        for p in patterns:
+            edges.setdefault(p, set()).add(instance)
+            if seed:
+                seeds.setdefault((p, instance), set()).add(seed)
+            shapes.setdefault((p, instance), set()).update(set(own) - {None})
+    # a seed edge counts for the kind that is last in the alphabet, as the maximum does
+    seed_of = {k: max(v) for k, v in seeds.items()}
+    base = {(k, i) for (_, i), k in seed_of.items()}
+    score, found = {b: 1.0 for b in base}, {}
+    for _ in range(pii.ROUNDS):
+        found = {}
+        for kind in pii.KINDS:
+            for p, own in edges.items():
+                fits = {i for i in own if kind in shapes[p, i] or kind in seeds.get((p, i), ())}
+                total = sum(score.get((kind, i), 0.0) for i in own)
+                if sum(score.get((kind, i), 0.0) >= 1.0 for i in own) >= pii.MIN_SEEDS:
+                    found[kind, p] = total / (total + len(own - fits) + pii.DOUBT)
+        doubt = {}
+        for (kind, p), c in found.items():
+            for i in edges[p]:
+                if (p, i) not in seed_of and kind in shapes[p, i]:
+                    doubt[kind, i] = doubt.get((kind, i), 1.0) * max(1.0 - c, 1e-9)
+        score = {b: 1.0 for b in base}
+        for key, d in doubt.items():
+            score[key] = max(score.get(key, 0.0), 1.0 if 1.0 - d >= pii.CONFIDENT else 1.0 - d)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pattern_scores_equal_brute_force_in_all_rounds(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(500):
+        i = rnd.randrange(120)
+        kind = pii.KINDS[i % 4] if i < 90 else None           # instances above 90 have no fitting shape
+        shape = [k if k == kind else None for k in pii.KINDS]
+        known = kind if i % 3 == 0 and kind and rnd.random() < 0.8 else None
+        near = lambda: (i % 4) * 4 + rnd.randrange(4) if rnd.random() < 0.85 else rnd.randrange(25)  # noqa: B023, E731
+        rows.append(([f"p{near()}" for _ in range(rnd.randint(0, 2))], i, known, shape))
+    df = spark.createDataFrame(rows, "patterns array<string>, instance long, seed string, shapes array<string>")
+    got = {(r["kind"], r["pattern"]): r["confidence"] for r in pii.scored_patterns(df).collect()}
+    want = plain_patterns(rows)
+    assert set(got) == set(want) and want and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_discovered_identifiers_seed_the_next_round(spark):
+    # "ring" has base seeds; what it discovers makes "bell" eligible, which no base seed stands behind
+    texts = [f"ring +49 30 12345{i}7 now" for i in range(10)] + [f"ring (555) 123 45{i}7 now" for i in range(10, 14)]
+    texts += [f"bell (555) 123 45{i}7 now" for i in range(10, 14)] + ["bell (555) 999 0000 now", "room 3 now"]
+    rows = {r["doc_id"]: r for r in pii.find(frame(spark, texts)).collect()}
+    for i in range(10, 19):
+        start, end = texts[i].index("("), texts[i].index(" now")
+        assert [tuple(s) for s in rows[i]["spans"]] == [(start, 3, end, "phone")], texts[i]
+    assert rows[19]["spans"] == [] and all(rows[i]["base"] == rows[i]["spans"] != [] for i in range(10))
+
+
 def test_redaction(spark):
     rows = frame(spark, ["mail a@b.c or 1.2.3.4", "none", ""]).join(
         pii.find(frame(spark, ["mail a@b.c or 1.2.3.4", "none", ""])), "doc_id")
@@ -507,7 +567,7 @@ def test_collision_rate_is_generalised_jaccard(spark):
     for i in range(0, 160, 2):
         like = np.mean([a == b for a, b in zip(sig[i], sig[i + 1])])
         errors.append(like - weighted_jaccard(texts[i], texts[i + 1]))
-    # 80 pairs of 24 draws: the mean error of an unbiased estimate is within 3 sigma of 0
+    # 80 pairs: the mean error of an unbiased estimate is within 3 sigma of 0
     assert abs(np.mean(errors)) < 3 * 0.5 / math.sqrt(80 * weighted.SAMPLES)
 
 
@@ -527,6 +587,38 @@ def test_likeness_of_single_pairs(spark):
     assert np.mean(np.abs(errors) > 0.125) < 0.04
 
 
+def plain_draw(term, weight, i):
+    """(ln a, t) of the documented formulas from the same two hashes (Spark's, over the term's hash)."""
+    def long_hash(*values):
+        h = 42
+        for v, size in values:
+            h = xxhash.xxh64((v % 2 ** (8 * size)).to_bytes(size, "little"), seed=h).intdigest()
+        return h
+
+    first, second = (long_hash((term, 8), (2 * i + k, 4)) for k in (0, 1))
+    uniform = lambda h, at: ((h >> at) % 2 ** 25 + 0.5) / 2 ** 25
+    r = -math.log(uniform(first, 0) * uniform(first, 25))
+    c = -math.log(uniform(second, 0) * uniform(second, 25))
+    b = ((first >> 50) * 2 ** 14 + (second >> 50) + 0.5) / 2 ** 28
+    t = math.floor(math.log(weight) / r + b)
+    return math.log(c) - r * (t - b) - r, t
+
+
+def test_draws_follow_the_formulas(spark):
+    rnd = random.Random(3)
+    terms = [(rnd.randrange(-2 ** 63, 2 ** 63), w) for w in [1, 1, 2, 3, 7, 1000] * 10]
+    df = spark.createDataFrame(terms, "term long, n long")
+    for i in (0, 5):
+        got = df.select("term", "n", weighted._ranked(F.col("term"), F.log("n"), i).alias("x")).collect()
+        for r in got:
+            log_a, t = plain_draw(r["term"], r["n"], i)
+            assert (r["x"] >> 32) / 2 ** weighted.STEP_BITS + weighted.LEAST == pytest.approx(log_a, abs=2e-7)
+        assert len({r["x"] & 0xFFFFFFFF for r in got}) == len(terms)
+    # t stays 0 at weight 1
+    many = [plain_draw(k * 7919, 1, k) for k in range(4000)]
+    assert {t for _, t in many} == {0}
+
+
 def test_compare_with_edited_and_next(spark, odd_docs, no_docs):
     for docs in (docs_of(spark), odd_docs):
         rows = sorted(weighted.compare(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
