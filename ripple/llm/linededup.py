@@ -16,11 +16,15 @@ How it runs on Spark:
 
 * lines collapse to distinct lines first, so a line that occurs in a third
   of all documents costs one row after the partial aggregation;
-* two lines one edit apart agree in the first or the last half of their words
-  (of the shorter one, rounded down); only lines whose half occurs in another
-  line emit variants.  This loses nothing and spares the other lines;
+* cut the shorter of two lines one edit apart into three parts: the edit leaves
+  two of them as they are, so the lines agree in the first two parts, the last
+  two or the outer two.  Only lines whose two parts occur in another line emit
+  variants.  This loses nothing and spares the other lines; most of
+  them are told apart by a bitmap of fixed size, without a join;
 * a variant's key is a sum of word hashes: prefix sum plus shifted suffix sum,
   so a line of n words costs n additions, not n copies of itself;
+* the two joins with whole texts are merge joins at every size, so work and disk
+  grow in proportion to the input;
 * no group is compared pair by pair: lines that share a key need only the
   earliest among them.
 """
@@ -34,11 +38,16 @@ from ripple.llm.common import partitions, stored
 
 MIN_WORDS = 8
 SPACE = r"[\x20\x09-\x0D]+"
+BITMAP_BITS = 24                # 2**18 words of 64 bits
 MASK = (1 << 42) - 1            # sums of up to 2**20 masked hashes fit 64 bits
 
 
 def words_of(line):
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    # words with one space between them are by far the most frequent and need no regular expression
+    odd = line.startswith(" ") | line.endswith(" ") | (line == "")
+    for c in ("  ", "\t", "\r", "\x0b", "\x0c", "\n"):
+        odd |= line.contains(c)
+    return F.when(odd, F.filter(F.split(line, SPACE, -1), lambda w: w != "")).otherwise(F.split(line, " ", -1))
 
 
 def _key(words):
@@ -47,22 +56,29 @@ def _key(words):
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, row, line, words...`` of every line that has words."""
+    """``doc_id, row, line, words`` of every line that has words."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"),
-                                               F.posexplode(F.split(text, "\n", -1)).alias("line", "l"))
-    return rows.select("doc_id", "row", "line", words_of(F.col("l")).alias("words")).where(F.size("words") > 0)
+    lines = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"),
+                                                F.posexplode(F.split(text, "\n", -1)).alias("line", "l"))
+    # generated: later columns meet a finished array, not an expression to run again for each
+    return lines.select("doc_id", "row", "line", F.explode(F.array(words_of(F.col("l")))).alias("words")).where(
+        F.size("words") > 0)
 
 
-def _halves(words):
-    """Keys of the first and last h words, for the h that a line one word longer or shorter may share."""
+def _shared_parts(words):
+    """Keys of two parts out of three, of t words each, for t a third of the length, and of the length less one.
+
+    The shorter of two lines one edit apart has n words, t = n div 3: the edit leaves the
+    first 2t words, the last 2t or the first and last t as they are.
+    """
     n = F.size(words)
-    part = lambda h, side: F.xxhash64(
-        F.lit(side), h, F.slice(words, 1, h) if side == "first" else F.slice(words, n - h + 1, h))
-    h, g = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    both = F.array(part(h, "first"), part(h, "last"))
-    return F.when(n < MIN_WORDS, F.array().cast("array<long>")).when(h == g, both).otherwise(
-        F.concat(both, F.array(part(g, "first"), part(g, "last"))))
+    t = F.floor(n / 3).cast("int")
+    part = lambda side, a, b: F.xxhash64(F.lit(side), F.slice(words, 1, a), F.slice(words, n - b + 1, b))
+    keys = lambda t: F.array(part("outer", t, t), part("first", 2 * t, F.lit(0)), part("last", F.lit(0), 2 * t))
+    thirds = F.when(n < MIN_WORDS, F.array().cast("array<int>")).when(
+        (n > MIN_WORDS) & (n % 3 == 0), F.array(t, t - 1)).otherwise(F.array(t))
+    # a lambda keeps the generated code short: one long method for all keys would never be compiled
+    return F.flatten(F.transform(thirds, keys))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -99,10 +115,36 @@ def one_edit(x, y):
     return (long_ - F.least(head, short) - tail) <= 1
 
 
+def _meeting(parts: DataFrame) -> DataFrame:
+    """``part``: keys of two parts that occur in two different lines of parts(k, parts)."""
+    each = parts.select("k", F.explode("parts").alias("part"))
+    return stored(each.groupBy("part").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("part"),
+                  "meeting")
+
+
+def _able(occurrences: DataFrame) -> DataFrame:
+    """``id, key, first`` of the distinct lines one of whose parts meets; ids follow the first occurrence.
+
+    The meeting parts as a bitmap of fixed size (2**BITMAP_BITS bits, so the
+    broadcast has a bound) keep most lines out of the join; what it lets through by
+    chance goes there.
+    """
+    meeting = _meeting(occurrences.select(F.xxhash64("key").alias("k"), "parts"))
+    place = F.col("part").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    word, bit = F.shiftright(place, 6), F.expr("shiftleft(1L, cast(part & 63 as int))")
+    bits = meeting.groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits"))
+    each = occurrences.select("key", "doc_id", "row", "line", F.explode("parts").alias("part"))
+    hits = each.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("at")).where(
+        F.col("bits").bitwiseAND(bit) != 0)
+    first = hits.join(meeting, "part", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
+    # numbers in the order of first occurrence: smaller is earlier
+    return stored(first.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "key", "first"), "able")
+
+
 def _fetched(texts: DataFrame, able: DataFrame) -> DataFrame:
     """``id, words`` of able(id, first), from texts(doc_id, row, text): the texts are shuffled once, not their words."""
     wanted = able.select("first.doc_id", "first.row", F.struct("first.line", "id").alias("x")).groupBy(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("x").alias("wanted"))
+        F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("x").alias("wanted")).hint("merge")
     joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select(
         "wanted", F.split("text", "\n", -1).alias("lines"))
     picked = F.when(F.size("lines") > 0, F.transform("wanted", lambda x: F.struct(
@@ -111,14 +153,9 @@ def _fetched(texts: DataFrame, able: DataFrame) -> DataFrame:
             .select("id", words_of(F.col("l")).alias("words")))
 
 
-def nearest_earlier(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key`` of distinct(key, first, halves): the lines with an earlier line one edit away."""
-    halves = distinct.select(F.explode("halves").alias("half"), "key", F.xxhash64("key").alias("k"))
-    shared = (halves.groupBy("half").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("half"))
-    able = halves.join(shared, "half", "left_semi").select("key").distinct()
-    # numbers in the order of first occurrence: smaller is earlier
-    able = stored(distinct.join(able, "key").select("key", "first").orderBy("first")
-                  .withColumn("id", F.monotonically_increasing_id()), "able")
+def nearest_earlier(occurrences: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key`` of occurrences(doc_id, row, line, key, parts): the lines with an earlier line one edit away."""
+    able = _able(occurrences)
     fetched = stored(_fetched(texts, able), "words")
     variants = stored(_variants(fetched), "variants")
     deleted = variants.where("gap >= 0")
@@ -133,21 +170,20 @@ def nearest_earlier(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     other = fetched.select(F.col("id").alias("p"), F.col("words").alias("_w"))
     verified = pairs.join(fetched, "id").join(other, "p").where(
         (F.size("words") >= MIN_WORDS) & (F.size("_w") >= MIN_WORDS) & one_edit(F.col("words"), F.col("_w")))
-    return able.join(verified.select("id"), "id").select("key")
+    return able.select("id", "key").join(verified.select("id"), "id").select("key")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row, line, near`` of each line that goes; ``row`` is a hash of the document's text."""
     lines = line_rows(docs, id_col, text_col)
     occurrences = stored(lines.select("doc_id", "row", "line", _key(F.col("words")).alias("key"),
-                                      _halves(F.col("words")).alias("halves")), "lines")
+                                      _shared_parts(F.col("words")).alias("parts")), "lines")
     first = F.min(F.struct("doc_id", "row", "line")).alias("first")
-    distinct = stored(occurrences.groupBy("key").agg(
-        first, F.any_value("halves").alias("halves"), F.count(F.lit(1)).alias("n")), "distinct")
+    distinct = occurrences.groupBy("key").agg(first, F.count(F.lit(1)).alias("n"))
     text = F.col(text_col).cast("string")
     texts = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"),
                                                 text.alias("text"))
-    near = nearest_earlier(distinct.select("key", "first", "halves"), texts)
+    near = stored(nearest_earlier(occurrences, texts), "near")
     # only lines that occur again or have a near earlier line decide anything
     decided = distinct.join(near.select("key", F.lit(True).alias("near")), "key", "left").select(
         "key", "first", "n", F.coalesce("near", F.lit(False)).alias("near")).where("near or n > 1")
@@ -165,29 +201,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     split at ``\\n``; blank lines always stay.  A null text stays null (no
     lines).  Rows equal in id and text share their fate: their lines count as
     the same place.  Null ids sort first.  An empty table gives an empty one.
+    Columns of ``docs`` are carried along; names that begin with ``_`` are taken.
     """
     drops = dropped_lines(docs, id_col, text_col)
     drops = drops.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
-        F.collect_set(F.struct("line", "near")).alias("_drops"))
+        F.array_sort(F.collect_set(F.struct("line", "near"))).alias("x"))
+    # a letter for each line up to the last that goes; made from neighbours, so no lambda holds a whole array
+    lines_of = F.col("x.line")
+    before = F.concat(F.array(F.lit(-1)), F.slice(lines_of, 1, F.size(lines_of) - 1))
+    marks = F.array_join(F.zip_with(lines_of, before, lambda i, p: F.concat(F.repeat(F.lit("k"), i - p - 1), F.lit("g"))), "")
+    drops = drops.select("_id", "_row", marks.alias("_marks"), F.size("x").alias("_n_gone"),
+                         F.size(F.filter("x", lambda d: d["near"])).cast("long").alias("_near")).hint("merge")
     text = F.col(text_col).cast("string")
     rows = docs.withColumn("_own", F.xxhash64(text))
     joined = rows.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
     lines = F.split(text, "\n", -1)
-    gone = F.coalesce(F.array_sort("_drops.line"), F.array().cast("array<int>"))
-    # columns of their own, each used twice below: an expression inside a lambda would run for every line
-    joined = joined.withColumns({"_lines": lines, "_gone": gone})
-    gone = F.col("_gone")
-    # a byte for each line up to the last that goes: looked up by position, in linear time
-    before = lambda x, j: x - F.when(j == 0, -1).otherwise(F.get(gone, j - 1)) - 1
-    marks = F.array_join(F.transform(gone, lambda x, j: F.concat(F.repeat(F.lit("k"), before(x, j)), F.lit("g"))), "")
-    joined = joined.withColumn("_marks", marks.cast("binary"))
-    lines, marks = F.col("_lines"), F.col("_marks")
-    near = F.size(F.filter("_drops", lambda d: d["near"]))
-    dropped = lambda i: F.substring(marks, i + 1, F.lit(1)) == F.lit(b"g")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~dropped(i)), "\n")
+    # the letters beside the lines: lines behind the last letter stay
+    letters = F.split(F.rpad("_marks", F.size(lines), "k"), "")
+    beside = F.filter(F.arrays_zip(lines.alias("line"), letters.alias("mark")), lambda x: x["mark"] == "k")
+    kept = F.array_join(F.transform(beside, lambda x: x["line"]), "\n")
+    near = F.coalesce("_near", F.lit(0).cast("long"))
     return joined.select(
         *(F.col(c) for c in docs.columns),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
-        (F.size(gone) - F.coalesce(F.when(F.col("_drops").isNotNull(), near), F.lit(0))).cast("long").alias("_n_exact"),
-        F.coalesce(F.when(F.col("_drops").isNotNull(), near), F.lit(0)).cast("long").alias("_n_near"),
-        F.when(F.octet_length(marks) == 0, text).otherwise(kept).alias("_kept"))
+        (F.coalesce("_n_gone", F.lit(0)) - near).cast("long").alias("_n_exact"), near.alias("_n_near"),
+        F.when(F.col("_marks").isNull(), text).otherwise(kept).alias("_kept"))
