@@ -17,6 +17,7 @@ from ripple.plans import oracle as O
 from ripple.plans.catalog import HOURLY, query
 from ripple.plans.catalog_reports import DATA_CUTOFF, WX
 
+RISK = ("corridor_risk_score",)      # what the score itself needs of the derived columns
 S, E, L = O.SCORED_CTES, O.ENGINEERED_CTES, O.LABELLED_CTES
 
 
@@ -136,7 +137,7 @@ def q_alerts(spark, sf):
 from scored where start_local is not null"""))
 def q_replay_status(spark, sf):
     """Timeline status line for every incident of every corridor-day."""
-    s = flows.scored_standin(spark, sf).where(F.col("start_local").isNotNull())
+    s = flows.scored_standin(spark, sf, RISK).where(F.col("start_local").isNotNull())
     return s.select("id", "corridor", "date", "clock", decisions.status_text("cascade_probability", 0.10)
                     .alias("status"))
 
@@ -267,7 +268,7 @@ select id,
   max(case when rn = 3 then {_dec_round('v / tot')} end) as share_3
 from t3 group by id"""))
 def q_driver_shares(spark, sf):
-    s = flows.scored_standin(spark, sf).where(F.col("cascade_probability") >= 0.1)
+    s = flows.scored_standin(spark, sf, RISK).where(F.col("cascade_probability") >= 0.1)
     d = decisions.driver_shares(decisions.standin_drivers(s))
     return d.select("id", *[F.col("driver_top3")[i].alias(f"driver_{i + 1}") for i in range(3)],
                     *[F.col("driver_values3")[i].alias(f"value_{i + 1}") for i in range(3)],
@@ -357,7 +358,7 @@ sw as (
   case when p > 0 then cast(tp as double) / cast(p as double) else 0.0 end as recall
 from sw cross join pos"""))
 def q_threshold_sweep(spark, sf):
-    return metrics.threshold_sweep(flows.scored_standin(spark, sf), "risk_pct", "is_cascade_seed")
+    return metrics.threshold_sweep(flows.scored_standin(spark, sf, RISK), "risk_pct", "is_cascade_seed")
 
 
 @query("threshold_choice", WX(S, """pos as (select count(*) filter (where is_cascade_seed) as p from scored),
@@ -371,13 +372,13 @@ closest as (select t, recall from fw order by abs(recall - 0.8), t limit 1)""",
 select cast(coalesce((select t from coarse), (select t from closest)) as double) / 100.0 as chosen_threshold,
   (select recall from fw where t = coalesce((select t from coarse), (select t from closest))) as recall"""))
 def q_threshold_choice(spark, sf):
-    return metrics.choose_threshold(flows.scored_standin(spark, sf), "risk_pct", "is_cascade_seed")
+    return metrics.choose_threshold(flows.scored_standin(spark, sf, RISK), "risk_pct", "is_cascade_seed")
 
 
 @query("confusion", O.with_ctes(S, """select cast(is_cascade_seed as bigint) as label,
   cast(cascade_probability >= 0.1 as bigint) as prediction, count(*) as n from scored group by 1, 2"""))
 def q_confusion(spark, sf):
-    return metrics.confusion(flows.scored_standin(spark, sf), 0.10)
+    return metrics.confusion(flows.scored_standin(spark, sf, RISK), 0.10)
 
 
 @query("class_report", WX(S, """cm as (select cast(is_cascade_seed as bigint) as label,
@@ -393,7 +394,7 @@ select cls as class, case when pp > 0 then cast(tp as double) / pp else 0.0 end
   cast(support as bigint) as support
 from st"""))
 def q_class_report(spark, sf):
-    return metrics.class_report(flows.scored_standin(spark, sf), 0.10)
+    return metrics.class_report(flows.scored_standin(spark, sf, RISK), 0.10)
 
 
 @query("mae_rmse", WX(E, HOURLY + f""",

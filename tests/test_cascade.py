@@ -124,3 +124,28 @@ def test_all_features_match_brute_force_on_mixed_corridors(spark):
                 g["secondary_count"]) == (e2, e6, s3, fol), i
         assert g["cascade_density"] == pytest.approx(e2 / total[c])
         assert g["is_cascade_seed"] == (fol >= 3)
+
+
+def test_frames_only_take_in_rows(spark):
+    # a frame with two moving ends is added up anew for each row: the square of a dense corridor
+    df = _rows(spark, [0, 1, 1, 2])
+    for out in (cascade.cascade_features(df, with_density=False), cascade.follow_count(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        frames = plan.split("specifiedwindowframe(")[1:]
+        assert frames and all(f.split(", ")[1].startswith("unboundedpreceding") for f in frames)
+
+
+def test_a_dense_corridor_equals_brute_force(spark):
+    rng = random.Random(5)
+    hours = [round(rng.uniform(0, 30) * 4) / 4 for _ in range(400)]                  # many ties and bucket edges
+    causes = [rng.choice(["others", "accident", "water_logging"]) for _ in hours]
+    out = cascade.cascade_features(_rows(spark, hours, causes=causes), with_density=False).collect()
+    assert len(out) == len(hours)
+    seeds = [c in cascade.K.SEED_CAUSES for c in causes]
+    for r in out:
+        i, t = r["id"], hours[r["id"]]
+        before = [j for j, h in enumerate(hours) if (h, j) < (t, i)]
+        assert r["secondary_count"] == sum(t < h <= t + 2 for h in hours)
+        assert r["corridor_events_2h"] == sum(hours[j] >= t - 2 for j in before)
+        assert r["corridor_events_6h"] == sum(hours[j] >= t - 6 for j in before)
+        assert r["seed_event_present_3h"] == any(hours[j] >= t - 3 and seeds[j] for j in before)
