@@ -1,12 +1,12 @@
 """Structured Streaming jobs on an incident stream.
 
-* T1 ``stream_seed_labels``: stream-stream interval outer join on (corridor, time
-  bucket) with watermarks, then a count per seed (append mode).
+* T1 ``stream_seed_labels``: overlapping event-time windows of a corridor's rows with a
+  watermark, then a count per seed inside each window (append mode).
 * T2 ``stream_hourly``: tumbling one-hour windows on local clock hours
   (``startTime`` = the +05:30 offset), append mode.
 * T3 ``arrival_lookback``: look-back features at arrival, from keyed state that
-  expires by event time.  ``stream_lookback`` gives final ones, by an interval
-  join; ``lookback_tail`` gives what that join holds back while its input is open.
+  expires by event time.  ``stream_lookback`` gives final ones, from windows as in
+  T1; ``lookback_tail`` gives what these hold back while their input is open.
 * T4 ``scored_alert_sink``: ``foreachBatch`` function that scores look-back rows
   and commits their alerts once; ``alert_sink`` writes rows, idempotent per batch.
 
@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,27 +88,71 @@ def cleaned(events: DataFrame) -> DataFrame:
     })
 
 
+def _gathered(sdf: DataFrame, minutes: int, delay: str, *columns) -> DataFrame:
+    """``corridor, start, rows``: the rows of each corridor and window of twice ``minutes``, which start every ``minutes``.
+
+    A window is given out, once, when the watermark has passed its end.  It holds the
+    rows of one time bucket and of the bucket next to it, so all counts over spans up
+    to ``minutes`` are found inside it by sorting, and no pairs are built: state,
+    output and work grow with the rows, however dense a corridor is.
+    """
+    rows = F.collect_list(F.struct(X.epoch_micros("start_datetime").alias("us"), *columns))
+    return (sdf.withWatermark("event_time", delay)
+            .groupBy("corridor", F.window("event_time", f"{2 * minutes} minutes", f"{minutes} minutes").alias("w"))
+            .agg(rows.alias("rows")).select("corridor", F.unix_micros("w.start").alias("start"), "rows"))
+
+
+def _each_window(df: DataFrame, count, schema: str) -> DataFrame:
+    """``count(corridor, start, rows)``, a table of ``schema``, for each window of :func:`_gathered`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for corridor, start, rows in zip(batch.column("corridor"), batch.column("start"), batch.column("rows")):
+                yield from count(corridor.as_py(), start.as_py(), rows.values).to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def _ranked(ids: pa.Array) -> np.ndarray:
+    """Dense ranks of ``ids`` from 1; 0 for nulls."""
+    rank = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
+    return np.where(ids.is_valid().to_numpy(zero_copy_only=False), rank, 0).astype(np.int64)
+
+
+def _groups(us: np.ndarray, rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row (its index) for each time and id among the rows ``own``, and the number of such rows."""
+    here = np.flatnonzero(own)
+    _, first, times = np.unique(np.c_[us[here], rank[here]], axis=0, return_index=True, return_counts=True)
+    return here[first], times
+
+
 def stream_seed_labels(sdf: DataFrame, minutes: int = K.FOLLOW_MINUTES,
                        min_followers: int = K.MIN_FOLLOWERS, delay: str | None = None) -> DataFrame:
     """The follow-on count of every incident of a named corridor, 0 included.
 
-    The join key holds a time bucket as wide as the window, so a hot corridor is
-    spread over its buckets.  A count is final, and given out, once the watermark
-    passes ``seed + W``; rows beyond the watermark delay are dropped by Spark.
+    Rows are gathered by (corridor, time bucket as wide as the window) together with
+    the next bucket's, so a hot corridor is spread over its buckets.  A bucket's counts
+    are final, and given out, once the watermark passes the end of the next bucket;
+    rows whose windows have been given out are dropped by Spark.  A follower without
+    an id is not counted; rows of one id and time are one row, whose counts add up.
     """
     delay = delay or f"{minutes} minutes"
     named = sdf.where(X.is_named_corridor("corridor") & F.col("event_time").isNotNull())
-    bucket = F.floor(X.epoch_micros("start_datetime") / (minutes * 60_000_000))
-    seeds = named.select(F.col("id").alias("seed_id"), "corridor", bucket.alias("bucket"),
-                         F.col("event_time").alias("seed_time")).withWatermark("seed_time", delay)
-    follows = named.select(F.col("id").alias("follow_id"), F.col("corridor").alias("f_corridor"),
-                           F.explode(F.array(bucket, bucket - 1)).alias("f_bucket"),
-                           F.col("event_time").alias("follow_time")).withWatermark("follow_time", delay)
-    pairs = seeds.join(follows, F.expr(
-        f"corridor = f_corridor AND bucket = f_bucket AND follow_time > seed_time "
-        f"AND follow_time <= seed_time + INTERVAL {minutes} MINUTES"), "left_outer")
-    counts = pairs.groupBy("seed_id", "corridor", "seed_time").agg(F.count("follow_id").alias("secondary_count"))
-    return counts.withColumn("is_cascade_seed", F.col("secondary_count") >= min_followers)
+    kind = dict(sdf.dtypes)["id"]
+    width = minutes * 60_000_000
+
+    def count(corridor: str, start: int, rows: pa.StructArray) -> pa.Table:
+        us, ids = rows.field("us").to_numpy(zero_copy_only=False), rows.field("id")
+        rank = _ranked(ids)
+        at, times = _groups(us, rank, us < start + width)
+        follows = np.sort(us[rank > 0])
+        n = np.searchsorted(follows, us[at] + width, "right") - np.searchsorted(follows, us[at], "right")
+        return pa.table({"seed_id": ids.take(pa.array(at)), "corridor": pa.array([corridor] * len(at), pa.string()),
+                         "us": us[at], "secondary_count": n * times})
+
+    counts = _each_window(_gathered(named, minutes, delay, "id"), count,
+                          f"seed_id {kind}, corridor string, us long, secondary_count long")
+    return counts.select("seed_id", "corridor", F.timestamp_micros("us").alias("seed_time"), "secondary_count",
+                         (F.col("secondary_count") >= min_followers).alias("is_cascade_seed"))
 
 
 def stream_hourly(sdf: DataFrame, delay: str = "1 hour", tz_offset_minutes: int = 330) -> DataFrame:
@@ -122,51 +168,80 @@ def stream_hourly(sdf: DataFrame, delay: str = "1 hour", tz_offset_minutes: int
 
 def stream_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
                     seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
-    """Look-back counts per incident by a stream-stream interval join.
-
-    An incident meets those of its corridor that come before it, by (time,
-    id), within the widest window, and itself; the counts are conditional.
-    The join key holds a time bucket as wide as that window, so a hot corridor
-    is spread over its buckets.  Late-row rule: rows older than the watermark
-    (latest incident less ``delay``) are dropped by Spark and counted in the
-    progress (``numRowsDroppedByWatermark``); an incident's row is emitted, once
-    and final, when the watermark has passed it by the widest window, whatever
-    the order of arrival before that.
+    """Final look-back counts per incident, by event-time windows.
+
+    An incident counts those of its corridor that come before it, by (time, id),
+    within each span.  Rows are gathered by (corridor, time bucket as wide as the
+    widest span) together with the bucket before, so a hot corridor is spread over
+    its buckets.  An incident's row is emitted, once and final, when the watermark
+    (latest incident less ``delay``) has passed the end of its bucket, whatever the
+    order of arrival before that; rows whose windows have been given out are dropped
+    by Spark and counted in the progress (``numRowsDroppedByWatermark``).  Rows of one
+    id and time are one row, whose counts add up; rows of one id never count each
+    other, and a row without an id is not counted.  It is given out without counts
+    if another comes before it within the widest span.
     """
     h_short, h_long = sorted(hours)
     widest = max(h_long, seed_hours)
-    width = widest * 3_600_000_000
+    hour = 3_600_000_000
     named = sdf.where(F.col("start_datetime").isNotNull())
-    bucket = F.floor(X.epoch_micros("start_datetime") / width)
-    rows = named.select("id", "corridor", F.col("event_time").alias("at"), bucket.alias("bucket")).withWatermark("at", delay)
-    earlier = named.select(
-        F.col("id").alias("e_id"), F.col("corridor").alias("e_corridor"), F.col("event_time").alias("e_at"),
-        F.col("event_cause_grouped").isin(*seed_causes).alias("e_seed"),
-        F.explode(F.array(bucket, bucket + 1)).alias("e_bucket")).withWatermark("e_at", delay)
-    pairs = rows.join(earlier, F.expr(
-        f"corridor = e_corridor AND bucket = e_bucket AND e_at <= at AND e_at >= at - INTERVAL {widest} HOURS"
-        " AND (e_at < at OR e_id <= id)"))
-    other = F.col("e_id") != F.col("id")
-    within = lambda h: other & (F.col("e_at") >= F.col("at") - F.expr(f"INTERVAL {h} HOURS"))
-    return pairs.groupBy("id", "corridor", "at").agg(
-        F.count_if(within(h_short)).alias("corridor_events_2h"), F.count_if(within(h_long)).alias("corridor_events_6h"),
-        F.max((within(seed_hours) & F.col("e_seed")).cast("long")).alias("seed_event_present_3h")).drop("at")
+    kind = dict(sdf.dtypes)["id"]
+
+    def count(corridor: str, start: int, rows: pa.StructArray) -> pa.Table:
+        us, ids = rows.field("us").to_numpy(zero_copy_only=False) - start, rows.field("id")
+        seed = rows.field("seed").fill_null(False).to_numpy(zero_copy_only=False)
+        rank = _ranked(ids)
+        at, times = _groups(us, rank, us >= widest * hour)
+        every = np.sort(us)
+        # a row without an id
+        nameless = rank[at] == 0
+        keep = ~nameless | (np.searchsorted(every, us[at]) > np.searchsorted(every, us[at] - widest * hour))
+        at, times, nameless = at[keep], times[keep], nameless[keep]
+        t, r = us[at], rank[at]
+        span, n = 2 * widest * hour, int(rank.max(initial=0)) + 1
+
+        def before(which: np.ndarray, h: int) -> np.ndarray:
+            """Rows among ``which`` with another id, within ``h`` hours before each row of ``at``."""
+            u, k = us[which], rank[which]
+            ordered, by_id = np.sort(u * n + k), np.sort(k * span + u)
+            low = np.maximum(t - h * hour, 0)
+            same = np.searchsorted(by_id, r * span + t, "right") - np.searchsorted(by_id, r * span + low)
+            return np.searchsorted(ordered, t * n + r, "right") - np.searchsorted(ordered, low * n) - same
+
+        counted = rank > 0
+        short, long = (np.where(nameless, 0, before(counted, h) * times) for h in (h_short, h_long))
+        found = before(counted & seed, seed_hours) > 0
+        # without an id it is unknown whether others are others: 0 only if no seed can be among them
+        others = np.searchsorted(every, t) - np.searchsorted(every, t - widest * hour)
+        near = np.sort(us[seed])
+        unknown = nameless & (np.searchsorted(near, t) - np.searchsorted(near, t - seed_hours * hour) == others)
+        return pa.table({
+            "id": ids.take(pa.array(at)), "corridor": pa.array([corridor] * len(at), pa.string()),
+            "corridor_events_2h": short, "corridor_events_6h": long,
+            "seed_event_present_3h": pa.array((found & ~nameless).astype(np.int64), mask=unknown)})
+
+    seed = F.col("event_cause_grouped").isin(*seed_causes).alias("seed")
+    return _each_window(_gathered(named, widest * 60, delay, "id", seed), count,
+                        f"id {kind}, corridor string, corridor_events_2h long, corridor_events_6h long, "
+                        "seed_event_present_3h long")
 
 
 def lookback_tail(incidents: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
                   seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
     """The rows :func:`stream_lookback` holds back when its input ends, counted in batch.
 
-    They are the incidents less than the delay and the widest window before the
-    latest one; only these and those within the widest window before them are read.
+    They are the incidents of the time buckets that end after the watermark, the latest
+    incident less the delay; only these and those within the widest span before them are read.
     """
-    widest = F.expr(f"INTERVAL {max(*hours, seed_hours)} HOURS")
+    widest = max(*hours, seed_hours)
     named = incidents.where(F.col("start_datetime").isNotNull())
-    final = named.agg(F.max("start_datetime")).scalar() - F.expr(f"INTERVAL {delay}") - widest
-    near = named.where(F.col("start_datetime") >= final - widest)
+    mark = named.agg((F.max("start_datetime") - F.expr(f"INTERVAL {delay}")).alias("t"))
+    bucket = mark.select(F.floor(X.epoch_micros("t") / F.lit(widest * 3_600_000_000)).cast("int")).scalar()
+    open_from = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=bucket * widest)
+    near = named.where(F.col("start_datetime") >= open_from - F.expr(f"INTERVAL {widest} HOURS"))
     rows = cascade.cascade_features(near, lookback_hours=hours, seed_hours=seed_hours, seed_causes=seed_causes,
                                     with_density=False)
-    return rows.where(F.col("start_datetime") > final).select(
+    return rows.where(F.col("start_datetime") >= open_from).select(
         "id", "corridor", *(f"corridor_events_{h}h" for h in sorted(hours)), "seed_event_present_3h")
 
 

@@ -155,3 +155,30 @@ def test_streams_give_every_row(spark, tmp_path, name):
         con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet')")
         want = con.execute(f"select {', '.join(df.columns)} from ({catalog.REGISTRY[name][1]})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("make", [jobs.stream_seed_labels, jobs.stream_lookback])
+def test_final_counts_build_no_pairs(spark, make):
+    # a join of a corridor's rows with each other grows with the square of its density
+    plan = make(jobs.incident_stream(spark, SF001))._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_final_counts_of_repeated_and_missing_ids(spark, tmp_path):
+    day = "2024-01-05 "
+    rows = [(1, "10:00:00"), (1, "10:00:00"), (2, "10:30:00"), (None, "11:00:00"), (2, "11:30:00"), (3, "11:30:00"),
+            (None, "23:00:00")]
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(i, day + t) for i, t in rows], "id long, t string").select(
+        "id", F.col("t").cast("timestamp").alias("event_time"), F.col("t").cast("timestamp_ntz").alias("start_datetime"),
+        F.lit("A").alias("corridor"), F.lit("others").alias("event_cause_grouped")).coalesce(1).write.parquet(str(tmp_path / "in" / "x"))
+    schema = "id long, event_time timestamp, start_datetime timestamp_ntz, corridor string, event_cause_grouped string"
+    sdf = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "x"))
+    got = {(r["seed_id"], r["seed_time"].strftime("%H:%M")): r["secondary_count"]
+           for r in jobs.run_to_end(jobs.stream_seed_labels, sdf, "t_odd").collect()}
+    # the two rows 1 count 2, 2 and 3 each; followers without an id are not counted
+    assert got == {(1, "10:00"): 6, (2, "10:30"): 2, (None, "11:00"): 2, (2, "11:30"): 0, (3, "11:30"): 0, (None, "23:00"): 0}
+    back = {(r["id"], r["corridor_events_2h"], r["corridor_events_6h"], r["seed_event_present_3h"])
+            for r in jobs.run_to_end(jobs.stream_lookback, sdf, "t_odd").collect()}
+    # rows of one id never count each other; the row without an id at 23:00 has nothing before it and no row
+    assert back == {(1, 0, 0, 0), (2, 2, 2, 0), (None, 0, 0, 0), (2, 2, 2, 0), (3, 4, 4, 0)}
