@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -248,8 +249,31 @@ class Trees:
         start = float(rows.column("value").to_numpy()[~live][0]) if (~live).any() else 0.0
         return cls(spec.features, spec.objective, spec.outputs, spec.depth, start, **arrays)
 
+    @cached_property
+    def cuts(self) -> list[np.ndarray]:
+        """The different cuts of each feature, rising."""
+        return [np.unique(self.cut[self.feature == j]) for j in range(len(self.features))]
+
+    def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` that no other one agrees with on every split, and the place of each row among them.
+
+        Rows that lie between the same cuts take the same way through every tree, so they
+        have the same scores and Shapley values: dense tables hold many of them.
+        """
+        key = np.zeros(len(x), np.int64)
+        for j, cuts in enumerate(self.cuts):
+            if len(cuts):
+                place = np.where(np.isnan(x[:, j]), 0, np.searchsorted(cuts, x[:, j]))      # NaN is above no cut
+                key = np.unique(key * (len(cuts) + 1) + place, return_inverse=True)[1]
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        return x[first], back
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Scores before the link (rows by outputs)."""
+        x, back = self.distinct(x)
+        return self._raw(x)[back]
+
+    def _raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full((len(x), self.outputs), self.start)
         tree = np.arange(self.feature.shape[1])[None, :]
         for o in range(self.outputs):
@@ -275,6 +299,11 @@ class Trees:
 
     def shapley(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         """Path-dependent Shapley values of output 0 (rows by features) and their base, the mean score."""
+        x, back = self.distinct(x)
+        values, base = self._shapley(x)
+        return values[back], base
+
+    def _shapley(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         out, base = np.zeros((len(x), len(self.features))), self.start
         columns = np.ascontiguousarray(x.T)
         for t in range(self.feature.shape[1]):

@@ -221,3 +221,20 @@ def test_a_replaced_input_is_trained_anew(spark, tmp_path):
     assert catalog_ml.fingerprint(events.repartition(7)) == one
     assert catalog_ml.fingerprint(events.where("event_id > 3")) != one
     assert catalog_ml.fingerprint(events.limit(0)) == "0-0000000000000000"
+
+
+def test_rows_between_the_same_cuts_are_scored_once(monkeypatch):
+    x, y = sample()
+    m = fitted(boosting.Spec(NAMES, "binary", n_trees=5, depth=3), x, np.c_[1 - y, y])
+    r = np.random.default_rng(1)
+    rows = np.repeat(x[:60], 40, axis=0) - r.uniform(0, 0.9, (2400, 4))       # the same cuts below each value
+    rows[7, 2], rows[8, 0] = np.nan, np.inf
+    want, (values, base) = m._raw(rows), m._shapley(rows)
+    seen = []
+    for name in ("_raw", "_shapley"):
+        plain = getattr(boosting.Trees, name)
+        monkeypatch.setattr(boosting.Trees, name, lambda self, x, plain=plain: seen.append(len(x)) or plain(self, x))
+    assert (m.raw(rows) == want).all()
+    got, same_base = m.shapley(rows)
+    assert (got == values).all() and same_base == base
+    assert max(seen) <= 62 and len(m.raw(rows[:0])) == 0
