@@ -50,7 +50,7 @@ LOOKBACK_SQL = O.with_ctes(O.LABELLED_CTES, """select id, corridor, corridor_eve
 
 @query("stream_lookback", LOOKBACK_SQL)
 def q_stream_lookback(spark, sf):
-    return jobs.run_to_end(jobs.stream_lookback, jobs.incident_stream(spark, sf), "stream_lookback")
+    return jobs.run_to_end(jobs.window_lookback, jobs.incident_stream(spark, sf), "stream_lookback")
 
 
 # T3 at arrival: every row leaves in the batch it comes in.
@@ -63,7 +63,7 @@ def q_stream_arrival(spark, sf):
 @query("stream_lookback_all", O.with_ctes(O.LABELLED_CTES, """select id, corridor, corridor_events_2h,
   corridor_events_6h, seed_event_present_3h from lab where start_datetime is not null"""))
 def q_stream_lookback_all(spark, sf):
-    final = jobs.run_available(jobs.stream_lookback(jobs.incident_stream(spark, sf)), "stream_lookback_open")
+    final = jobs.run_available(jobs.window_lookback(jobs.incident_stream(spark, sf)), "stream_lookback_open")
     return final.unionByName(jobs.lookback_tail(jobs.incident_table(spark, sf)))
 
 

@@ -5,8 +5,8 @@
 * T2 ``stream_hourly``: tumbling one-hour windows on local clock hours
   (``startTime`` = the +05:30 offset), append mode.
 * T3 ``arrival_lookback``: look-back features at arrival, from keyed state that
-  expires by event time.  ``stream_lookback`` gives final ones, from windows as in
-  T1; ``lookback_tail`` gives what these hold back while their input is open.
+  expires by event time.  ``stream_lookback`` gives final ones, by an interval
+  join, and ``window_lookback`` the same, a bucket at a time, from windows as in T1; ``lookback_tail`` gives what these hold back while their input is open.
 * T4 ``scored_alert_sink``: ``foreachBatch`` function that scores look-back rows
   and commits their alerts once; ``alert_sink`` writes rows, idempotent per batch.
 
@@ -168,6 +168,39 @@ def stream_hourly(sdf: DataFrame, delay: str = "1 hour", tz_offset_minutes: int
 
 def stream_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
                     seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
+    """Look-back counts per incident by a stream-stream interval join.
+
+    An incident meets those of its corridor that come before it, by (time,
+    id), within the widest window, and itself; the counts are conditional.
+    The join key holds a time bucket as wide as that window, so a hot corridor
+    is spread over its buckets.  Late-row rule: rows older than the watermark
+    (latest incident less ``delay``) are dropped by Spark and counted in the
+    progress (``numRowsDroppedByWatermark``); an incident's row is emitted, once
+    and final, when the watermark has passed it by the widest window, whatever
+    the order of arrival before that.
+    """
+    h_short, h_long = sorted(hours)
+    widest = max(h_long, seed_hours)
+    width = widest * 3_600_000_000
+    named = sdf.where(F.col("start_datetime").isNotNull())
+    bucket = F.floor(X.epoch_micros("start_datetime") / width)
+    rows = named.select("id", "corridor", F.col("event_time").alias("at"), bucket.alias("bucket")).withWatermark("at", delay)
+    earlier = named.select(
+        F.col("id").alias("e_id"), F.col("corridor").alias("e_corridor"), F.col("event_time").alias("e_at"),
+        F.col("event_cause_grouped").isin(*seed_causes).alias("e_seed"),
+        F.explode(F.array(bucket, bucket + 1)).alias("e_bucket")).withWatermark("e_at", delay)
+    pairs = rows.join(earlier, F.expr(
+        f"corridor = e_corridor AND bucket = e_bucket AND e_at <= at AND e_at >= at - INTERVAL {widest} HOURS"
+        " AND (e_at < at OR e_id <= id)"))
+    other = F.col("e_id") != F.col("id")
+    within = lambda h: other & (F.col("e_at") >= F.col("at") - F.expr(f"INTERVAL {h} HOURS"))
+    return pairs.groupBy("id", "corridor", "at").agg(
+        F.count_if(within(h_short)).alias("corridor_events_2h"), F.count_if(within(h_long)).alias("corridor_events_6h"),
+        F.max((within(seed_hours) & F.col("e_seed")).cast("long")).alias("seed_event_present_3h")).drop("at")
+
+
+def window_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
+                    seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
     """Final look-back counts per incident, by event-time windows.
 
     An incident counts those of its corridor that come before it, by (time, id),
@@ -228,7 +261,7 @@ def stream_lookback(sdf: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.
 
 def lookback_tail(incidents: DataFrame, hours=K.LOOKBACK_HOURS, seed_hours: int = K.SEED_LOOKBACK_HOURS,
                   seed_causes=K.SEED_CAUSES, delay: str = "1 hour") -> DataFrame:
-    """The rows :func:`stream_lookback` holds back when its input ends, counted in batch.
+    """The rows :func:`window_lookback` holds back when its input ends, counted in batch.
 
     They are the incidents of the time buckets that end after the watermark, the latest
     incident less the delay; only these and those within the widest span before them are read.

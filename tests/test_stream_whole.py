@@ -157,7 +157,7 @@ def test_streams_give_every_row(spark, tmp_path, name):
         assert sorted(map(tuple, df.collect())) == sorted(want) and want
 
 
-@pytest.mark.parametrize("make", [jobs.stream_seed_labels, jobs.stream_lookback])
+@pytest.mark.parametrize("make", [jobs.stream_seed_labels, jobs.window_lookback])
 def test_final_counts_build_no_pairs(spark, make):
     # a join of a corridor's rows with each other grows with the square of its density
     plan = make(jobs.incident_stream(spark, SF001))._jdf.queryExecution().analyzed().toString()
@@ -179,6 +179,6 @@ def test_final_counts_of_repeated_and_missing_ids(spark, tmp_path):
     # the two rows 1 count 2, 2 and 3 each; followers without an id are not counted
     assert got == {(1, "10:00"): 6, (2, "10:30"): 2, (None, "11:00"): 2, (2, "11:30"): 0, (3, "11:30"): 0, (None, "23:00"): 0}
     back = {(r["id"], r["corridor_events_2h"], r["corridor_events_6h"], r["seed_event_present_3h"])
-            for r in jobs.run_to_end(jobs.stream_lookback, sdf, "t_odd").collect()}
+            for r in jobs.run_to_end(jobs.window_lookback, sdf, "t_odd").collect()}
     # rows of one id never count each other; the row without an id at 23:00 has nothing before it and no row
     assert back == {(1, 0, 0, 0), (2, 2, 2, 0), (None, 0, 0, 0), (2, 2, 2, 0), (3, 4, 4, 0)}
