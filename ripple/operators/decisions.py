@@ -27,6 +27,11 @@ STANDIN_TERMS = (
 )
 STANDIN_RISK_WEIGHT = 30
 
+# What an alert is made of, besides its risk.
+ALERT_INPUTS = ("id", "corridor", "date", "start_datetime", "start_local", "hour_of_day", "event_cause_grouped",
+                "time_label", "requires_road_closure", "predicted_secondary_count", "police_station", "zone")
+DRIVERS = ("driver_top3", "driver_values3")
+
 
 def _standin_parts():
     parts = [(name, F.col(name).cast("long") * w) for name, w in STANDIN_TERMS]
@@ -94,7 +99,8 @@ def build_alerts(scored: DataFrame, threshold: float = 0.10,
     2 h count.  ``seq`` numbers the alerts of a corridor-day in time order.
     """
     cap = dict(caps)
-    alerts = scored.where((F.col(risk) >= threshold) & F.col("start_local").isNotNull())
+    alerts = scored.where((F.col(risk) >= threshold) & F.col("start_local").isNotNull()).select(*dict.fromkeys(
+        [risk, *ALERT_INPUTS, *(c for c in DRIVERS if c in scored.columns)]))     # the ranks store these rows
     # seq = row_number() over (corridor, date order by time, id), split by hour
     alerts = blocked_rank(alerts, ["corridor", "date"], hour_block("start_local"), ["start_local", "id"])
     alerts = request(alerts, risk)
@@ -129,7 +135,7 @@ def build_alerts(scored: DataFrame, threshold: float = 0.10,
                  X.relative_duration(res_min), F.lit(")"),
                  F.when(sample_n < K.LIMITED_DATA_N, F.lit(" (estimate — limited data)"))
                   .otherwise(F.lit(""))).alias("estimated_clearance_ist"),
-        *[c for c in ("driver_top3", "driver_values3") if c in scored.columns],
+        *[c for c in DRIVERS if c in scored.columns],
     )
 
 
@@ -145,7 +151,7 @@ def nest_alerts(alerts: DataFrame) -> DataFrame:
                  F.col("standby").alias("STANDBY"), "police_needed", "breakdown_needed",
                  "barricades_needed", "police_flag", "prio_flag").alias("deployment"),
         "estimated_clearance_ist",
-        *[c for c in ("driver_top3", "driver_values3") if c in alerts.columns])
+        *[c for c in DRIVERS if c in alerts.columns])
 
 
 def allocate(alerts: DataFrame, caps=K.RESOURCE_CAPS, plan_keys=("corridor", "date")) -> DataFrame:

@@ -130,7 +130,7 @@ def test_frames_only_take_in_rows(spark):
     # a frame with two moving ends is added up anew for each row: the square of a dense corridor
     df = _rows(spark, [0, 1, 1, 2])
     for out in (cascade.cascade_features(df, with_density=False), cascade.follow_count(df)):
-        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        plan = out.select("id", "date_str", "corridor_events_2h")._jdf.queryExecution().optimizedPlan().toString()
         frames = plan.split("specifiedwindowframe(")[1:]
         assert frames and all(f.split(", ")[1].startswith("unboundedpreceding") for f in frames)
 
@@ -149,3 +149,21 @@ def test_a_dense_corridor_equals_brute_force(spark):
         assert r["corridor_events_2h"] == sum(hours[j] >= t - 2 for j in before)
         assert r["corridor_events_6h"] == sum(hours[j] >= t - 6 for j in before)
         assert r["seed_event_present_3h"] == any(hours[j] >= t - 3 and seeds[j] for j in before)
+
+
+def test_wall_clock_columns_come_after_the_windows(spark):
+    out = flows.labelled(spark, SF01, ())
+    plan = out.select("id", "date_str", "corridor_events_2h")._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan[plan.rindex("Window ["):]
+    light = [c for c in flows.light(spark, SF01).columns]
+    assert out.columns[:len(light)] == light
+    assert out.select(light).exceptAll(flows.light(spark, SF01)).count() == 0
+
+
+def test_a_cycle_reads_its_key_once(spark):
+    from ripple.sources import adapter
+    got = adapter._cycle(F.col("key"), ("a", "b", None), "z")
+    assert str(got).count("key") == 1
+    rows = spark.createDataFrame([(0,), (4,), (-1,), (None,)], "key int").select(adapter._cycle(
+        F.col("key"), ("a", "b"), "z")).collect()
+    assert [r[0] for r in rows] == ["a", "a", "z", "z"]

@@ -118,3 +118,13 @@ def test_nested_alert_document(spark):
     assert set(doc["deployment"]) == {"DEPLOY_NOW", "ALERT_STATIONS", "STANDBY", "police_needed",
                                       "breakdown_needed", "barricades_needed", "police_flag", "prio_flag"}
     assert len(doc["driver_top3"]) == 3 and min(doc["driver_values3"]) >= 0.001
+
+
+def test_ranks_store_only_what_an_alert_shows(spark, monkeypatch):
+    from ripple.operators import prefix
+    kept, store = [], prefix.checked_small
+    monkeypatch.setattr(prefix, "checked_small", lambda df: kept.append(df.columns) or store(df))
+    wide = _golden_input(spark).withColumns({"day_name": F.date_format("date", "EEEE"), "latitude": F.lit(1.0)})
+    out = decisions.build_alerts(wide)
+    assert out.count() == len(GOLDEN) and "latitude" not in out.columns
+    assert len(kept) == 1 and {"day_name", "latitude"}.isdisjoint(kept[0])
