@@ -38,7 +38,7 @@ N_TREES, DEPTH, RATE = 300, 6, 0.05
 BINS = 64
 MAX_VECTORS = 200_000           # distinct binned vectors of one fit
 L2, MIN_HESSIAN = 1.0, 1.0
-ROWS, SHAP_ROWS = 1024, 4096    # rows scored at once
+ROWS, SHAP_ROWS = 128, 4096     # rows scored at once
 NODE_SCHEMA = ("fit string, tree int, output int, node int, feature int, cut double, value double, cover double, "
                "gain double")
 
@@ -121,8 +121,13 @@ def _grow(code: np.ndarray, offset: np.ndarray, g: np.ndarray, h: np.ndarray, de
         cover[first:first + count] = big_h
         if level == depth or not len(own):
             break
-        slot = (local[:, None] * width + code[own]).ravel()
-        sums = [np.bincount(slot, np.repeat(w[own], m), count * width).reshape(count, width) for w in (g, h)]
+        # feature by feature: no copy of the weights for each of them, and the sums of a few nodes and bins stay in cache
+        sums, weights = [np.empty((count, width)) for _ in (g, h)], [w[own] for w in (g, h)]
+        for j in range(m):
+            size_j = offset[j + 1] - offset[j]
+            slot = code[own, j] + (local * size_j - offset[j])
+            for s, w in zip(sums, weights):
+                s[:, offset[j]:offset[j + 1]] = np.bincount(slot, w, count * size_j).reshape(count, size_j)
         # running sums inside each feature
         left = []
         for s in sums:
@@ -174,7 +179,7 @@ def fit(name: str, spec: Spec, cuts: dict[str, list[float]], bins: np.ndarray, s
     """The node rows of one fit over vectors and their sums."""
     sizes = [len(cuts[f]) + 1 for f in spec.features]
     offset = np.r_[0, np.cumsum(sizes)]
-    code = bins + offset[:-1]
+    code = np.asfortranarray(bins + offset[:-1])      # a tree adds up one feature at a time
     every, n_trees = np.ones(len(bins), bool), spec.n_trees
     if spec.stop and len(bins) >= 100:
         # vectors are in the order of their bins: a shuffle with a fixed seed deals the fifths
@@ -273,18 +278,41 @@ class Trees:
         x, back = self.distinct(x)
         return self._raw(x)[back]
 
+    @cached_property
+    def _steps(self) -> list[tuple]:
+        """For each output, by place of a node in its flattened trees: feature, place of the cut, lower child, value.
+
+        A leaf is its own child, with a cut that nothing lies above.
+        """
+        n_trees, size = self.feature.shape[1:]
+        place = np.arange(n_trees * size)
+        found = []
+        for feature, cut, value in zip(self.feature, self.cut, self.value):
+            f, c = feature.ravel(), np.full(n_trees * size, np.iinfo(np.int64).max)
+            for j, cuts in enumerate(self.cuts):
+                own = f == j
+                c[own] = np.searchsorted(cuts, cut.ravel()[own])
+            child = np.where(f < 0, place, place + place % size + 1)          # node i: 2i+1
+            found.append((np.maximum(f, 0), c, child, value.ravel()))
+        return found
+
     def _raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full((len(x), self.outputs), self.start)
-        tree = np.arange(self.feature.shape[1])[None, :]
-        for o in range(self.outputs):
-            for a in range(0, len(x), ROWS):
-                rows = x[a:a + ROWS]
-                at = np.zeros((len(rows), tree.shape[1]), int)
+        n_trees, size = self.feature.shape[1:]
+        width = x.shape[1]
+        # the place of each value among its feature's cuts: above a cut if greater than the cut's own
+        places = np.zeros(x.shape, np.int64)
+        for j, cuts in enumerate(self.cuts):
+            places[:, j] = np.where(np.isnan(x[:, j]), 0, np.searchsorted(cuts, x[:, j]))
+        for a in range(0, len(x), ROWS):
+            rows = places[a:a + ROWS].ravel()
+            first = np.arange(0, len(rows), width)[:, None]
+            for o, (feature, cut, child, value) in enumerate(self._steps):
+                at = np.repeat(np.arange(n_trees)[None, :] * size, len(first), axis=0)
                 for _ in range(self.depth):
-                    f = self.feature[o][tree, at]
-                    go = np.take_along_axis(rows, np.maximum(f, 0), axis=1) > self.cut[o][tree, at]
-                    at = np.where(f < 0, at, 2 * at + 1 + go)
-                out[a:a + ROWS, o] += self.value[o][tree, at].sum(axis=1)
+                    above = rows.take(feature.take(at) + first) > cut.take(at)
+                    at = child.take(at) + above
+                out[a:a + ROWS, o] += value.take(at).sum(axis=1)
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -238,3 +238,23 @@ def test_rows_between_the_same_cuts_are_scored_once(monkeypatch):
     got, same_base = m.shapley(rows)
     assert (got == values).all() and same_base == base
     assert max(seen) <= 62 and len(m.raw(rows[:0])) == 0
+
+
+def test_scores_walk_the_places_of_values_among_the_cuts():
+    x, y = sample()
+    trees = fitted(boosting.Spec(NAMES, "binary", n_trees=7, depth=4), x, np.c_[1 - y, y])
+    odd = np.r_[x, x + 0.5, np.where(x > 6, np.nan, x), np.where(x > 6, np.inf, -np.inf)]
+    want = []
+    for row in odd:
+        ends = []
+        for t in range(trees.feature.shape[1]):
+            node = 0
+            while (f := trees.feature[0, t, node]) >= 0:
+                node = 2 * node + 1 + int(row[f] > trees.cut[0, t, node])
+            ends.append(trees.value[0, t, node])
+        want.append(trees.start + np.sum(ends))
+    assert np.allclose(trees.raw(odd)[:, 0], want, rtol=0, atol=1e-12)
+    # a leaf stays where it is, whatever the row
+    feature, cut, child, _ = trees._steps[0]
+    leaf = trees.feature[0].ravel() < 0
+    assert (child[leaf] == np.flatnonzero(leaf)).all() and (cut[leaf] == np.iinfo(np.int64).max).all()
