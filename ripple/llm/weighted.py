@@ -18,7 +18,8 @@ inside the partition of their document, so nothing but the texts themselves is
 shuffled, once, and the work grows with the different words of a text.  Two
 hashes of (term, draw) hold all five uniforms; ln a, in steps of 2**-23, is the
 upper half of a 64-bit number whose lower half names the pair, so a draw is one
-``min``.  The document that
+``min``.  A text and its edited text are drawn together, ``DRAWS`` draws at a time:
+a term's hashes and logarithms are worked out once for both.  The document that
 follows in id order is found on narrow rows: range partitions, ranks inside
 them, and one row for each partition to connect them.
 """
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from ripple.llm.common import partitions, stored
 
 SAMPLES = 64
+DRAWS = 8                       # draws of one aggregate: little code, which the JVM compiles well (all 64: interpreted)
 PART_BYTES = 4 << 20            # text of one partition while words are counted
 SPACE = r"[\x20\x09-\x0D]+"
 NO_TERMS = -1                   # 32 ones: every draw of a text without words
@@ -40,9 +42,9 @@ UNIFORM_BITS, SHORT_BITS = 25, 14       # of a hash: two long uniforms and half
 LEAST, STEP_BITS = -128.0, 23   # ln a lies above LEAST and below LEAST + 256
 
 
-def _ranked(term, log_weight, draw: int):
-    """ln a of a term's draw in the upper 32 bits, the name of its (term, t) in the lower ones."""
-    first, second = (F.xxhash64(term, F.lit(2 * draw + k)) for k in (0, 1))
+def _ranked(term, log_weight, draw):
+    """ln a of a term's draw (a number or an int column) in the upper 32 bits, the name of its (term, t) in the lower ones."""
+    first, second = (F.xxhash64(term, F.lit(2) * draw + F.lit(k)) for k in (0, 1))
     bits = lambda h, at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1))
     uniform = lambda h, at: (bits(h, at, UNIFORM_BITS) + 0.5) * 2.0 ** -UNIFORM_BITS
     r = -F.log(uniform(first, 0) * uniform(first, UNIFORM_BITS))
@@ -55,15 +57,40 @@ def _ranked(term, log_weight, draw: int):
     return upper.bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def signatures(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys..., sig array<int>`` of each text with words; ``texts`` is partitioned by ``keys[0]``."""
-    words = texts.select(*keys, F.explode(F.split(text_col, SPACE)).alias("w")).where("w <> ''")
-    counted = words.groupBy(*keys, F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    drawn = counted.select(*keys, "term", F.log("n").alias("log_n")).groupBy(*keys).agg(
-        *(F.min(_ranked(F.col("term"), F.col("log_n"), i)).alias(f"d{i}") for i in range(SAMPLES)))
+def signatures(texts: DataFrame, key: str, cols: list[str], head=None) -> DataFrame:
+    """``key, <col>_sig array<int>...``: a signature for each text column (null: no words) of each key.
+
+    ``texts`` is partitioned by ``key``; keys without words in any text are left out.
+    ``head``: what all texts of a row begin with, left out of the columns; it is split once.
+    The texts of a key are drawn together: a word's hashes and gamma numbers are the
+    same in all of them, so they are worked out once for a key, not once for a text.
+    """
+    kinds = range(len(cols))
+    every = -1
+    begun = texts.select(key, *cols, F.split(F.lit("") if head is None else head, SPACE).alias("_begun"))
+    # the last piece of the head goes on in each text
+    rest = lambda c: F.split(F.concat(F.element_at("_begun", -1), F.col(c)), SPACE)
+    sides = [F.struct(F.lit(every).alias("kind"), F.slice("_begun", F.lit(1), F.size("_begun") - 1).alias("w")),
+             *(F.struct(F.lit(k).alias("kind"), rest(c).alias("w")) for k, c in enumerate(cols))]
+    words = begun.select(key, F.explode(F.array(*sides)).alias("x")).select(
+        key, "x.kind", F.explode("x.w").alias("w")).where("w <> ''")
+    counted = words.groupBy(key, F.xxhash64("w").alias("term")).agg(
+        *(F.count_if(F.col("kind").isin(k, every)).alias(f"n{k}") for k in kinds))
+    groups = range(0, SAMPLES, DRAWS)
+    # a word that a text lacks has a null weight there: its draws are null and no minimum
+    weighed = counted.select(key, "term", *(F.log(f"n{k}").alias(f"log_n{k}") for k in kinds),
+                             F.explode(F.array(*map(F.lit, groups))).alias("at"))
+    drawn = weighed.groupBy(key, "at").agg(
+        *(F.min(_ranked(F.col("term"), F.col(f"log_n{k}"), F.col("at") + F.lit(i))).alias(f"d{k}_{i}")
+          for i in range(DRAWS) for k in kinds))
     # the lower 32 bits, as a signed int
     low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
-    return drawn.select(*keys, F.array(*(low(F.col(f"d{i}")) for i in range(SAMPLES))).alias("sig"))
+    parts = drawn.select(key, "at", *(
+        F.when(F.col(f"d{k}_0").isNotNull(), F.array(*(low(F.col(f"d{k}_{i}")) for i in range(DRAWS)))).alias(f"part{k}")
+        for k in kinds))
+    return parts.groupBy(key).agg(*(
+        F.concat(*(F.any_value(F.when(F.col("at") == g, F.col(f"part{k}")), True) for g in groups)).alias(f"{c}_sig")
+        for k, c in enumerate(cols)))
 
 
 def _hex(sig):
@@ -102,9 +129,9 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     keyed = rows.select(_row_key().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"), "text")
-    sigs = signatures(keyed.dropDuplicates(["row"]).repartition("row"), ["row"], "text")
+    sigs = signatures(keyed.dropDuplicates(["row"]).repartition("row"), "row", ["text"])
     return keyed.drop("text").dropDuplicates(["row"]).join(sigs, "row", "left").select(
-        "doc_id", "n_chars", F.coalesce("sig", _none()).alias("sig"))
+        "doc_id", "n_chars", F.coalesce("text_sig", _none()).alias("sig"))
 
 
 def _none():
@@ -141,19 +168,14 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = dealt.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k").join(narrow, "row")
     heads = own.select(F.col("prev").alias("row"),
                        F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"))
+    kept = (F.col("n") - F.floor(F.col("n") / 4)).cast("int")
     both = own.join(heads, "row").select(
-        "row", "doc_id", "n", "next", "text", F.concat(
-            F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")),
-            "head").alias("edited"))
-    two = both.select("row", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")),
-        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("row", "x.kind", "x.t")
-    sigs = signatures(two, ["row", "kind"], "t").groupBy("row").agg(*(
-        F.any_value(F.when(F.col("kind") == kind, F.col("sig")), True).alias(name)
-        for kind, name in ((0, "sig"), (1, "edited_sig"))))
+        "row", "doc_id", "n", "next", F.substring(F.col("text"), F.lit(1), kept).alias("kept"),
+        F.substring(F.col("text"), kept + 1, F.col("n").cast("int")).alias("text"), F.col("head").alias("edited"))
+    sigs = signatures(both, "row", ["text", "edited"], F.col("kept")).withColumnRenamed("text_sig", "sig")
     # one job: all branches share the one shuffle of the texts; what is stored has no texts
     shas = both.select("row", "doc_id", "n", "next",
-                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+                       F.sha2(F.concat("kept", "edited").cast("binary"), 256).alias("edited_sha256"))
     prints = stored(shas.join(sigs, "row", "left"), "signatures")
     nxt = prints.select(F.col("row").alias("next"), F.col("sig").alias("next_sig"))
     out = prints.join(nxt, "next", "left")

@@ -641,6 +641,42 @@ def test_compare_with_edited_and_next(spark, odd_docs, no_docs):
     assert weighted.compare(no_docs).collect() == []
 
 
+def test_texts_drawn_together_have_the_signatures_they_have_alone(spark):
+    texts = [(1, "a b b c", "a b c c d"), (2, "a b", ""), (3, None, "x x y"), (4, "same words same", "same words same"),
+             (5, " ", None)]
+    df = spark.createDataFrame(texts, "row long, text string, edited string").repartition("row")
+    both = {r["row"]: r for r in weighted.signatures(df, "row", ["text", "edited"]).collect()}
+    assert set(both) == {1, 2, 3, 4}
+    for col in ("text", "edited"):
+        alone = {r["row"]: r[f"{col}_sig"] for r in weighted.signatures(df, "row", [col]).collect()}
+        assert {k: r[f"{col}_sig"] for k, r in both.items() if r[f"{col}_sig"]} == alone
+        assert all(len(s) == weighted.SAMPLES for s in alone.values())
+    assert both[2]["edited_sig"] is None and both[3]["text_sig"] is None
+    assert both[4]["text_sig"] == both[4]["edited_sig"]
+    # what all texts begin with may end inside a word, beside spaces or be empty
+    for head in ("q a", "q  ", " q", ""):
+        split = weighted.signatures(df, "row", ["text", "edited"], F.lit(head)).collect()
+        whole = df.select("row", *(F.concat(F.lit(head), F.coalesce(c, F.lit(""))).alias(c) for c in ("text", "edited")))
+        want = {r["row"]: r for r in weighted.signatures(whole.repartition("row"), "row", ["text", "edited"]).collect()}
+        # a null text has the head's whole words only: left out of the comparison
+        for r in split:
+            for c, gone in (("text", (3,)), ("edited", (5,))):
+                assert r["row"] in gone or r[f"{c}_sig"] == want[r["row"]][f"{c}_sig"]
+
+
+def test_draws_are_code_that_the_jvm_compiles(spark, capsys):
+    df = spark.createDataFrame([(1, "a b", "a c")], "row long, text string, edited string").repartition("row")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        weighted.signatures(df, "row", ["text", "edited"]).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    shown = capsys.readouterr().out
+    assert "StrictMath.log" in shown             # the draws are part of the generated code
+    # methods of 8000 bytes and more are interpreted
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown))) < 8000
+
+
 # -- 10 SimHash -------------------------------------------------------------
 
 def brute_simhash(text, k=3):
