@@ -38,6 +38,7 @@ N_TREES, DEPTH, RATE = 300, 6, 0.05
 BINS = 64
 MAX_VECTORS = 200_000           # distinct binned vectors of one fit
 L2, MIN_HESSIAN = 1.0, 1.0
+FIT_RANGES = 64                 # at most, a range holds no less than one fit: more than there are fits
 ROWS, SHAP_ROWS = 128, 4096     # rows scored at once
 NODE_SCHEMA = ("fit string, tree int, output int, node int, feature int, cut double, value double, cover double, "
                "gain double")
@@ -99,6 +100,18 @@ def _start(spec: Spec, stats: np.ndarray) -> float:
     return float(np.log(max(stats[:, 1].sum(), 1e-6) / max(stats[:, 0].sum(), 1e-6))) if spec.objective == "poisson" else 0.0
 
 
+def _bin_sums(code: np.ndarray, offset: np.ndarray, own: np.ndarray, node: np.ndarray, weights, count: int) -> list[np.ndarray]:
+    """Sums of each of ``weights`` over the vectors ``own``, by the ``node`` of each (of ``count``) and the bins."""
+    # feature by feature: no copy of the weights for each of them, and the sums of a few nodes and bins stay in cache
+    sums, weights = [np.empty((count, int(offset[-1]))) for _ in weights], [w[own] for w in weights]
+    for j, size in enumerate(np.diff(offset)):
+        slot = code[:, j].take(own)
+        slot += node * size - offset[j]
+        for s, w in zip(sums, weights):
+            s[:, offset[j]:offset[j + 1]] = np.bincount(slot, w, count * size).reshape(count, size)
+    return sums
+
+
 def _grow(code: np.ndarray, offset: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float,
           min_hessian: float = MIN_HESSIAN):
     """One tree: feature, bin, value, cover and gain of each node, and the node each vector ends in.
@@ -121,13 +134,21 @@ def _grow(code: np.ndarray, offset: np.ndarray, g: np.ndarray, h: np.ndarray, de
         cover[first:first + count] = big_h
         if level == depth or not len(own):
             break
-        # feature by feature: no copy of the weights for each of them, and the sums of a few nodes and bins stay in cache
-        sums, weights = [np.empty((count, width)) for _ in (g, h)], [w[own] for w in (g, h)]
-        for j in range(m):
-            size_j = offset[j + 1] - offset[j]
-            slot = code[own, j] + (local * size_j - offset[j])
-            for s, w in zip(sums, weights):
-                s[:, offset[j]:offset[j + 1]] = np.bincount(slot, w, count * size_j).reshape(count, size_j)
+        # of two children only the one with fewer vectors is added up: the other has what is left of their parent
+        added = np.ones(count, bool)
+        if level:
+            rows = np.bincount(local, minlength=count).reshape(-1, 2)
+            fewer = rows[:, 0] <= rows[:, 1]
+            added = np.c_[fewer, ~fewer].ravel() & np.repeat(split, 2)
+        place, some = np.cumsum(added) - 1, added[local]
+        found = _bin_sums(code, offset, own[some], place[local[some]], (g, h), int(added.sum()))
+        if level:
+            nodes, parents = np.flatnonzero(added), np.flatnonzero(split)
+            for i, s in enumerate(found):
+                both = np.zeros((count, width))
+                both[nodes], both[nodes ^ 1] = s, sums[i][parents] - s
+                found[i] = both
+        sums = found
         # running sums inside each feature
         left = []
         for s in sums:
@@ -222,7 +243,8 @@ def train(table: DataFrame, specs: dict[str, Spec], cuts: dict[str, dict], max_v
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
                         names=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
-    return table.groupBy("fit").applyInArrow(grown, NODE_SCHEMA)
+    # ranges of their own number are not coalesced: hashed groups, small in bytes, would grow one after the other in few tasks
+    return table.repartitionByRange(FIT_RANGES, "fit").groupBy("fit").applyInArrow(grown, NODE_SCHEMA)
 
 
 @dataclass

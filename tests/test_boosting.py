@@ -116,6 +116,36 @@ def test_shapley_values_equal_all_subsets(depth):
     assert np.abs(values.sum(axis=1) + base - trees.raw(x[:25])[:, 0]).max() < 1e-12
 
 
+def test_only_the_smaller_child_is_added_up(monkeypatch):
+    x, y = sample(2000)
+    added, add = [], boosting._bin_sums
+    monkeypatch.setattr(boosting, "_bin_sums", lambda code, offset, own, *rest: added.append(len(own)) or add(code, offset, own, *rest))
+    offset = np.arange(0, 37, 9)
+    code = np.asfortranarray(x.astype(int) + offset[:-1])
+    g, h = 0.5 - y, np.full(len(x), 0.25)
+    feature, cut, value, cover, gain, at = boosting._grow(code, offset, g, h, 4, 0.3)
+    assert added[0] == 2000 and len(added) == 4 and max(added[1:]) <= 1000
+    for node in np.flatnonzero(feature >= 0):                           # each split is the best of its node, by sums of its own rows
+        rows = [i for i in range(2000) if node in {(at[i] + 1 >> k) - 1 for k in range(5)}]
+        best = 0.0
+        for j, c in itertools.product(range(4), range(8)):
+            left = x[rows, j] <= c
+            s = [(g[rows][p].sum(), h[rows][p].sum()) for p in (left, ~left, left | ~left)]
+            if min(s[0][1], s[1][1]) >= 1:
+                best = max(best, sum(k * a * a / (b + 1) for k, (a, b) in zip((1, 1, -1), s)))
+        assert gain[node] == pytest.approx(best, rel=1e-9)
+
+
+def test_each_fit_has_a_task_of_its_own(spark):
+    x, y = sample(300)
+    rows = [(f"fit-{k}", "m", [int(v) for v in a], [1 - b, b]) for k in range(7) for a, b in zip(x, y.tolist())]
+    table = spark.createDataFrame(rows, "fit string, kind string, bins array<int>, stats array<double>")
+    cuts = {"m": {f: [float(c) for c in range(8)] for f in NAMES}}
+    nodes = boosting.train(table, {"m": boosting.Spec(NAMES, "binary", 1, 2, 2, 0.3)}, cuts)
+    tasks = nodes.select("fit", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 7 and len({r["task"] for r in tasks}) == 7
+
+
 @pytest.mark.parametrize("ranges", [1, 4, 13])
 def test_isotonic_equals_the_library(spark, ranges):
     r = np.random.default_rng(ranges)
