@@ -18,8 +18,8 @@ times 2**(depth + 1), whatever the number of rows.
 
 *Shapley values* are path-dependent: an absent feature is averaged over both
 children by their cover.  For each leaf a table over the patterns of satisfied
-conditions (2**depth) holds its part of each feature's value, so a row costs one
-lookup for each leaf.
+conditions (2**depth) holds its part of each feature's value; the tables of neighbouring
+leaves are added up, so a row costs one lookup for each low subtree.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ BINS = 64
 MAX_VECTORS = 200_000           # distinct binned vectors of one fit
 L2, MIN_HESSIAN = 1.0, 1.0
 FIT_RANGES = 64                 # at most, a range holds no less than one fit: more than there are fits
-ROWS, SHAP_ROWS = 128, 4096     # rows scored at once
+ROWS, SHAP_ROWS = 128, 8192     # rows scored at once
+SHAP_BATCH = 65_536             # rows that share the tables of a tree
+LOWER = 2                       # levels of splits whose leaves share a table of Shapley values
 NODE_SCHEMA = ("fit string, tree int, output int, node int, feature int, cut double, value double, cover double, "
                "gain double")
 
@@ -356,23 +358,60 @@ class Trees:
     def _shapley(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         out, base = np.zeros((len(x), len(self.features))), self.start
         columns = np.ascontiguousarray(x.T)
+        kind = np.uint8 if self.depth - LOWER + 2 ** LOWER <= 9 else np.uint16         # as many bits as a pattern has
+        found = np.empty((min(SHAP_ROWS, len(x)), len(self.features)))
         for t in range(self.feature.shape[1]):
             slots, leaves, table, mean = self._leaf_tables(t)
             base += mean
+            upper, lower = self._lower_tables(slots, dict(zip(leaves, table)))
             f, cut = self.feature[0, t], self.cut[0, t]
             for a in range(0, len(x), SHAP_ROWS):
                 n = min(SHAP_ROWS, len(x) - a)
+                above = {node: (columns[f[node], a:a + n] > cut[node]).view(np.uint8).astype(kind, copy=False) for node in slots}
                 # failed conditions on the way to a node, one bit for each different feature
-                failed = {0: np.zeros(n, np.uint8)}
-                for node in slots:
-                    above = (columns[f[node], a:a + n] > cut[node]).view(np.uint8)
+                failed = {0: np.zeros(n, kind)}
+                for node in upper:
                     own, bit = failed.pop(node), slots[node]
-                    failed[2 * node + 1] = own | (above << bit)
-                    failed[2 * node + 2] = own | ((above ^ 1) << bit)
-                for leaf, parts in zip(leaves, table):
-                    out[a:a + n] += parts[failed[leaf]]
+                    failed[2 * node + 1] = own | (above[node] << bit)
+                    failed[2 * node + 2] = own | ((above[node] ^ 1) << bit)
+                for top, (inner, parts) in lower.items():
+                    at = failed[top] << len(inner)
+                    for bit, node in enumerate(inner):
+                        at |= above[node] << bit
+                    # every pattern is a row of the table: nothing to check, so no copy of the result is made first
+                    out[a:a + n] += parts.take(at, axis=0, out=found[:n], mode="clip")
         return out, base
 
+    def _lower_tables(self, slots: dict[int, int], parts: dict[int, np.ndarray]):
+        """The upper splits of a tree, and for each subtree below them its splits and the sum of its leaves' tables.
+
+        The subtrees are LOWER levels of splits high: a pattern holds the failed conditions on the
+        way to one and then, in the lowest bits, whether the row is above the cut of each of its
+        splits.  A row so costs one lookup for each subtree in place of one for each leaf.
+        """
+        upper_depth = max(self.depth - LOWER, 0)
+        depth_of = lambda node: (node + 1).bit_length() - 1
+        upper = [node for node in slots if depth_of(node) < upper_depth]
+        tops = [node for node in (*slots, *parts) if depth_of(node) == upper_depth or
+                (depth_of(node) < upper_depth and node in parts)]
+        lower = {}
+        for top in tops:
+            inner = []
+            below = [top] if top in slots else []
+            while below:
+                inner += below
+                below = [c for node in below for c in (2 * node + 1, 2 * node + 2) if c in slots]
+            at = np.arange(1 << (min(depth_of(top), self.depth) + len(inner)))
+            failed, total = {top: at >> len(inner)}, 0.0
+            for bit, node in enumerate(inner):
+                own, above = failed.pop(node), at >> bit & 1
+                failed[2 * node + 1] = own | (above << slots[node])
+                failed[2 * node + 2] = own | ((above ^ 1) << slots[node])
+            for leaf, own in failed.items():
+                total = total + parts[leaf][own]
+            lower[top] = inner, total
+        return upper, lower
+
     def _leaf_tables(self, t: int):
         """Bit of each split's feature on its path, the leaves, and value parts by leaf, failed pattern and feature.
 
@@ -437,12 +476,21 @@ def shapley_values(fits: list[Trees]):
     """A column function of the features' array: mean Shapley values over the fits, then the mean base."""
     width = len(fits[0].features)
 
+    def values(x: pa.Array) -> pa.Array:
+        rows = matrix(x, width)
+        found = [m.shapley(rows) for m in fits]
+        each = np.mean([v for v, _ in found], axis=0)
+        return _lists(np.c_[each, np.full(len(rows), np.mean([b for _, b in found]))])
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: list[pa.Array] = []
         for x in batches:
-            rows = matrix(x, width)
-            found = [m.shapley(rows) for m in fits]
-            values = np.mean([v for v, _ in found], axis=0)
-            yield _lists(np.c_[values, np.full(len(rows), np.mean([b for _, b in found]))])
+            held.append(x)
+            if sum(map(len, held)) >= SHAP_BATCH:
+                yield values(pa.concat_arrays(held))
+                held = []
+        if held:
+            yield values(pa.concat_arrays(held))
 
     return F.arrow_udf(run, ArrayType(DoubleType()))
 

@@ -116,6 +116,27 @@ def test_shapley_values_equal_all_subsets(depth):
     assert np.abs(values.sum(axis=1) + base - trees.raw(x[:25])[:, 0]).max() < 1e-12
 
 
+@pytest.mark.parametrize("depth", [1, 3, 6, 9])
+def test_shapley_tables_of_low_subtrees(monkeypatch, depth):
+    """One lookup for each low subtree, not for each leaf; batches share the tables of a tree; no bit of a pattern is lost."""
+    x, y = sample(900)
+    trees = fitted(boosting.Spec(NAMES, "binary", 1, 5, depth, 0.3, 0.1), x, np.c_[1 - y, y])
+    for t in range(5):
+        slots, leaves, table, _ = trees._leaf_tables(t)
+        _, lower = trees._lower_tables(slots, dict(zip(leaves, table)))
+        assert len(lower) <= 2 ** max(depth - boosting.LOWER, 0) and (depth < 3 or len(lower) < len(leaves))
+    values, base = trees.shapley(x)
+    assert np.abs(values.sum(axis=1) + base - trees.raw(x)[:, 0]).max() < 1e-12
+    made, make = [], boosting.Trees._leaf_tables
+    monkeypatch.setattr(boosting.Trees, "_leaf_tables", lambda self, t: made.append(t) or make(self, t))
+    parts = [pa.array(list(map(list, x[a:a + 100]))) for a in range(0, 900, 100)]
+    found = np.vstack([boosting.matrix(b, 5) for b in boosting.shapley_values([trees]).func(iter(parts))])
+    assert made == [*range(5)] and np.abs(found - np.c_[values, np.full(900, base)]).max() < 1e-12
+    monkeypatch.setattr(boosting, "SHAP_BATCH", 250)
+    found = np.vstack([boosting.matrix(b, 5) for b in boosting.shapley_values([trees]).func(iter(parts))])
+    assert np.abs(found - np.c_[values, np.full(900, base)]).max() < 1e-12
+
+
 def test_only_the_smaller_child_is_added_up(monkeypatch):
     x, y = sample(2000)
     added, add = [], boosting._bin_sums
