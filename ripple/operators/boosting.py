@@ -3,13 +3,14 @@
 *Training table*: Spark finds the cut points of every feature (quantiles over
 all rows), bins the rows and adds up the labels of rows that fall into the same
 bins.  Second-order boosting only needs these sums, so the fit over the distinct
-vectors equals the fit over all binned rows.  At most ``max_vectors`` distinct
-vectors enter a fit (beyond that, those of the smallest hashes: a sample of the
-labelled rows whose size is this parameter).
+vectors equals the fit over all binned rows.  Every vector enters its fit.
 
 *Fits*: independent fits (folds, targets) are groups of one Spark job and grow
-side by side, each in a task whose memory is bounded by ``max_vectors``.  Trees
-are complete up to ``depth``: node i has the children 2i+1 (value <= cut) and
+side by side, each in a task of its own while none has more than ``TASK_VECTORS``
+vectors.  Beyond that the vectors of all fits are dealt over the tasks of one barrier stage,
+which grow the same trees in step: a task adds up its own vectors, and the sums over all tasks
+(``Exchange``), whose size is bounded by nodes and bins, give each of them the same splits.
+Trees are complete up to ``depth``: node i has the children 2i+1 (value <= cut) and
 2i+2; a leaf has feature -1.  Leaves take -G / (H + 1); a child needs H >= ``min_hessian``.
 
 *Model*: a table of nodes (fit, tree, output, node, feature, cut, value, cover,
@@ -24,19 +25,29 @@ leaves are added up, so a row costs one lookup for each low subtree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+import time
+import uuid
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ripple.session import scratch_path
+
 N_TREES, DEPTH, RATE = 300, 6, 0.05
 BINS = 64
-MAX_VECTORS = 200_000           # distinct binned vectors of one fit
+TASK_VECTORS = 200_000          # distinct binned vectors of a fit that grows in one task
+SHARE_VECTORS = 50_000          # at least, of each task where the vectors of the fits are dealt over tasks
+SLICED = 8192                   # numbers beyond which each task adds up its own slice of them
 L2, MIN_HESSIAN = 1.0, 1.0
 FIT_RANGES = 64                 # at most, a range holds no less than one fit: more than there are fits
 ROWS, SHAP_ROWS = 128, 8192     # rows scored at once
@@ -51,7 +62,7 @@ class Spec:
     """One kind of fit: features, objective (binary, classes, poisson), number of outputs and size.
 
     With ``stop`` the number of trees (``n_trees`` at most) is the one with the least
-    loss on every fifth vector, by trees grown on the others; the fit then takes all.
+    loss on a fifth of the vectors, by trees grown on the others; the fit then takes all.
     """
     features: tuple
     objective: str
@@ -97,9 +108,43 @@ def _gradients(spec: Spec, f: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray
     return mu - stats[:, 1:], np.maximum(mu, 1e-16)
 
 
-def _start(spec: Spec, stats: np.ndarray) -> float:
+# Whoever grows a tree yields the sums of its own vectors (a list of arrays) and is sent the sums over all tasks.
+Sums = Generator[list, list, object]
+
+
+def _alone(growing: Sums):
+    """The result of one who has all the vectors: its own sums are those of all."""
+    found = None
+    while True:
+        try:
+            found = growing.send(found)
+        except StopIteration as end:
+            return end.value
+
+
+def _side_by_side(growing: list[Sums]) -> Sums:
+    """The results of all, in step: what they ask for at a time is asked for at once."""
+    results, asked, got = [None] * len(growing), {}, dict.fromkeys(range(len(growing)))
+    while got:
+        for i, sums in got.items():
+            try:
+                asked[i] = growing[i].send(sums)
+            except StopIteration as end:
+                results[i] = end.value
+                asked.pop(i, None)
+        if not asked:
+            break
+        found = iter((yield [a for own in asked.values() for a in own]))
+        got = {i: [next(found) for _ in own] for i, own in asked.items()}
+    return results
+
+
+def _start(spec: Spec, stats: np.ndarray) -> Sums:
     """The score before the first tree."""
-    return float(np.log(max(stats[:, 1].sum(), 1e-6) / max(stats[:, 0].sum(), 1e-6))) if spec.objective == "poisson" else 0.0
+    if spec.objective != "poisson":
+        return 0.0
+    (rows, events), = yield [np.array([stats[:, 0].sum(), stats[:, 1].sum()])]
+    return float(np.log(max(events, 1e-6) / max(rows, 1e-6)))
 
 
 def _bin_sums(code: np.ndarray, offset: np.ndarray, own: np.ndarray, node: np.ndarray, weights, count: int) -> list[np.ndarray]:
@@ -107,7 +152,7 @@ def _bin_sums(code: np.ndarray, offset: np.ndarray, own: np.ndarray, node: np.nd
     # feature by feature: no copy of the weights for each of them, and the sums of a few nodes and bins stay in cache
     sums, weights = [np.empty((count, int(offset[-1]))) for _ in weights], [w[own] for w in weights]
     for j, size in enumerate(np.diff(offset)):
-        slot = code[:, j].take(own)
+        slot = code[:, j].take(own).astype(np.intp, copy=False)
         slot += node * size - offset[j]
         for s, w in zip(sums, weights):
             s[:, offset[j]:offset[j + 1]] = np.bincount(slot, w, count * size).reshape(count, size)
@@ -116,6 +161,12 @@ def _bin_sums(code: np.ndarray, offset: np.ndarray, own: np.ndarray, node: np.nd
 
 def _grow(code: np.ndarray, offset: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float,
           min_hessian: float = MIN_HESSIAN):
+    """One tree from all its vectors in one place."""
+    return _alone(_growing(code, offset, g, h, depth, rate, min_hessian))
+
+
+def _growing(code: np.ndarray, offset: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float,
+             min_hessian: float) -> Sums:
     """One tree: feature, bin, value, cover and gain of each node, and the node each vector ends in.
 
     ``code`` is bin plus ``offset`` of its feature (vectors by features).
@@ -131,19 +182,18 @@ def _grow(code: np.ndarray, offset: np.ndarray, g: np.ndarray, h: np.ndarray, de
     for level in range(depth + 1):
         first, count = 2 ** level - 1, 2 ** level
         local = at[own] - first
-        big_g, big_h = (np.bincount(local, w[own], count) for w in (g, h))
+        rows, big_g, big_h = yield [np.bincount(local, minlength=count), *(np.bincount(local, w[own], count) for w in (g, h))]
         value[first:first + count] = -rate * big_g / (big_h + L2)
         cover[first:first + count] = big_h
-        if level == depth or not len(own):
+        if level == depth or not rows.any():
             break
         # of two children only the one with fewer vectors is added up: the other has what is left of their parent
         added = np.ones(count, bool)
         if level:
-            rows = np.bincount(local, minlength=count).reshape(-1, 2)
-            fewer = rows[:, 0] <= rows[:, 1]
+            fewer = rows[::2] <= rows[1::2]
             added = np.c_[fewer, ~fewer].ravel() & np.repeat(split, 2)
         place, some = np.cumsum(added) - 1, added[local]
-        found = _bin_sums(code, offset, own[some], place[local[some]], (g, h), int(added.sum()))
+        found = yield _bin_sums(code, offset, own[some], place[local[some]], (g, h), int(added.sum()))
         if level:
             nodes, parents = np.flatnonzero(added), np.flatnonzero(split)
             for i, s in enumerate(found):
@@ -185,32 +235,62 @@ def _loss(spec: Spec, f: np.ndarray, stats: np.ndarray) -> float:
     return float((stats.sum(axis=1) * np.logaddexp.reduce(f, axis=1) - (stats * f).sum(axis=1)).sum())
 
 
-def _boost(spec: Spec, code: np.ndarray, offset: np.ndarray, stats: np.ndarray, grown: np.ndarray, n_trees: int):
-    """Trees grown on the vectors ``grown``; after each round its trees and the scores of all vectors."""
-    f = np.full((len(code), spec.outputs), _start(spec, stats[grown]))
+def _boost(spec: Spec, code: np.ndarray, offset: np.ndarray, stats: np.ndarray, grown: np.ndarray, n_trees: int,
+           after=None) -> Sums:
+    """The score before the first tree, and the trees of each round grown on the vectors ``grown``.
+
+    ``after`` each round is given the scores of all vectors.
+    """
+    start = yield from _start(spec, stats[grown])
+    f, rounds = np.full((len(code), spec.outputs), start), []
     for _ in range(n_trees):
         g, h = _gradients(spec, f, stats)
-        trees = []
-        for o in range(spec.outputs):
-            *tree, at = _grow(code, offset, g[:, o] * grown, h[:, o] * grown, spec.depth, spec.rate, spec.min_hessian)
+        found = yield from _side_by_side([
+            _growing(code, offset, g[:, o] * grown, h[:, o] * grown, spec.depth, spec.rate, spec.min_hessian)
+            for o in range(spec.outputs)])
+        for o, (*tree, at) in enumerate(found):
             f[:, o] += tree[2][at]
-            trees.append(tree)
-        yield trees, f
+        rounds.append([tree for *tree, _ in found])
+        if after:
+            after(f)
+    return start, rounds
+
+
+def _shuffled_fifth(bins: np.ndarray) -> np.ndarray:
+    """A fifth of all the vectors: they are in the order of their bins, a shuffle with a fixed seed deals the fifths."""
+    return np.random.default_rng(0).permutation(len(bins)) % 5 == 0
+
+
+def _hashed_fifth(bins: np.ndarray) -> np.ndarray:
+    """A fifth of the vectors, whichever of them are at hand: by a hash of their bins."""
+    x = np.zeros(len(bins), np.uint64)
+    for column in bins.T:
+        x = (x ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x % np.uint64(5) == 0
 
 
 def fit(name: str, spec: Spec, cuts: dict[str, list[float]], bins: np.ndarray, stats: np.ndarray) -> list[tuple]:
     """The node rows of one fit over vectors and their sums."""
+    return _alone(_fitting(name, spec, cuts, bins, stats, _shuffled_fifth))
+
+
+def _fitting(name: str, spec: Spec, cuts: dict[str, list[float]], bins: np.ndarray, stats: np.ndarray, fifth) -> Sums:
     sizes = [len(cuts[f]) + 1 for f in spec.features]
     offset = np.r_[0, np.cumsum(sizes)]
-    code = np.asfortranarray(bins + offset[:-1])      # a tree adds up one feature at a time
-    every, n_trees = np.ones(len(bins), bool), spec.n_trees
-    if spec.stop and len(bins) >= 100:
-        # vectors are in the order of their bins: a shuffle with a fixed seed deals the fifths
-        held = np.random.default_rng(0).permutation(len(bins)) % 5 == 0
-        losses = [_loss(spec, f[held], stats[held]) for _, f in _boost(spec, code, offset, stats, ~held, n_trees)]
+    code = np.empty(bins.shape, np.int16 if offset[-1] < 1 << 15 else np.int64, order="F")      # a tree adds up one feature at a time
+    np.add(bins, offset[:-1], out=code, casting="unsafe")
+    every, n_trees, held = np.ones(len(bins), bool), spec.n_trees, fifth(bins) if spec.stop else None
+    (n,), (weight,) = yield [np.array([len(bins)]), np.array([stats.sum()])]
+    del bins
+    if spec.stop and n >= 100:
+        losses = []
+        yield from _boost(spec, code, offset, stats, ~held, n_trees, lambda f: losses.append(_loss(spec, f[held], stats[held])))
+        losses, = yield [np.array(losses)]
         n_trees = int(np.argmin(losses)) + 1
-    rows = [(name, -1, o, 0, -1, None, _start(spec, stats), float(stats.sum()), 0.0) for o in range(spec.outputs)]
-    for t, (trees, _) in enumerate(_boost(spec, code, offset, stats, every, n_trees)):
+    start, rounds = yield from _boost(spec, code, offset, stats, every, n_trees)
+    rows = [(name, -1, o, 0, -1, None, start, float(weight), 0.0) for o in range(spec.outputs)]
+    for t, trees in enumerate(rounds):
         for o, (feature, cut, value, cover, gain) in enumerate(trees):
             for i in np.flatnonzero(cover > 0):
                 j = int(feature[i])
@@ -219,36 +299,138 @@ def fit(name: str, spec: Spec, cuts: dict[str, list[float]], bins: np.ndarray, s
     return rows
 
 
-def train(table: DataFrame, specs: dict[str, Spec], cuts: dict[str, dict], max_vectors: int = MAX_VECTORS) -> DataFrame:
-    """The node table of all fits of table(fit, kind, bins, stats): one group, one task for each ``fit``.
+class Exchange:
+    """Sums over the tasks of a barrier stage, by files in a folder that all of them share.
+
+    Each task writes its numbers and reads those of the others; of many numbers it adds up a
+    slice and reads the other slices.  The tasks are added up in one order, so all of them get
+    the same sums.  A folder that only Spark reads leaves the stage's ``allGather``, which takes
+    about a second each time.
+    """
 
-    ``specs`` and ``cuts`` are looked up by ``kind``.  A fit takes at most
-    ``max_vectors`` vectors, by the smallest hash.
+    def __init__(self, folder: str, task: BarrierTaskContext, tasks: int):
+        self.task, self.me, self.tasks, self.round, self.old = task, task.partitionId(), tasks, 0, []
+        folder = f"{folder}/{task.allGather(uuid.uuid4().hex)[0]}"      # a stage that is run again starts in a new one
+        try:
+            self.files, self.base = fs.FileSystem.from_uri(folder) if "://" in folder else (
+                fs.LocalFileSystem(), folder.removeprefix("file:"))
+            self.files.create_dir(self.base)
+        except (pa.ArrowException, OSError, ImportError):
+            self.files = None
+        if not all(task.allGather("files" if self.files else "")):
+            self.files = None
+
+    def _put(self, name: str, numbers: np.ndarray) -> str:
+        path = f"{self.base}/{name}-{self.me}"
+        with self.files.open_output_stream(f"{path}.part") as out:
+            out.write(numbers.tobytes())
+        self.files.move(f"{path}.part", path)            # whole as soon as it is there
+        return path
+
+    def _get(self, name: str, task: int, first: int, last: int) -> np.ndarray:
+        while True:                                      # a task that fails ends the whole stage, and this one with it
+            try:
+                with self.files.open_input_file(f"{self.base}/{name}-{task}") as own:
+                    return np.frombuffer(own.read_at((last - first) * 8, first * 8))
+            except FileNotFoundError:
+                time.sleep(0.0005)
+
+    def sums(self, own: np.ndarray) -> np.ndarray:
+        if not self.files:
+            return sum(np.frombuffer(base64.b64decode(x)) for x in self.task.allGather(base64.b64encode(own.tobytes()).decode()))
+        self.round += 1
+        new = [self._put(f"{self.round}-own", own)]
+        sliced = len(own) > SLICED
+        ends = [len(own) * k // self.tasks for k in range(self.tasks + 1)]
+        first, last = ends[self.me:self.me + 2] if sliced else (0, len(own))
+        total = sum(self._get(f"{self.round}-own", k, first, last) for k in range(self.tasks))
+        if sliced:
+            new.append(self._put(f"{self.round}-sum", total))
+            total = np.concatenate([self._get(f"{self.round}-sum", k, 0, ends[k + 1] - ends[k]) for k in range(self.tasks)])
+        # all tasks are in this round, so none of them reads files of an earlier one
+        for path in self.old:
+            self.files.delete_file(path)
+        self.old = new
+        return total
+
+    def run(self, growing: Sums):
+        """The result of ``growing``, sent the sums over all tasks."""
+        found = None
+        while True:
+            try:
+                asked = growing.send(found)
+            except StopIteration as end:
+                return end.value
+            total = self.sums(np.concatenate([np.ravel(a).astype(float) for a in asked]))
+            places = np.cumsum([a.size for a in asked])[:-1]
+            found = [part.reshape(a.shape) for part, a in zip(np.split(total, places), asked)]
+
+
+def _arrays(own: pa.Table, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and sums of a fit's vectors in one order, whatever order they arrive in."""
+    bins, stats = (own.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("bins", "stats"))
+    bins, stats = bins.reshape(-1, len(spec.features)), stats.reshape(-1, spec.outputs if spec.objective == "classes" else 2)
+    order = np.lexsort(bins.T[::-1])
+    return bins[order], stats[order]
+
+
+def _node_table(rows: list[tuple]) -> pa.Table:
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *(pa.float64(),) * 4)
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                    names=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+
+
+def train(table: DataFrame, specs: dict[str, Spec], cuts: dict[str, dict], max_vectors: int | None = None,
+          task_vectors: int = TASK_VECTORS) -> DataFrame:
+    """The node table of all fits of table(fit, kind, bins, stats).
+
+    ``specs`` and ``cuts`` are looked up by ``kind``.  Fits of up to ``task_vectors`` vectors are
+    one task each; if one has more, all fits grow in step, over tasks that each hold a share of
+    their vectors.  A fit takes all its vectors, unless a caller names ``max_vectors``: then it takes
+    about so many of them, by the smallest hash.
     """
-    limits = table.groupBy("fit").agg(F.count(F.lit(1)).alias("n"))
-    share = {r["fit"]: r["n"] for r in limits.collect() if r["n"] > max_vectors}
+    limits = table.groupBy("fit", "kind").agg(F.count(F.lit(1)).alias("n"))
+    fits = sorted((r["fit"], r["kind"], r["n"]) for r in limits.collect())
+    share = {fit: n for fit, _, n in fits if max_vectors and n > max_vectors}
     if share:                                # a uniform hash keeps the wanted share, up to chance
         keep = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, n in share.items() for x in (k, max_vectors / n))),
                                        F.col("fit")), F.lit(1.0))
         table = table.where(F.pmod(F.xxhash64("bins"), F.lit(1 << 30)) < keep * (1 << 30))
+    elif any(n > task_vectors for _, _, n in fits):
+        return _train_in_step(table, specs, cuts, fits)
 
     def grown(key: tuple, own: pa.Table) -> pa.Table:
         name, kind = key[0].as_py(), own.column("kind")[0].as_py()
         spec = specs[kind]
-        own = own.combine_chunks()
-        # vectors in one order, whatever order they arrive in
-        bins = np.array(own.column("bins").to_pylist(), int).reshape(-1, len(spec.features))
-        stats = np.array(own.column("stats").to_pylist(), float)
-        order = np.lexsort(bins.T[::-1])
-        rows = fit(name, spec, cuts[kind], bins[order], stats[order])
-        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *(pa.float64(),) * 4)
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
-                        names=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+        return _node_table(fit(name, spec, cuts[kind], *_arrays(own, spec)))
 
     # ranges of their own number are not coalesced: hashed groups, small in bytes, would grow one after the other in few tasks
     return table.repartitionByRange(FIT_RANGES, "fit").groupBy("fit").applyInArrow(grown, NODE_SCHEMA)
 
 
+def _train_in_step(table: DataFrame, specs: dict[str, Spec], cuts: dict[str, dict], fits: list[tuple]) -> DataFrame:
+    """The node table of all ``fits`` (fit, kind, number of vectors), whose vectors are dealt over as many tasks as run at once."""
+    spark = table.sparkSession
+    slots = spark.sparkContext.defaultParallelism // int(spark.conf.get("spark.task.cpus", "1"))
+    tasks = max(1, min(slots, sum(n for _, _, n in fits) // SHARE_VECTORS))
+    folder = scratch_path(spark, "sums")
+    table = table.select("fit", "bins", "stats")
+    schema = pa.schema([("fit", pa.string()), ("bins", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64()))])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(batches, schema)
+        growing = [_fitting(name, specs[kind], cuts[kind], *_arrays(own.filter(pc.equal(own.column("fit"), name)), specs[kind]),
+                            _hashed_fifth) for name, kind, _ in fits]
+        del own
+        exchange = Exchange(folder, BarrierTaskContext.get(), tasks)
+        rows = exchange.run(_side_by_side(growing))
+        if exchange.me == 0:                 # all tasks have the same trees
+            yield from _node_table([r for one in rows for r in one]).to_batches()
+
+    dealt = table.repartitionById(tasks, F.pmod(F.xxhash64("bins"), F.lit(tasks)).cast("int"))
+    return dealt.mapInArrow(grown, NODE_SCHEMA, barrier=True)
+
+
 @dataclass
 class Trees:
     """One fit as arrays (trees by nodes), for each output."""

@@ -115,12 +115,11 @@ def seed_rows(train: DataFrame, enc: Encoders, folds: int = FOLDS) -> DataFrame:
 
 
 def fit_models(train: DataFrame, grid: DataFrame, enc: Encoders, folds: int = FOLDS, n_trees: int = boosting.N_TREES,
-               depth: int = boosting.DEPTH, rate: float = boosting.RATE,
-               max_vectors: int = boosting.MAX_VECTORS) -> Models:
+               depth: int = boosting.DEPTH, rate: float = boosting.RATE) -> Models:
     """M1, M2, M7, M8 on ``train`` (engineered rows with cascade features) and ``grid`` (hourly, with lags).
 
     All fits (one for each fold, the classes, the counts) are one job.  A fit takes
-    all rows that share their bins as one vector and at most ``max_vectors`` of these.
+    all its rows, those that share their bins as one vector.
     """
     spec = specs(n_trees, depth, rate)
     seeds = seed_rows(train, enc, folds)
@@ -143,7 +142,7 @@ def fit_models(train: DataFrame, grid: DataFrame, enc: Encoders, folds: int = FO
     table = table.unionByName(boosting.vectors(counts, K.FEATURES_C, cuts["counts"], {
         "rows": F.lit(1.0), "events": F.col("event_count")}).select(
             F.lit("counts").alias("fit"), F.lit("counts").alias("kind"), "bins", "stats"))
-    nodes = checked_small(boosting.train(checked_small(table), spec, cuts, max_vectors))
+    nodes = checked_small(boosting.train(checked_small(table), spec, cuts))
     trees = trees_of(nodes, spec, folds)
     held = seeds.withColumn("score", _own_fold(trees["seed"])(_vector(K.FEATURES_A), F.col("_fold")))
     calibration = checked_small(boosting.isotonic(held, "_fold", "score", "label", CALIBRATION_RANGES))

@@ -28,7 +28,7 @@ from ripple.session import checkpoint_dir, scratch_path
 COARSE = tuple(round(x, 10) for x in np.linspace(0.1, 0.9, 9))
 FINE = tuple(round(x, 10) for x in np.linspace(0.1, 0.9, 81))
 # names what the models were trained with: other sizes or another version train anew
-VERSION = 2
+VERSION = 3
 SETTINGS = f"{zlib.crc32(repr((VERSION, ml.FOLDS, ml.specs(boosting.N_TREES, boosting.DEPTH, boosting.RATE))).encode()):08x}"
 _LOADED: dict = {}
 

@@ -309,3 +309,59 @@ def test_scores_walk_the_places_of_values_among_the_cuts():
     feature, cut, child, _ = trees._steps[0]
     leaf = trees.feature[0].ravel() < 0
     assert (child[leaf] == np.flatnonzero(leaf)).all() and (cut[leaf] == np.iinfo(np.int64).max).all()
+
+
+def test_a_large_fit_takes_every_vector_over_many_tasks(spark, monkeypatch):
+    """Vectors dealt over the tasks of a stage give the trees of one task that holds them all."""
+    x, y = sample(4000, seed=3)
+    counts = np.random.default_rng(1).poisson(np.exp(0.2 * x[:, 0] - 0.1 * x[:, 1])).astype(float)
+    label = np.eye(3)[(y + (x[:, 1] > 6)).astype(int)]
+    specs = {"b": boosting.Spec(NAMES, "binary", 1, 4, 3, 0.3), "c": boosting.Spec(NAMES, "classes", 3, 3, 3, 0.3),
+             "p": boosting.Spec(NAMES, "poisson", 1, 4, 3, 0.3)}
+    cuts = {kind: {f: [float(c) for c in range(8)] for f in NAMES} for kind in specs}
+    stats = {"b": np.c_[1 - y, y], "c": label, "p": np.c_[np.ones(4000), counts]}
+    distinct, at = np.unique(x.astype(int), axis=0, return_inverse=True)
+    rows = []
+    for kind, s in stats.items():
+        sums = np.stack([np.bincount(at, column) for column in s.T], axis=1)
+        rows += [(f"fit-{kind}", kind, a.tolist(), b.tolist()) for a, b in zip(distinct, sums)]
+    rows += [("few", "b", [0, 0, 0, k], [1.0, float(k)]) for k in range(3)]       # some tasks hold none of its vectors
+    table = spark.createDataFrame(rows, "fit string, kind string, bins array<int>, stats array<double>")
+    monkeypatch.setattr(boosting, "SHARE_VECTORS", 100)
+    monkeypatch.setattr(boosting, "SLICED", 50)
+    order = ["fit", "output", "tree", "node"]
+    one = boosting.train(table, specs, cuts).orderBy(order).collect()
+    many = boosting.train(table, specs, cuts, task_vectors=1000).orderBy(order).collect()
+    root = [r["cover"] for r in many if r["fit"] == "fit-c" and r["tree"] == -1]
+    assert root == [4000.0] * 3                                          # every row weighs in
+    assert len(many) == len(one) > 100
+    for a, b in zip(one, many):
+        assert (*a[:5], a["cut"]) == (*b[:5], b["cut"])
+        assert a["value"] == pytest.approx(b["value"], abs=1e-9) and a["cover"] == pytest.approx(b["cover"], rel=1e-9)
+
+
+def test_no_query_samples_its_training_rows(spark, monkeypatch):
+    """Beyond the vectors of one task a fit goes on with all of them."""
+    x, y = sample(3000)
+    table = spark.createDataFrame([("m", "m", [int(v) for v in a], [1 - b, b]) for a, b in zip(x, y.tolist())],
+                                  "fit string, kind string, bins array<int>, stats array<double>")
+    cuts = {"m": {f: [float(c) for c in range(8)] for f in NAMES}}
+    monkeypatch.setattr(boosting, "SHARE_VECTORS", 1000)
+    stop = {"m": boosting.Spec(NAMES, "poisson", n_trees=3, depth=2, stop=True)}
+    nodes = boosting.train(table, stop, cuts, task_vectors=200).where("tree = -1").collect()
+    assert [r["cover"] for r in nodes] == [3000.0]
+    held = boosting._hashed_fifth(x.astype(int))
+    assert (held == boosting._hashed_fifth(x.astype(np.int32))).all() and 0.1 < held.mean() < 0.3
+
+
+def test_sums_over_tasks_without_shared_files(spark, monkeypatch):
+    x, y = sample(300)
+    table = spark.createDataFrame([("m", "m", [int(v) for v in a], [1 - b, b]) for a, b in zip(x, y.tolist())],
+                                  "fit string, kind string, bins array<int>, stats array<double>")
+    cuts = {"m": {f: [float(c) for c in range(8)] for f in NAMES}}
+    spec = {"m": boosting.Spec(NAMES, "binary", 1, 1, 1, 0.3)}
+    monkeypatch.setattr(boosting, "SHARE_VECTORS", 150)
+    one = boosting.train(table, spec, cuts).orderBy("tree", "node").collect()
+    monkeypatch.setattr(boosting, "scratch_path", lambda spark, name: f"onlyspark://store/{name}")
+    many = boosting.train(table, spec, cuts, task_vectors=100).orderBy("tree", "node").collect()
+    assert [r["cover"] for r in many] == pytest.approx([r["cover"] for r in one], rel=1e-9)
